@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugework.llm import decontam, mixing, neardup, quality, token_output
+from gaugework.llm import decontam, html_extract, langid, licenses, mixing, neardup, pii, quality, token_edits, token_output
 from gaugework.llm.common import OWN, table
 
 
@@ -15,6 +15,30 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", *[F.col(OWN + c).alias(c) for c in ("tokens", "weight", "block", "epoch", "slot")])
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: an insertion, a replacement and a deletion at places given by its length."""
+    n = F.length(F.coalesce("text", F.lit(""))).cast("bigint")
+    edit = lambda s, e, new: F.struct(s.cast("bigint").alias("start"), e.cast("bigint").alias("end"), F.lit(new).alias("new"))
+    edits = F.array(edit(F.floor(n / 3), F.floor(n / 3), " an added clause,"), edit(F.floor(n / 2), F.floor(n / 2) + 5, "X"), edit(F.floor(2 * n / 3), F.floor(2 * n / 3) + 9, ""))
+    return token_edits.counted(table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", *[F.col(OWN + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], quality.base_failed().alias("base_failed"), quality.kept().alias("kept"))
@@ -34,7 +58,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col(OWN + "n_words").alias("n_words"), hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op6_quality": op6_quality, "op7_near_dedup": op7_near_dedup, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_mixing, op2_license_scan, op3_token_counts, op4_language_id, op5_pii, op6_quality, op7_near_dedup, op8_main_text, op9_token_output, op10_decontamination)
+}
 
 _OP6 = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
