@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gaugework.llm.common import OWN, fresh_path
 
 LENGTH, END_ID, BATCH_ROWS = 2048, 0, 256
-CACHE_WORDS = 400_000
+#: Chunks and pieces a worker keeps at most; either table starts anew beyond its limit.
+CACHE_CHUNKS, CACHE_PIECES = 700_000, 900_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -67,8 +68,8 @@ class Encoder:
                 self.chunks[c] = self.known[ps[0]] if len(ps) == 1 else b"".join([self.known[p] for p in ps])
         get = self.chunks.__getitem__
         out = [b"".join(map(get, parts)) for parts in split]
-        for kept in (self.chunks, self.known):
-            if len(kept) > CACHE_WORDS:
+        for kept, most in ((self.chunks, CACHE_CHUNKS), (self.known, CACHE_PIECES)):
+            if len(kept) > most:
                 kept.clear()
         return out
 
