@@ -1,4 +1,6 @@
-"""Registered queries of the evaluation engine."""
+"""Registered queries of the evaluation engine, with the SQL each is held against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from gaugework.plans import core, decisions, scorers
+
+QUERIES = scorers.QUERIES | core.QUERIES | decisions.QUERIES
+ORACLE = scorers.ORACLE | core.ORACLE | decisions.ORACLE
