@@ -6,10 +6,10 @@ key. Texts that share a band key are candidates, verified by a banded alignment
 the band are dropped and the longest increasing chain of the rest is the common subsequence k. Similarity is
 k / (n + m - k), of which one minus is a metric.
 
-No bucket is expanded into pairs. In each round every bucket compares its leader (its least text) with its other
+No bucket is expanded into pairs. In the first round every bucket compares its leader (its least text) with its other
 members. Then it drops the leader, and members that the triangle inequality rules out: with distances x and y to the
-leader, two members can only be within t if |x - y| <= t. Members known to be in one class need no comparison. Rounds
-go on until no bucket holds texts of different classes, so no candidate link is lost.
+leader, two members can only be within t if |x - y| <= t. Later rounds take FAN leaders each. Members known to be in one
+class need no comparison. Rounds go on until no bucket holds texts of different classes, so no candidate link is lost.
 
 Defined cases: null texts and texts without words are each a class of their own if their text is the same (all null texts
 are one class, all empty ones another); shorter texts than five words are one shingle; repeated rows are copies; null
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from gaugework.llm.common import OWN, written
 
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 48
+#: Leaders of a bucket in each round after the first.
+FAN = 32
 #: Minima a sketch holds, by least number of shingles. Texts near a limit are sketched on both sides of it.
 MINIMA = ((0, 1), (4, 2), (16, 4), (48, 7))
 
@@ -156,32 +158,35 @@ def classes(docs: DataFrame) -> DataFrame:
     state = written(rows.join(crowded, "key"), "buckets")
     wanted = state.select("tk").distinct()
     words = written(own.select("tk", "text").join(wanted, "tk", "left_semi").groupBy("tk").agg(F.any_value("text").alias("text")).mapInArrow(_hashes, "tk string, w binary"), "words")
-    links, labels, done = None, None, None
+    links, labels, done, first, limit = None, None, None, True, 1 - SIMILARITY + 1e-12
     while True:
-        lead = state.groupBy("key").agg(F.min("tk").alias("a"))
-        star = state.join(lead, "key").filter("tk != a")
-        if labels is not None:
-            la, lb = labels.toDF("a", "ca"), labels.toDF("tk", "cb")
-            star = star.join(la, "a", "left").join(lb, "tk", "left")
-            star = star.withColumn("same", F.coalesce("ca", "a") == F.coalesce("cb", "tk"))
-        else:
+        # the first round has one leader a bucket and settles the large classes; later ones have FAN each
+        order = W.partitionBy("key").orderBy("tk")
+        lead = state.groupBy("key").agg(F.min("tk").alias("a")) if first else state.select("key", F.col("tk").alias("a"), F.row_number().over(order).alias("r")).filter(F.col("r") <= FAN).select("key", "a")
+        star = state.join(lead, "key").filter("tk > a")
+        if links is None:
             star = star.withColumn("same", F.lit(False))
-        star = star.select("key", "a", "tk", "same")
+        else:
+            star = star.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("tk", "cb"), "tk", "left").withColumn("same", F.coalesce("ca", "a") == F.coalesce("cb", "tk"))
         pairs = star.filter("not same").select("a", F.col("tk").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        tested = pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a string, b string, d double")
-        tested = written(tested, "tested")
+        tested = written(pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a string, b string, d double"), "tested")
         done = tested if done is None else done.union(tested)
-        fresh = tested.filter(F.col("d") <= 1 - SIMILARITY + 1e-12).select("a", "b")
-        links = fresh if links is None else links.union(fresh)
-        labels = components(links)
-        # what a bucket still has to compare: its other members, less those the triangle inequality settles
-        known = star.join(done.withColumnRenamed("b", "tk"), ["a", "tk"], "left").join(labels.toDF("tk", "c"), "tk", "left").select("key", "tk", F.coalesce("c", "tk").alias("c"), F.coalesce(F.when(~F.col("same"), F.col("d")), F.lit(0.0)).alias("d"), F.col("same"))
-        far = known.groupBy("key").agg(F.min(F.when(F.col("d") > 1 - SIMILARITY + 1e-12, F.col("d"))).alias("near"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1")
-        left = known.join(far, "key").filter(F.col("same") | F.col("near").isNull() | (F.col("d") >= F.col("near") - (1 - SIMILARITY) - 1e-12)).select("key", "tk", "c")
+        fresh = tested.filter(F.col("d") <= limit).select("a", "b")
+        if labels is None or not fresh.isEmpty():
+            links = fresh if links is None else links.union(fresh)
+            labels = components(links)
+        if first:
+            # members that the triangle inequality settles, and buckets of one class, are done
+            known = star.select("key", "a", "tk").join(tested.withColumnRenamed("b", "tk"), ["a", "tk"])
+            near = known.groupBy("key").agg(F.min(F.when(F.col("d") > limit, F.col("d"))).alias("near")).filter("near IS NOT NULL")
+            left = known.join(near, "key").filter(F.col("d") >= F.col("near") - limit).select("key", "tk")
+        else:
+            left = state.join(lead.withColumnRenamed("a", "tk"), ["key", "tk"], "left_anti")
+        left = left.join(labels.toDF("tk", "c"), "tk", "left").select("key", "tk", F.coalesce("c", "tk").alias("c"))
         many = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key")
-        state = written(left.join(many, "key").select("key", "tk"), "buckets")
+        state, first = written(left.join(many, "key").select("key", "tk"), "buckets"), False
         if state.isEmpty():
             break
     return reps.select("tk", "doc_id").join(labels.toDF("tk", "c"), "tk", "left").select("tk", "doc_id", F.coalesce("c", "tk").alias("root"))
