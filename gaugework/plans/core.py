@@ -37,7 +37,7 @@ def wilson_interval(spark, sf):
 
 def mean_interval(spark, sf):
     """Student-t for the first 2, 11 and 31 customers of three segments (textbook quantiles in the SQL)."""
-    c = load(spark, sf, "customer").filter("c_custkey <= 31").select(F.explode(F.array(*[F.when(F.col("c_custkey") <= n, F.lit(n)) for n in (2, 11, 31)])).alias("metric"), F.col("c_acctbal").alias("value")).filter("metric IS NOT NULL")
+    c = load(spark, sf, "customer").filter("c_custkey < 31").select(F.explode(F.array(*[F.when(F.col("c_custkey") < n, F.lit(n)) for n in (2, 11, 31)])).alias("metric"), F.col("c_acctbal").alias("value")).filter("metric IS NOT NULL")
     s = c.withColumns({"status": F.lit("scored"), "validity": F.lit("valid")})
     m = A.mean_interval(A.aggregated(s))
     return m.select("metric", "included", F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"))
@@ -188,7 +188,7 @@ _Z = "1.959963984540054::DOUBLE"
 ORACLE = {
     "agg_family": f"SELECT metric, round(avg(value) {_OK}, 9) AS mean, round(median(value) {_OK}, 9) AS median, round(min(value) {_OK}, 9) AS min, round(max(value) {_OK}, 9) AS max, round(stddev_samp(value) {_OK}, 9) AS sd, count(*) {_OK} AS included, count(*) AS total, count(*) FILTER (WHERE status = 'scored') AS n_scored, count(*) FILTER (WHERE status = 'blocked') AS n_blocked, count(*) - count(*) {_OK} AS excluded FROM {_LS} GROUP BY metric",
     "wilson_interval": f"SELECT metric, k AS successes, n AS included, round(greatest(0, (k / n::DOUBLE + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) - h), 10) AS lower, round(least(1, (k / n::DOUBLE + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) + h), 10) AS upper FROM (SELECT *, {_Z} / (1 + {_Z} * {_Z} / n) * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + {_Z} * {_Z} / (4.0::DOUBLE * n * n)) AS h FROM (SELECT metric, count(*) {_OK} AS n, count(*) FILTER (WHERE status = 'scored' AND validity = 'valid' AND value >= 0.5) AS k FROM {_LS} GROUP BY metric))",
-    "mean_interval": "SELECT m AS metric, count(*) AS included, round(avg(c_acctbal) - any_value(t) * stddev_samp(c_acctbal) / sqrt(count(*)), 2) AS lower, round(avg(c_acctbal) + any_value(t) * stddev_samp(c_acctbal) / sqrt(count(*)), 2) AS upper FROM customer, (VALUES (2, 12.706204736::DOUBLE), (11, 2.228138852::DOUBLE), (31, 2.042272456::DOUBLE)) q(m, t) WHERE c_custkey <= m GROUP BY m",
+    "mean_interval": "SELECT m AS metric, count(*) AS included, round(avg(c_acctbal) - any_value(t) * stddev_samp(c_acctbal) / sqrt(count(*)), 2) AS lower, round(avg(c_acctbal) + any_value(t) * stddev_samp(c_acctbal) / sqrt(count(*)), 2) AS upper FROM customer, (VALUES (2, 12.706204736::DOUBLE), (11, 2.228138852::DOUBLE), (31, 2.042272456::DOUBLE)) q(m, t) WHERE c_custkey < m GROUP BY m",
     "rule_of_three": "SELECT s_nationkey, count(*) AS n, round(least(1.0::DOUBLE, 3.0::DOUBLE / count(*)), 12) AS bound FROM supplier GROUP BY s_nationkey",
     "population_terminal": f"SELECT metric, count(*) FILTER (WHERE s = 'scored') AS n_scored, count(*) FILTER (WHERE s = 'blocked') AS n_blocked, 0::BIGINT AS n_non_evaluable, 0::BIGINT AS n_skipped, count(*) FILTER (WHERE s = 'error') AS n_error FROM (SELECT metric, CASE WHEN status = 'scored' AND validity <> 'valid' THEN 'error' ELSE status END AS s FROM {_LS}) GROUP BY metric",
     "population_plan": "SELECT count(*) AS available, count(*) FILTER (WHERE m) AS matched, count(*) FILTER (WHERE NOT m) AS selector_excluded, count(*) FILTER (WHERE m AND h) AS eligible, count(*) FILTER (WHERE m AND NOT h) AS prerequisite_excluded FROM (SELECT lang IN ('en', 'fr') AS m, doc_id IN (SELECT doc_id FROM labels) AS h FROM documents)",
