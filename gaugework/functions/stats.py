@@ -57,7 +57,7 @@ def wilson(k: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
     m = F.when(n > 0, n.cast("double"))
     p = k / m
     mid, half = (p + z * z / (2 * m)) / (1 + z * z / m), z / (1 + z * z / m) * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
-    return F.round(F.greatest(F.lit(0.0), mid - half), PLACES), F.round(F.least(F.lit(1.0), mid + half), PLACES)
+    return F.when(n > 0, F.round(F.greatest(F.lit(0.0), mid - half), PLACES)), F.when(n > 0, F.round(F.least(F.lit(1.0), mid + half), PLACES))
 
 
 def rule_of_three(n: Column) -> Column:

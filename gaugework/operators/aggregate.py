@@ -34,8 +34,8 @@ def mean_interval(agg: DataFrame, level: float = 0.95, low: float | None = None,
         t = F.when(F.col("included") == n, F.lit(stats.t_value(n - 1, level))).otherwise(t)
     half = t * F.col("sd") / F.sqrt(F.col("included"))
     lo, hi = F.col("mean") - half, F.col("mean") + half
-    lo = lo if low is None else F.greatest(lo, F.lit(float(low)))
-    hi = hi if high is None else F.least(hi, F.lit(float(high)))
+    lo = lo if low is None else F.when(lo.isNotNull(), F.greatest(lo, F.lit(float(low))))
+    hi = hi if high is None else F.when(hi.isNotNull(), F.least(hi, F.lit(float(high))))
     return agg.withColumn("lower", F.round(lo, stats.PLACES)).withColumn("upper", F.round(hi, stats.PLACES))
 
 
