@@ -150,6 +150,20 @@ def _classes(pdf):
     return pd.DataFrame({"host": pdf.host.iloc[0], "run": runs, "pages": pages})
 
 
+def _rest(words: list[str], gone: bytearray) -> list[str]:
+    """The words left of a block. A run that only reaches into the block from a neighbour takes nothing of it: covered
+    stretches go if they are RUN long or the whole block."""
+    out, i = [], 0
+    while i < len(words):
+        j = i
+        while j < len(words) and gone[j] == gone[i]:
+            j += 1
+        if not gone[i] or j - i < min(RUN, len(words)):
+            out += words[i:j]
+        i = j
+    return out
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
@@ -166,7 +180,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(t)
                     continue
                 w = t.split()
-                rest = [x for x, g in zip(w, gone[k : k + len(w)]) if not g]
+                rest = _rest(w, gone[k : k + len(w)])
                 k += len(w)
                 if rest:
                     out.append(" ".join(rest))
