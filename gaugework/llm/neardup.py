@@ -6,10 +6,11 @@ key. Texts that share a band key are candidates, verified by a banded alignment
 the band are dropped and the longest increasing chain of the rest is the common subsequence k. Similarity is
 k / (n + m - k), of which one minus is a metric.
 
-No bucket is expanded into pairs. In the first round every bucket compares its leader (its least text) with its other
-members. Then it drops the leader, and members that the triangle inequality rules out: with distances x and y to the
-leader, two members can only be within t if |x - y| <= t. Later rounds take FAN leaders each. Members known to be in one
-class need no comparison. Rounds go on until no bucket holds texts of different classes, so no candidate link is lost.
+No bucket is expanded into pairs. In the first round every bucket compares one leader, drawn by hash, with its other
+members; this settles the large classes. In later rounds a bucket's largest class stays back: leaders are members of its
+other classes, up to a number that doubles with each round, and each is compared with the members of other classes than
+its own. Texts in one class need no comparison, nor do texts whose lengths alone rule the similarity out. A leader
+leaves its bucket; rounds go on until no bucket holds texts of different classes, so no candidate link is lost.
 
 Defined cases: null texts and texts without words are each a class of their own if their text is the same (all null texts
 are one class, all empty ones another); shorter texts than five words are one shingle; repeated rows are copies; null
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from gaugework.llm.common import OWN, written
 
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 48
-#: Leaders of a bucket in each round after the first.
-FAN = 32
+#: Leaders of a bucket in the second round, and at most in a later one.
+FAN, MOST_FAN = 256, 4096
 #: Minima a sketch holds, by least number of shingles. Texts near a limit are sketched on both sides of it.
 MINIMA = ((0, 1), (4, 2), (16, 4), (48, 7))
 
@@ -109,8 +110,12 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [sketch(shingles(word_hashes(t))) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["tk", "doc_id", "keys"])
+        keys, sizes = [], []
+        for t in b.column(2).to_pylist():
+            x = shingles(word_hashes(t))
+            keys.append(sketch(x))
+            sizes.append(len(x))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["tk", "doc_id", "n", "keys"])
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,48 +152,46 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _tested(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b, d) of pairs (a, b); rows of one a follow each other, so that its shingles are made once."""
+    both = pairs.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a").select("a", "b", "wa", "wb")
+    return written(both.mapInArrow(_verify, "a string, b string, d double"), "tested")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(tk, doc_id, root): for each different text its md5, its least doc_id and its component's root text."""
     own = docs.select(F.md5(F.col("text").cast("binary")).alias("tk"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     own = own.withColumn("tk", F.coalesce("tk", F.lit("null")))
-    sk = own.mapInArrow(_sketches, "tk string, doc_id bigint, keys array<bigint>")
-    reps = written(sk.groupBy("tk").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")), "reps")
-    rows = reps.select("tk", F.explode("keys").alias("key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    sk = own.mapInArrow(_sketches, "tk string, doc_id bigint, n bigint, keys array<bigint>")
+    reps = written(sk.groupBy("tk").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "reps")
+    rows = reps.select("tk", "n", F.explode("keys").alias("key"))
+    crowded = rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
     state = written(rows.join(crowded, "key"), "buckets")
     wanted = state.select("tk").distinct()
     words = written(own.select("tk", "text").join(wanted, "tk", "left_semi").groupBy("tk").agg(F.any_value("text").alias("text")).mapInArrow(_hashes, "tk string, w binary"), "words")
-    links, labels, done, first, limit = None, None, None, True, 1 - SIMILARITY + 1e-12
+    limit, fan = 1 - SIMILARITY + 1e-12, FAN
+    fits = F.least("n", "an") >= SIMILARITY * F.greatest("n", "an") - 1e-6
+    pair = (F.least("a", "tk").alias("a"), F.greatest("a", "tk").alias("b"))
+    # one leader a bucket, one of four orders of the texts: the leaders of a class differ, which joins it sooner
+    lead = state.groupBy("key").agg(F.min_by(F.struct("tk", "n"), F.xxhash64("tk", F.pmod("key", F.lit(4)))).alias("l")).select("key", F.col("l.tk").alias("a"), F.col("l.n").alias("an"))
+    done = _tested(state.join(lead, "key").filter("tk != a").filter(fits).select(*pair).distinct(), words)
+    labels = components(done.filter(F.col("d") <= limit).select("a", "b"))
+    left = state
     while True:
-        # the first round has one leader a bucket and settles the large classes; later ones have FAN each
-        order = W.partitionBy("key").orderBy("tk")
-        lead = state.groupBy("key").agg(F.min("tk").alias("a")) if first else state.select("key", F.col("tk").alias("a"), F.row_number().over(order).alias("r")).filter(F.col("r") <= FAN).select("key", "a")
-        star = state.join(lead, "key").filter("tk > a")
-        if links is None:
-            star = star.withColumn("same", F.lit(False))
-        else:
-            star = star.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("tk", "cb"), "tk", "left").withColumn("same", F.coalesce("ca", "a") == F.coalesce("cb", "tk"))
-        pairs = star.filter("not same").select("a", F.col("tk").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        tested = written(pairs.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a string, b string, d double"), "tested")
-        done = tested if done is None else done.union(tested)
-        fresh = tested.filter(F.col("d") <= limit).select("a", "b")
-        if labels is None or not fresh.isEmpty():
-            links = fresh if links is None else links.union(fresh)
-            labels = components(links)
-        if first:
-            # members that the triangle inequality settles, and buckets of one class, are done
-            known = star.select("key", "a", "tk").join(tested.withColumnRenamed("b", "tk"), ["a", "tk"])
-            near = known.groupBy("key").agg(F.min(F.when(F.col("d") > limit, F.col("d"))).alias("near")).filter("near IS NOT NULL")
-            left = known.join(near, "key").filter(F.col("d") >= F.col("near") - limit).select("key", "tk")
-        else:
-            left = state.join(lead.withColumnRenamed("a", "tk"), ["key", "tk"], "left_anti")
-        left = left.join(labels.toDF("tk", "c"), "tk", "left").select("key", "tk", F.coalesce("c", "tk").alias("c"))
-        many = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("key")
-        state, first = written(left.join(many, "key").select("key", "tk"), "buckets"), False
+        named = left.select("key", "tk", "n").join(labels.toDF("tk", "c"), "tk", "left").select("key", "tk", "n", F.coalesce("c", "tk").alias("c"))
+        sizes = named.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("k"))
+        state = written(named.join(sizes.filter("k > 1").select("key", F.col("most.c").alias("main")), "key"), "buckets")
         if state.isEmpty():
             break
+        order = W.partitionBy("key").orderBy("tk")
+        lead = written(state.filter("c != main").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= fan).select("key", F.col("tk").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac")), "leaders")
+        pairs = state.join(lead, "key").filter("c != ac").filter(fits).select(*pair).distinct()
+        tested = _tested(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), words)
+        done, fan = done.union(tested), min(2 * fan, MOST_FAN)
+        fresh = tested.filter(F.col("d") <= limit).select("a", "b")
+        if not fresh.isEmpty():
+            labels = components(labels.toDF("a", "b").union(fresh))
+        left = state.join(lead.select("key", F.col("a").alias("tk")), ["key", "tk"], "left_anti")
     return reps.select("tk", "doc_id").join(labels.toDF("tk", "c"), "tk", "left").select("tk", "doc_id", F.coalesce("c", "tk").alias("root"))
 
 
