@@ -17,13 +17,16 @@ stay. Blocks are at most MAX_BLOCKS plus LEAST_BLOCKS for each source.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gaugework.llm.common import OWN, written
 
 TARGET_ENTROPY, MAX_EPOCHS, SEED = 0.97, 4.0, 17
 BLOCK_TOKENS, MAX_BLOCKS, LEAST_BLOCKS = 1_000_000, 16_384, 16
-BISECTIONS = 40
+#: Halvings of the exponent that one aggregation answers: all points they could ask for are computed together.
+LEVELS = 4
 #: Rows up to which the block table is broadcast.
 BROADCAST_BLOCKS = 200_000
 
@@ -37,26 +40,30 @@ def exponent(shares: DataFrame, target_entropy: float, max_epochs: float) -> flo
     """The largest exponent that meets the target entropy, or the least one that the repetition limit allows.
     shares: source, p. Entropy falls and the spread of epochs shrinks as the exponent grows, so both are bisected."""
     s = shares.filter("p > 0").persist()
-    n = s.count()
-
-    def at(a: float) -> tuple[float, float]:
-        q = F.pow("p", F.lit(a))
-        r = s.agg(F.sum(q).alias("z"), F.sum(q * F.log(q)).alias("e"), F.max(F.pow("p", F.lit(a - 1))).alias("hi"), F.min(F.pow("p", F.lit(a - 1))).alias("lo")).first()
-        from math import log
 
-        return (log(r.z) - r.e / r.z) / log(n) if n > 1 else 1.0, r.hi / r.lo
+    def at(points: list[float]) -> list[tuple[float, float]]:
+        """Entropy and spread at each point, by one aggregation."""
+        cols = []
+        for i, a in enumerate(points):
+            q, e = F.pow("p", F.lit(a)), F.pow("p", F.lit(a - 1))
+            cols += [F.sum(q).alias(f"z{i}"), F.sum(q * F.log(q)).alias(f"e{i}"), (F.max(e) / F.min(e)).alias(f"s{i}")]
+        r = s.agg(*cols).first()
+        return [((log(r[f"z{i}"]) - r[f"e{i}"] / r[f"z{i}"]) / log(n), r[f"s{i}"]) for i in range(len(points))]
 
     try:
-        if n < 2 or at(1.0)[0] >= target_entropy:
+        n = s.count()
+        if n < 2 or at([1.0])[0][0] >= target_entropy:
             return 1.0
         lo, hi = 0.0, 1.0  # lo meets the entropy or is as flat as can be; hi doesn't
-        for _ in range(BISECTIONS):
-            mid = (lo + hi) / 2
-            entropy, spread = at(mid)
-            lo, hi = (mid, hi) if entropy >= target_entropy or spread > max_epochs else (lo, mid)
-            if hi - lo < 1e-9:
-                break
-        return hi if at(hi)[1] <= max_epochs else 1.0
+        while hi - lo > 1e-9:
+            points = [lo + (hi - lo) * k / 2**LEVELS for k in range(2**LEVELS + 1)]
+            meets = [entropy >= target_entropy or spread > max_epochs for entropy, spread in at(points[1:-1])]
+            left, right = 0, 2**LEVELS
+            while right - left > 1:
+                mid = (left + right) // 2
+                left, right = (mid, right) if meets[mid - 1] else (left, mid)
+            lo, hi = points[left], points[right]
+        return hi
     finally:
         s.unpersist()
 
