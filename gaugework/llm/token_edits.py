@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,9 +33,7 @@ class Tree:
     def _grow(self, pieces: list[str]) -> list[list]:
         self.enc.encode([])
         size, known = self.enc.kind.itemsize, self.enc.known
-        miss = list({p for p in pieces if p not in known})
-        for p, e in zip(miss, self.enc.tok.encode_batch_fast(miss, add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype=self.enc.kind).tobytes()
+        self.enc.learn(pieces)
         leaves = [(p, len(known[p]) // size) for p in pieces]
         return [[x := leaves[i : i + FANOUT], sum(len(p) for p, _ in x), sum(n for _, n in x)] for i in range(0, len(leaves), FANOUT)]
 

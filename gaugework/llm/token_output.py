@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gaugework.llm.common import OWN, fresh_path
 
 LENGTH, END_ID, BATCH_ROWS = 2048, 0, 256
-#: Chunks and pieces a worker keeps at most; either table starts anew beyond its limit.
-CACHE_CHUNKS, CACHE_PIECES = 700_000, 900_000
+#: Memory of a worker's tables of words and pieces, about; they start anew beyond it. Bytes of an entry besides its text.
+CACHE_BYTES, ENTRY = 320_000_000, 190
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -47,31 +49,57 @@ class Encoder:
         self.spaced = regex.compile(r"\s\s")
         self.wide = self.tok.get_vocab_size() > 65_536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.code = "I" if self.wide else "H"
         self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
+        self.held = 0
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode the pieces that are not known yet."""
+        miss = list({p for p in pieces if p not in self.known})
+        for i in range(0, len(miss), 10_000):
+            some = miss[i : i + 10_000]
+            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[p] = array(self.code, e.ids).tobytes()
+        self.held += sum(map(len, miss)) + len(miss) * ENTRY
+
+    def learn_words(self, words: list[str]) -> None:
+        """Encode words without white space, each behind a space. A line feed before a space is a piece of its own, so
+        many words are one text, whose ids fall apart at the line feed's id; where they don't, nothing is learnt."""
+        if len(self.line) != 1:
+            return
+        some = [words[i : i + 400] for i in range(0, len(words), 400)]
+        for ws, e in zip(some, self.tok.encode_batch_fast([" " + "\n ".join(ws) for ws in some], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.kind)
+            at = np.flatnonzero(ids == self.line[0])
+            if len(at) == len(ws) - 1:
+                raw, size = ids.tobytes(), self.kind.itemsize
+                ends = (at * size).tolist() + [len(raw)]
+                starts = [0, *(at * size + size).tolist()]
+                self.after.update(zip(ws, [raw[i:j] for i, j in zip(starts, ends)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        if self.held > CACHE_BYTES:
+            self.known.clear()
+            self.after.clear()
+            self.held = 0
+        heads, tails, new = [], [], set()
         for t in texts:
             # without double white space, a text falls apart at its single spaces, which open the next piece
-            parts = t.split(" ") if " " in t and not self.spaced.search(t) and t[-1] != " " else [t]
-            split.append([parts[0], *[" " + x for x in parts[1:]]])
-        new = {c for parts in split for c in parts if c not in self.chunks}
-        if new:
-            pieces = {c: self.pieces.findall(c) for c in new}
-            miss = list({p for ps in pieces.values() for p in ps if p not in self.known})
-            for i in range(0, len(miss), 10_000):
-                some = miss[i : i + 10_000]
-                for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                    self.known[p] = np.array(e.ids, dtype=self.kind).tobytes()
-            for c, ps in pieces.items():
-                self.chunks[c] = self.known[ps[0]] if len(ps) == 1 else b"".join([self.known[p] for p in ps])
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, parts)) for parts in split]
-        for kept, most in ((self.chunks, CACHE_CHUNKS), (self.known, CACHE_PIECES)):
-            if len(kept) > most:
-                kept.clear()
-        return out
+            head, tail = (t, []) if " " not in t or t[-1] == " " or self.spaced.search(t) else ((x := t.split(" "))[0], x[1:])
+            heads.append(self.pieces.findall(head))
+            tails.append(tail)
+            new.update(filterfalse(self.after.__contains__, tail))
+        plain = [w for w in new if w.split() == [w]]
+        self.learn_words(plain)
+        split = {w: self.pieces.findall(" " + w) for w in new if w not in self.after}
+        self.learn(chain(chain.from_iterable(heads), chain.from_iterable(split.values())))
+        first, then = self.known.__getitem__, self.after.__getitem__
+        for w, ps in split.items():
+            self.after[w] = b"".join(map(first, ps))
+        self.held += sum(map(len, new)) + len(new) * ENTRY
+        return [b"".join(chain(map(first, head), map(then, tail))) for head, tail in zip(heads, tails)]
 
 
 def encoder(path: str) -> Encoder:
