@@ -1,6 +1,6 @@
 """Registered queries of the evaluation engine, with the SQL each is held against."""
 
-from gaugework.plans import core, decisions, scorers
+from gaugework.plans import core, decisions, scorers, sources
 
-QUERIES = scorers.QUERIES | core.QUERIES | decisions.QUERIES
-ORACLE = scorers.ORACLE | core.ORACLE | decisions.ORACLE
+QUERIES = scorers.QUERIES | core.QUERIES | decisions.QUERIES | sources.QUERIES
+ORACLE = scorers.ORACLE | core.ORACLE | decisions.ORACLE | sources.ORACLE
