@@ -24,7 +24,7 @@ FANOUT = 64
 
 
 class Tree:
-    """Sums over blocks of leaves, two levels deep: blocks stand for subtrees, and an edit replaces the blocks it touches."""
+    """Blocks of leaves with their sums (pre-tokens, characters, ids, ids of each leaf): blocks stand for subtrees, and an edit replaces the blocks it touches."""
 
     def __init__(self, text: str, enc) -> None:
         self.enc, self.reencoded = enc, 0
@@ -34,8 +34,9 @@ class Tree:
         self.enc.encode([])
         size, known = self.enc.kind.itemsize, self.enc.known
         self.enc.learn(pieces)
-        leaves = [(p, len(known[p]) // size) for p in pieces]
-        return [[x := leaves[i : i + FANOUT], sum(len(p) for p, _ in x), sum(n for _, n in x)] for i in range(0, len(leaves), FANOUT)]
+        sizes = [n // size for n in map(len, map(known.__getitem__, pieces))]
+        cuts = [(pieces[i : i + FANOUT], sizes[i : i + FANOUT]) for i in range(0, len(pieces), FANOUT)]
+        return [[p, sum(map(len, p)), sum(n), n] for p, n in cuts]
 
     @property
     def count(self) -> int:
@@ -46,7 +47,7 @@ class Tree:
         return sum(b[1] for b in self.blocks)
 
     def text(self) -> str:
-        return "".join(p for b in self.blocks for p, _ in b[0])
+        return "".join(p for b in self.blocks for p in b[0])
 
     def edit(self, start: int, end: int, new: str) -> None:
         n = self.length
@@ -66,7 +67,7 @@ class Tree:
                     lo -= 1
                     before -= self.blocks[lo][1]
                 hi = min(hi + 1, len(self.blocks))
-            old = [p for b in self.blocks[lo:hi] for p, _ in b[0]]
+            old = [p for b in self.blocks[lo:hi] for p in b[0]]
             piece = "".join(old)
             fresh = self.enc.pieces.findall(piece[: start - before] + new + piece[end - before :])
             c = CONTEXT

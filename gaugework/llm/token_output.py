@@ -57,7 +57,7 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode the pieces that are not known yet."""
-        miss = list({p for p in pieces if p not in self.known})
+        miss = list(set(filterfalse(self.known.__contains__, pieces)))
         for i in range(0, len(miss), 10_000):
             some = miss[i : i + 10_000]
             for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
