@@ -10,6 +10,8 @@ from gaugework.operators.joins import assemble, paired
 from gaugework.plans.scorers import SPACE, load, score_word_count
 
 _RND = 9
+#: Proposals of an item in synthetic_expand_items.
+COPIES = 3
 
 
 def line_scores(spark, sf) -> DataFrame:
@@ -43,6 +45,13 @@ def mean_interval(spark, sf):
     return m.select("metric", "included", F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"))
 
 
+def mean_interval_segments(spark, sf):
+    """Student-t over every customer, by market segment."""
+    c = load(spark, sf, "customer").select(F.col("c_mktsegment").alias("metric"), F.col("c_acctbal").alias("value"), F.lit("scored").alias("status"), F.lit("valid").alias("validity"))
+    m = A.mean_interval(A.aggregated(c))
+    return m.select("metric", "included", F.round("lower", 1).alias("lower"), F.round("upper", 1).alias("upper"))
+
+
 def rule_of_three(spark, sf):
     a = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
     return a.select("s_nationkey", "n", stats.rule_of_three(F.col("n")).alias("bound"))
@@ -164,6 +173,12 @@ def synthetic_expand(spark, sf):
     return spark.range(500).select(F.col("id").alias("i"), (F.col("id") % 7).alias("item_id")).join(seed, "item_id").select("i", "digest", F.lit("proposed").alias("status"))
 
 
+def synthetic_expand_items(spark, sf):
+    """COPIES proposals from every benchmark item."""
+    seed = load(spark, sf, "benchmark").select("item_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return seed.select("item_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(COPIES - 1).cast("bigint"))).alias("copy"), "digest", F.lit("proposed").alias("status"))
+
+
 def verify_aggregates(spark, sf):
     """Stored sums against a recomputation: an order's total from its lines never has to agree here, its count does."""
     a = line_scores(spark, sf).groupBy("metric").agg(F.count("*").alias("stored"))
@@ -182,13 +197,16 @@ def explorer_by_call(spark, sf):
     return s.union(t).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(x["metric"], F.lit("="), x["value"].cast("int").cast("string"))), ";").alias("row"))
 
 
-QUERIES = {f.__name__: f for f in (agg_family, wilson_interval, mean_interval, rule_of_three, population_terminal, population_plan, diagnostic_clusters, cohen_kappa, paired_delta, changed_dimensions, plan_reconcile, selector_no_match, assemble_one_to_one, assemble_one_to_many, assemble_ambiguous, evaluability, worst_policy, calls_top_200, previous_verified_run, judge_budget_cutoff, source_manifest, synthetic_expand, verify_aggregates, verify_evidence_refs, explorer_by_call)}
+QUERIES = {f.__name__: f for f in (agg_family, wilson_interval, mean_interval, mean_interval_segments, rule_of_three, population_terminal, population_plan, diagnostic_clusters, cohen_kappa, paired_delta, changed_dimensions, plan_reconcile, selector_no_match, assemble_one_to_one, assemble_one_to_many, assemble_ambiguous, evaluability, worst_policy, calls_top_200, previous_verified_run, judge_budget_cutoff, source_manifest, synthetic_expand, synthetic_expand_items, verify_aggregates, verify_evidence_refs, explorer_by_call)}
 
 _Z = "1.959963984540054::DOUBLE"
+#: Expansion of the Student-t quantile in 1/f, independent of the bisection; below 1e-6 off from f = 20 on.
+_T = "z + (z**3 + z) / (4 * f) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * f**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * f**3) + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * f**4)"
 ORACLE = {
     "agg_family": f"SELECT metric, round(avg(value) {_OK}, 9) AS mean, round(median(value) {_OK}, 9) AS median, round(min(value) {_OK}, 9) AS min, round(max(value) {_OK}, 9) AS max, round(stddev_samp(value) {_OK}, 9) AS sd, count(*) {_OK} AS included, count(*) AS total, count(*) FILTER (WHERE status = 'scored') AS n_scored, count(*) FILTER (WHERE status = 'blocked') AS n_blocked, count(*) - count(*) {_OK} AS excluded FROM {_LS} GROUP BY metric",
     "wilson_interval": f"SELECT metric, k AS successes, n AS included, round(greatest(0, (k / n::DOUBLE + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) - h), 10) AS lower, round(least(1, (k / n::DOUBLE + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) + h), 10) AS upper FROM (SELECT *, {_Z} / (1 + {_Z} * {_Z} / n) * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + {_Z} * {_Z} / (4.0::DOUBLE * n * n)) AS h FROM (SELECT metric, count(*) {_OK} AS n, count(*) FILTER (WHERE status = 'scored' AND validity = 'valid' AND value >= 0.5) AS k FROM {_LS} GROUP BY metric))",
     "mean_interval": "SELECT m AS metric, count(*) AS included, round(avg(c_acctbal) - any_value(t) * stddev_samp(c_acctbal) / sqrt(count(*)), 2) AS lower, round(avg(c_acctbal) + any_value(t) * stddev_samp(c_acctbal) / sqrt(count(*)), 2) AS upper FROM customer, (VALUES (2, 12.706204736::DOUBLE), (11, 2.228138852::DOUBLE), (31, 2.042272456::DOUBLE)) q(m, t) WHERE c_custkey < m GROUP BY m",
+    "mean_interval_segments": f"SELECT metric, n AS included, round(d - t * s / sqrt(n), 1) AS lower, round(d + t * s / sqrt(n), 1) AS upper FROM (SELECT *, {_T} AS t FROM (SELECT c_mktsegment AS metric, count(*) AS n, avg(c_acctbal)::DOUBLE AS d, stddev_samp(c_acctbal)::DOUBLE AS s, (count(*) - 1)::DOUBLE AS f, {_Z} AS z FROM customer GROUP BY c_mktsegment))",
     "rule_of_three": "SELECT s_nationkey, count(*) AS n, round(least(1.0::DOUBLE, 3.0::DOUBLE / count(*)), 12) AS bound FROM supplier GROUP BY s_nationkey",
     "population_terminal": f"SELECT metric, count(*) FILTER (WHERE s = 'scored') AS n_scored, count(*) FILTER (WHERE s = 'blocked') AS n_blocked, 0::BIGINT AS n_non_evaluable, 0::BIGINT AS n_skipped, count(*) FILTER (WHERE s = 'error') AS n_error FROM (SELECT metric, CASE WHEN status = 'scored' AND validity <> 'valid' THEN 'error' ELSE status END AS s FROM {_LS}) GROUP BY metric",
     "population_plan": "SELECT count(*) AS available, count(*) FILTER (WHERE m) AS matched, count(*) FILTER (WHERE NOT m) AS selector_excluded, count(*) FILTER (WHERE m AND h) AS eligible, count(*) FILTER (WHERE m AND NOT h) AS prerequisite_excluded FROM (SELECT lang IN ('en', 'fr') AS m, doc_id IN (SELECT doc_id FROM labels) AS h FROM documents)",
@@ -208,6 +226,7 @@ ORACLE = {
     "judge_budget_cutoff": "SELECT event_id, coalesce(sum(ceil(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 2000 AS dispatched FROM events",
     "source_manifest": "SELECT source, count(*) AS seen, count(*) FILTER (WHERE length(text) >= 100) AS imported, bool_or(lang = 'en') AS has_en, CASE WHEN count(*) FILTER (WHERE length(text) >= 100) = 0 THEN 'blocked' WHEN count(*) FILTER (WHERE length(text) >= 100) < count(*) THEN 'partial' ELSE 'complete_within_declared_scope' END AS completeness FROM documents GROUP BY source",
     "synthetic_expand": "SELECT i, md5(text) AS digest, 'proposed' AS status FROM (SELECT unnest(range(500)) AS i) JOIN benchmark ON item_id = i % 7",
+    "synthetic_expand_items": f"SELECT item_id, unnest(range({COPIES})) AS copy, md5(text) AS digest, 'proposed' AS status FROM benchmark",
     "verify_aggregates": "SELECT DISTINCT l_returnflag AS metric, true AS agrees FROM lineitem",
     "verify_evidence_refs": "SELECT doc_id, 'unresolved' AS problem FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 500)",
     "explorer_by_call": f"SELECT doc_id, coalesce('quality=' || quality || ';', '') || 'words=' || (len(list_filter(regexp_split_to_array(text, '{SPACE}'), lambda x: x <> '')) BETWEEN 20 AND 800)::INT AS row FROM documents LEFT JOIN labels USING (doc_id)",
