@@ -1,10 +1,12 @@
 """License scans by patience alignment.
 
+Templates are whole license texts (license_texts/) and the one-line notices that stand for them.
+
 A template is aligned with the stretch of words around each place that could hold it. Words that occur once in both are
 anchors; the longest increasing run of their positions is kept, and the gaps between anchors are aligned in the same way,
 after equal words at their ends. Coverage is the share of the template's words that are aligned.
 
-Defined cases: a null or empty text holds no license; repeated rows and repeated notices each count; texts are read whole;
+Defined cases: a null or empty text holds no license; a notice inside a whole text counts beside it; repeated rows and repeated notices each count; texts are read whole;
 an empty table gives no rows; other columns are unused.
 """
 
@@ -14,23 +16,25 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 COVERAGE = 0.8
 
-#: Public license notices.
+#: Public license notices, and the public license texts in whole.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-}
+    "Reserved": "All rights reserved.",
+    "MIT-opening": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "GPL-opening": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "ISC-opening": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+} | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -79,26 +83,31 @@ class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> None:
         self.templates = {k: words_of(v) for k, v in templates.items()}
         self.coverage = coverage
+        self.kinds = {k: set(t) for k, t in self.templates.items()}
+        self.counts = {k: Counter(t) for k, t in self.templates.items()}
+        self.wanted = set().union(*self.kinds.values())
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(license, first word, end word, coverage) of each place that reaches the coverage."""
         words = words_of(text or "")
         at: dict[str, list[int]] = {}
-        wanted = {w for t in self.templates.values() for w in t}
         for i, w in enumerate(words):
-            if w in wanted:
+            if w in self.wanted:
                 at.setdefault(w, []).append(i)
         out = []
         for name, t in self.templates.items():
-            kinds = set(t)
-            if sum(w in at for w in kinds) < self.coverage * len(kinds):
+            kinds = self.kinds[name]
+            if len(at) < self.coverage * len(kinds) or sum(w in at for w in kinds) < self.coverage * len(kinds):
+                continue
+            counts = self.counts[name]
+            if sum(min(n, len(at.get(w, ()))) for w, n in counts.items()) < self.coverage * len(t):
                 continue
             # so many words must be aligned that one of the rarest few is among them
             spare = int((1 - self.coverage) * len(t)) + 1
             rare = sorted(kinds, key=lambda w: len(at.get(w, ())))
             picked: Counter = Counter()
             for w in rare:
-                picked[w] = t.count(w)
+                picked[w] = counts[w]
                 if sum(picked.values()) >= spare:
                     break
             seen = -1
@@ -106,6 +115,9 @@ class Scanner:
                 if p < seen:
                     continue
                 lo = max(0, seen, p - len(t) - spare)
+                have = Counter(words[lo : p + len(t) + spare])
+                if sum(min(n, have[w]) for w, n in counts.items()) < self.coverage * len(t):
+                    continue
                 pairs = aligned(words[lo : p + len(t) + spare], t)
                 if pairs and len(pairs) >= self.coverage * len(t):
                     out.append((name, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs) / len(t)))
@@ -113,8 +125,8 @@ class Scanner:
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner(coverage=coverage)
+def _scan(batches: Iterator[pa.RecordBatch], coverage: float, templates: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    scanner = Scanner(templates, coverage)
     for b in batches:
         got = [scanner.scan(t) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -123,7 +135,7 @@ def _scan(batches: Iterator[pa.RecordBatch], coverage: float) -> Iterator[pa.Rec
         )
 
 
-def scanned(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def scanned(docs: DataFrame, coverage: float = COVERAGE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, n_notices, licenses, spans in words, best_coverage) for each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, coverage), f"doc_id {kind}, n_notices bigint, licenses string, spans string, best_coverage double")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, coverage, templates), f"doc_id {kind}, n_notices bigint, licenses string, spans string, best_coverage double")
