@@ -4,17 +4,25 @@ A page becomes blocks in page order. Markup settles what it names: scripts, menu
 notices, adverts and comments go, and an article or main element is kept. All other blocks are settled by repetition.
 The token streams of a host's pages (what lies outside the article elements) are concatenated in shards; a shard's
 suffix array, built by prefix doubling to RUN tokens, groups the positions that start the same run. Shards send one row
-for each run class, with its number of distinct pages, so a hot host is split over shards and a common run costs a row a
-shard. Runs found on MIN_PAGES distinct pages of the host are boilerplate; the tokens they cover are removed and unique
-runs stay.
+for each run class, with its number of pages, so a hot host is split over shards and a common run costs a row a shard.
+Runs on a share of the host's distinct pages (SHARE, at least MIN_PAGES) are boilerplate, and so are blocks of SHORT to
+RUN - 1 tokens as a whole; the tokens they cover are removed and unique runs stay.
+
+Distinct pages are what counts: pages with the same blocks are one, and so are near copies, of which only the one with
+the least content hash enters the suffix arrays. Near copies have a Jaccard similarity of COPY or more of their word
+pairs (exact up to SKETCH pairs, estimated beyond); they are looked for under the least content of each of BANDS sketch
+buckets, so a pair at 0.85 is missed with a chance near 0.01, and more often where bucket mates are no copies.
 
 Defined cases: null html is empty; a null url is a host of its own; pages without body text give an empty text; repeated
-rows each give a row (and count as pages of their own); pages of any length are read whole; other columns are unused.
+rows each give a row and count as one page; a run that only other near copies hold isn't counted; pages of any length are
+read whole; other columns are unused.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,7 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugework.llm.common import written
 
-RUN, MIN_PAGES = 6, 3
+RUN, SHORT, MIN_PAGES, SHARE = 8, 6, 3, 0.2
+COPY, SKETCH, BANDS, ROWS = 0.85, 256, 16, 8
 SHARD_PAGES = 4_000
 
 _SKIP = frozenset("script style template noscript svg math iframe object select textarea button nav header footer aside form dialog menu head title".split())
@@ -103,10 +112,47 @@ def blocks(html: str) -> list[tuple[bool, str]]:
     return out
 
 
+_ODD = np.random.default_rng(7).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def sketched(words: list[str]) -> tuple[list[int], list[int]]:
+    """(the least SKETCH hashes of word pairs, a hash of each band of minima)."""
+    pairs = {xxhash.xxh64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:])} or {xxhash.xxh64_intdigest(" ".join(words))}
+    h = np.sort(np.fromiter(pairs, dtype=np.uint64, count=len(pairs)))
+    # the upper halves of multiplied hashes, so that each minimum has an order of its own
+    least = np.array([((h * a + b) >> np.uint64(16)).min() for a, b in _ODD.T], dtype=np.uint64)
+    bands = [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes()) - 2**63 for i in range(0, len(least), ROWS)]
+    return (h[:SKETCH] ^ np.uint64(2**63)).view(np.int64).tolist(), bands
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ints = pa.list_(pa.int64())
     for b in batches:
-        got = [blocks(h or "") for h in b.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([[x[0] for x in g] for g in got], pa.list_(pa.bool_())), pa.array([[x[1] for x in g] for g in got], pa.list_(pa.string()))], names=["page_id", "url", "host", "shard", "inside", "blocks"])
+        got = [blocks(h or "") for h in b.column(3).to_pylist()]
+        content, sketches, bands = [], [], []
+        for g in got:
+            loose = any(not i for i, _ in g)
+            s, k = sketched([w for _, t in g for w in t.split()]) if loose else (None, None)
+            content.append(xxhash.xxh3_128_hexdigest("\n".join(t for _, t in g)) if loose else None)
+            sketches.append(s)
+            bands.append(k)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([[x[0] for x in g] for g in got], pa.list_(pa.bool_())), pa.array([[x[1] for x in g] for g in got], pa.list_(pa.string())), pa.array(content, pa.string()), pa.array(sketches, ints), pa.array(bands, ints)], names=["page_id", "url", "host", "inside", "blocks", "content", "sketch", "bands"])
+
+
+def _similar(a, b):
+    """Jaccard similarity of two sets by their least hashes: the share in both of the least SKETCH of the union."""
+    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both)
+
+
+def representatives(loose: DataFrame) -> DataFrame:
+    """(host, content) of the distinct pages; of near copies, those with no copy of a lesser content."""
+    one = loose.groupBy("host", "content").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    many = one.select("host", "content", "sketch", F.posexplode("bands").alias("band", "value"))
+    lead = many.groupBy("host", "band", "value").agg(F.min(F.struct("content", "sketch")).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = many.join(lead, ["host", "band", "value"]).filter("lead.content < content")
+    copies = met.filter(_similar(F.col("sketch"), F.col("lead.sketch")) >= COPY).select("host", "content").distinct()
+    return one.select("host", "content").join(copies, ["host", "content"], "left_anti")
 
 
 def suffix_classes(ids: np.ndarray, left: np.ndarray, run: int) -> np.ndarray:
@@ -126,13 +172,23 @@ def _stream(blocks_: list[str], inside: list[bool]) -> list[str]:
     return [w for t, i in zip(blocks_, inside) if not i for w in t.split()]
 
 
+def _run(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(words)) - 2**63
+
+
+def _block(words: list[str]) -> int:
+    """Key of a short block as a whole, apart from those of runs."""
+    return xxhash.xxh64_intdigest("\n" + " ".join(words)) - 2**63
+
+
 def _classes(pdf):
-    """One shard of a host: (host, run, pages, seen) of each class of runs."""
+    """One shard of a host, each row a distinct page: (host, run, pages) of each class of runs."""
     import pandas as pd
 
-    words, owner = [], []
+    words, owner, short = [], [], Counter()
     for k, (bs, ins) in enumerate(zip(pdf.blocks, pdf.inside)):
         s = _stream(list(bs), list(ins))
+        short.update({_block(w) for t, i in zip(bs, ins) if not i and SHORT <= len(w := t.split()) < RUN})
         words += s
         owner += [k] * len(s)
     if not words:
@@ -146,8 +202,8 @@ def _classes(pdf):
     both = np.unique(np.stack([cls[at], own[at]]), axis=1)
     kinds, first = np.unique(cls[at], return_index=True)
     pages = np.bincount(np.searchsorted(kinds, both[0]), minlength=len(kinds))
-    runs = [xxhash.xxh64_intdigest(" ".join(words[at[i] : at[i] + RUN])) - 2**63 for i in first]
-    return pd.DataFrame({"host": pdf.host.iloc[0], "run": runs, "pages": pages})
+    runs = [_run(words[at[i] : at[i] + RUN]) for i in first]
+    return pd.DataFrame({"host": pdf.host.iloc[0], "run": runs + list(short), "pages": [*pages.tolist(), *short.values()]})
 
 
 def _rest(words: list[str], gone: bytearray) -> list[str]:
@@ -172,7 +228,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = bytearray(len(words))
             if runs:
                 for i in range(len(words) - RUN + 1):
-                    if xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) - 2**63 in runs:
+                    if _run(words[i : i + RUN]) in runs:
                         gone[i : i + RUN] = b"\x01" * RUN
             out, k = [], 0
             for t, i in zip(bs, inside):
@@ -180,7 +236,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(t)
                     continue
                 w = t.split()
-                rest = _rest(w, gone[k : k + len(w)])
+                rest = [] if runs and SHORT <= len(w) < RUN and _block(w) in runs else _rest(w, gone[k : k + len(w)])
                 k += len(w)
                 if rest:
                     out.append(" ".join(rest))
@@ -188,17 +244,19 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extracted(pages: DataFrame, run_pages: int = MIN_PAGES) -> DataFrame:
+def extracted(pages: DataFrame, run_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) for each page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    n = pages.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / SHARD_PAGES).alias("shards"))
-    own = pages.select("page_id", "url", host.alias("host"), F.col("html"), F.xxhash64("page_id", "url").alias("h"))
-    most = n.agg(F.max("shards")).first()[0] or 1
     kind = pages.schema["page_id"].dataType.simpleString()
-    cut = written(own.select("page_id", "url", "host", F.pmod("h", F.lit(int(most))).alias("shard"), "html").mapInArrow(_split, f"page_id {kind}, url string, host string, shard bigint, inside array<boolean>, blocks array<string>"), "blocks")
+    cut = written(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_split, f"page_id {kind}, url string, host string, inside array<boolean>, blocks array<string>, content string, sketch array<bigint>, bands array<bigint>"), "blocks")
     # only pages with tokens outside an article take part
-    loose = cut.filter(F.exists("inside", lambda x: ~x))
-    classes = loose.select("host", "shard", "inside", "blocks").groupBy("host", "shard").applyInPandas(_classes, "host string, run bigint, pages bigint")
-    common = written(classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= run_pages).groupBy("host").agg(F.collect_list("run").alias("runs")), "runs")
+    loose = cut.filter("content IS NOT NULL")
+    reps = written(representatives(loose.select("host", "content", "sketch", "bands")), "pages")
+    n = reps.groupBy("host").agg(F.count("*").alias("n"))
+    most = math.ceil((n.agg(F.max("n")).first()[0] or 1) / SHARD_PAGES)
+    own = loose.select("host", "content", "inside", "blocks").join(reps, ["host", "content"]).dropDuplicates(["host", "content"])
+    classes = own.select("host", F.pmod(F.xxhash64("content"), F.lit(most)).alias("shard"), "inside", "blocks").groupBy("host", "shard").applyInPandas(_classes, "host string, run bigint, pages bigint")
+    limit = F.greatest(F.lit(run_pages), F.ceil(F.col("n") * share))
+    common = written(classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(n, "host").filter(F.col("pages") >= limit).groupBy("host").agg(F.collect_list("run").alias("runs")), "runs")
     own = cut.join(common, "host", "left").select("page_id", "url", "inside", "blocks", "runs")
     return own.mapInArrow(_clean, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -1,8 +1,9 @@
 """Corpus operators on the cases a reduced job would miss."""
 
+import numpy as np
 import pytest
 
-from gaugework.llm import licenses
+from gaugework.llm import html_extract, licenses
 
 
 @pytest.mark.parametrize("name, end", [("MIT-text", "dealings in the software"), ("BSD", "possibility of such damage"), ("ISC", "performance of this software"), ("Apache-2.0-text", "limitations under the license"), ("GPL-3.0-text", "licenses why not lgpl html")])
@@ -22,3 +23,30 @@ def test_every_notice_line_is_found(spark):
     got = {r.doc_id: r.n_notices for r in licenses.scanned(docs).collect()}
     want = {k: any(x.lower().rstrip(".") in t for x in lines) for k, t in text.items()}
     assert {k: n > 0 for k, n in got.items()} == want and sum(lines[4].lower() in t for t in text.values()) == 7
+
+
+def pages_of(spark, bodies):
+    rows = [(i, f"https://h.example.com/{i}", f"<body>{b}</body>") for i, b in enumerate(bodies)]
+    got = html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [t for _, t in sorted((r.page_id, r.text) for r in got)]
+
+
+def prose(seed, n):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5_000, n))
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    foot = "<div>All prices in euro plus shipping and handling fees apply here</div>"
+    same, near = prose(1, 80), [prose(2, 80).split() for _ in range(4)]
+    for k, w in enumerate(near):
+        w[20 * k] = f"edit{k}"
+    texts = [same] * 5 + [" ".join(w) for w in near] + [prose(10 + k, 80) for k in range(4)]
+    assert pages_of(spark, [f"<div>{t}</div>{foot}" for t in texts]) == texts
+    assert pages_of(spark, [f"<div>{same}</div>"] * 3) == [same] * 3
+
+
+def test_a_phrase_needs_a_share_of_the_host(spark):
+    foot, menu = "<div>All prices in euro plus shipping and handling fees apply here</div>", "<div>Read all about our many terms</div>"
+    phrase = "as we said at the very start of this long report"
+    texts = [f"{prose(100 + k, 30)} {phrase if k < 6 else prose(200 + k, 11)} {prose(300 + k, 30)}" for k in range(60)]
+    assert pages_of(spark, [f"{menu}<div>{t}</div>{foot}" for t in texts]) == texts
