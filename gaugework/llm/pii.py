@@ -1,11 +1,13 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-Base spans come from four patterns with checks. A high-recall generator then proposes every longer token with a digit
-or an @; spans may overlap base ones. Boosted regression stumps score a candidate on its format and its context. They
-are fitted on counts of feature combinations: the features are small, so a bounded table of combinations (at most
-the product of their values) with positives and totals is all that reaches the driver, which fits plain numbers and
-returns a Column. Labels are weak: a candidate is positive if it holds a base span or a published key format. The
-threshold is the least score at which precision on the fitted counts reaches PRECISION.
+Base spans come from four patterns with checks. High-recall generators then propose every longer token with a digit or
+an @, every value after a key word and = or : (with spaces or quotes between), and every group of digits; spans may
+overlap base ones and each other, and of those that pass only the tokens' stay where another lies within. Boosted
+regression stumps score a candidate on its format and its context. They are fitted on counts of feature combinations:
+the features are small, so a bounded table of combinations (at most the product of their values) with positives and
+totals is all that reaches the driver, which fits plain numbers and returns a Column. Labels are weak: a candidate is
+positive if it holds a base span or a published key format, or if a key word with = or : stands before it and it has a
+digit. The threshold is the least score at which precision on the fitted counts reaches PRECISION.
 
 The fit reads about SAMPLE_ROWS rows, chosen by a hash of the id and read whole; all rows are searched.
 
@@ -21,7 +23,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_ROWS, ROUNDS, RATE, PRECISION = 20_000, 40, 0.3, 0.98
+SAMPLE_ROWS, ROUNDS, RATE, PRECISION, CONTEXT = 20_000, 40, 0.3, 0.98, 24
 
 #: The base patterns, in the order of kinds. Possessive forms match the same strings as greedy ones here.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,24 +35,30 @@ _PATTERN = {
 }
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _CANDIDATE = r"(?<![A-Za-z0-9_@+])[A-Za-z0-9_@+][A-Za-z0-9_@+.=/:%-]{7,}+"
-_KEY = r"AKIA[0-9A-Z]{16}|(?i:passw(or)?d|secret|token|api_?key)[=:]\S{6,}"
-_OUT = "struct<pos:bigint,out:array<struct<s:bigint,e:bigint,m:string,b:string>>>"
+_WORD = r"(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_\x20-]?key|(?:access|private|auth)[_\x20-]?key)"
+_KEY = rf"AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|(?i:{_WORD})[=:]\S{{6,}}"
+_BEFORE = rf"(?i:{_WORD})[A-Za-z0-9_-]{{0,8}}[\"'`]?\s{{0,4}}[=:]\s{{0,4}}[\"'`]?"
+_VALUE = rf"(?<![^\s\"'`=:])(?<={_BEFORE})[^\s\"'`<>,;=:][^\s\"'`<>,;]{{5,}}+"
+_GROUPS = r"(?<![A-Za-z0-9])(?:[A-Z]{2})?[0-9]{2,}+(?:[\x20./-][0-9]{2,}+)++"
+_OUT = "struct<pos:bigint,tail:string,out:array<struct<s:bigint,e:bigint,m:string,b:string>>>"
 
 
 def found(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
-    """Leftmost non-overlapping matches that keep accepts, as structs: s and e in code points, m the match, b up to 16
-    characters before. Others only move the position, so a text full of them costs no copies."""
+    """Leftmost non-overlapping matches that keep accepts, as structs: s and e in code points, m the match, b up to CONTEXT
+    characters before, earlier matches included. Others only move the position, so a text full of them costs no copies."""
     # one array, so that each text is split and matched once and not in every step
     both = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)).alias("m"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["pos"] + F.length(x["p"])
         e = s + F.length(x["m"])
-        more = F.struct(s.cast("bigint").alias("s"), e.cast("bigint").alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(16)).alias("b"))
+        last = lambda a, b: F.right(F.concat(a, F.right(b, F.lit(CONTEXT))), F.lit(CONTEXT))
+        before = last(acc["tail"], x["p"])
+        more = F.struct(s.cast("bigint").alias("s"), e.cast("bigint").alias("e"), x["m"].alias("m"), before.alias("b"))
         out = F.when(keep(x["m"]), F.concat(acc["out"], F.array(more))).otherwise(acc["out"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.cast("bigint").alias("pos"), out.alias("out")))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.cast("bigint").alias("pos"), last(before, x["m"]).alias("tail"), out.alias("out")))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().alias("out")).cast(_OUT)
+    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("tail"), F.array().alias("out")).cast(_OUT)
     return F.aggregate(both, zero, step)["out"]
 
 
@@ -97,9 +105,17 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def with_candidates(spans: DataFrame) -> DataFrame:
-    hits = found(F.col("text"), _CANDIDATE, lambda m: m.rlike("[0-9@]"))
-    need = F.col("text").rlike("[0-9@]")
-    return spans.withColumn("cand", F.when(need, hits).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,m:string,b:string>>")))
+    """Adds cand, the candidates of all generators, each span once; the first generator's come first."""
+    none, digit = F.array().cast("array<struct<s:bigint,e:bigint,m:string,b:string>>"), F.col("text").rlike("[0-9]")
+    tokens = F.when(F.col("text").rlike("[0-9@]"), found(F.col("text"), _CANDIDATE, lambda m: m.rlike("[0-9@]"))).otherwise(none)
+    values = F.when(F.col("text").rlike(_BEFORE), found(F.col("text"), _VALUE, lambda m: F.lit(True))).otherwise(none)
+    groups = F.when(digit & F.col("text").rlike(_GROUPS), found(F.col("text"), _GROUPS, lambda m: F.length(_digits(m)) >= 8)).otherwise(none)
+    return spans.withColumn("tokens", tokens).withColumn("cand", F.array_distinct(F.concat("tokens", values, groups)))
+
+
+def _after(x: Column) -> Column:
+    """Whether a key word with = or : stands before, in the context that goes with a candidate."""
+    return x["b"].rlike(_BEFORE + "$")
 
 
 def features(x: Column) -> dict[str, Column]:
@@ -114,6 +130,9 @@ def features(x: Column) -> dict[str, Column]:
         "equals": m.rlike("[=:]").cast("int"),
         "upper": m.rlike("[A-Z]{4}").cast("int"),
         "slash": m.contains("/").cast("int"),
+        "hex": m.rlike("^[0-9A-Fa-f]{16,}$").cast("int"),
+        "groups": m.rlike(r"[0-9][\x20./-][0-9]").cast("int"),
+        "after": _after(x).cast("int"),
         "cue": x["b"].rlike(r"(?i)(mail|phone|tel|call|card|ip|key|password|secret|token|login)[^a-z]*$").cast("int"),
     }
 
@@ -126,7 +145,7 @@ def fit(spans: DataFrame) -> tuple[list[tuple[str, int, float, float]], float]:
     part = min(1.0, SAMPLE_ROWS / n)
     sample = spans.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1)
     ends = F.concat(*[F.transform(k, lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"))) for k in KINDS])
-    label = lambda x: (F.exists(ends, lambda y: (y["s"] >= x["s"]) & (y["e"] <= x["e"])) | x["m"].rlike(_KEY)).cast("int")
+    label = lambda x: (F.exists(ends, lambda y: (y["s"] >= x["s"]) & (y["e"] <= x["e"])) | x["m"].rlike(_KEY) | _after(x) & x["m"].rlike("[0-9]")).cast("int")
     rows = sample.select(F.explode(F.transform("cand", lambda x: F.struct(*[v.alias(k) for k, v in features(x).items()], label(x).alias("y")))).alias("f")).select("f.*")
     names = [c for c in rows.columns if c != "y"]
     table = rows.groupBy(*names).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
@@ -176,7 +195,9 @@ def detected(docs: DataFrame) -> DataFrame:
     own = spans.withColumn("base_spans", tagged)
     if stumps and threshold < math.inf:
         inside = lambda x: F.exists("base_spans", lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))
-        more = F.filter("cand", lambda x: (score(x) >= F.lit(threshold)) & ~inside(x))
+        passed = lambda c: F.filter(c, lambda x: (score(x) >= F.lit(threshold)) & ~inside(x))
+        own = own.withColumn("passed", passed("cand")).withColumn("outer", F.array_intersect("passed", "tokens"))
+        more = F.filter("passed", lambda x: ~F.exists("outer", lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
         own = own.withColumn("more", F.transform(more, lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("i"), x["e"].alias("e"), F.lit("other").alias("k"))))
     else:
         own = own.withColumn("more", F.filter("base_spans", lambda x: F.lit(False)))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gaugework.llm import html_extract, licenses
+from gaugework.llm import html_extract, licenses, pii
 
 
 @pytest.mark.parametrize("name, end", [("MIT-text", "dealings in the software"), ("BSD", "possibility of such damage"), ("ISC", "performance of this software"), ("Apache-2.0-text", "limitations under the license"), ("GPL-3.0-text", "licenses why not lgpl html")])
@@ -50,3 +50,26 @@ def test_a_phrase_needs_a_share_of_the_host(spark):
     phrase = "as we said at the very start of this long report"
     texts = [f"{prose(100 + k, 30)} {phrase if k < 6 else prose(200 + k, 11)} {prose(300 + k, 30)}" for k in range(60)]
     assert pages_of(spark, [f"{menu}<div>{t}</div>{foot}" for t in texts]) == texts
+
+
+def test_secrets_after_a_key_word_are_found(spark):
+    rng = np.random.default_rng(4)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
+    form = ['token = "%s"', "TOKEN = %s", "api_key: '%s'", "secret=%s", 'password : "%s"']
+    rows = [(i, f"some words here {form[i % 5] % h} and more") for i, h in enumerate(hexes)]
+    rows += [(100 + i, f"plain words of model number{i}x{i * 7919}abc and part {i}-word-list-{i}, nothing else") for i in range(300)]
+    got = {r.doc_id: r.spans for r in pii.detected(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, h in enumerate(hexes):
+        at, t = rows[i][1].index(h), rows[i][1]
+        start = t.index("secret=") if "secret=" in t else at
+        assert got[i] == f"other:{start}:{at + 40}", (t, got[i])
+    assert not any(got[100 + i] for i in range(300))
+
+
+def test_token_lines_of_the_documents_are_found(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: set(r.spans.split(",")) for r in pii.detected(docs).collect()}
+    want = [(r.doc_id, f"other:{m.start(1)}:{m.end(1)}") for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")]
+    assert want and all(s in got[i] for i, s in want)
