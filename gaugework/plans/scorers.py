@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gaugework.functions.words import folded
 from gaugework.operators import scorers as S
@@ -47,10 +47,12 @@ def score_exact_match(spark, sf):
 
 
 def _paired(spark, sf):
-    """Each document with the benchmark item its id picks; the items are few and joined by key."""
-    b = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
-    d = load(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return d.join(b, "item_id")
+    """Each document with one benchmark item, drawn by its id from all of them in order of their ids; the places of the
+    items are few and joined by key. A null id counts as 0; without items the reference is NULL."""
+    b = load(spark, sf, "benchmark").select(F.col("text").alias("reference"), (F.row_number().over(W.orderBy(F.asc_nulls_last("item_id"))) - 1).alias("place"))
+    n = load(spark, sf, "benchmark").agg(F.count("*").alias("n"))
+    d = load(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(n))
+    return d.withColumn("place", F.when(F.col("n") > 0, F.pmod(F.coalesce("doc_id", F.lit(0)), "n"))).join(b, "place", "left")
 
 
 def score_set_overlap(spark, sf):
@@ -59,8 +61,11 @@ def score_set_overlap(spark, sf):
 
 
 def leakage_filter(spark, sf):
-    p = _paired(spark, sf)
-    return p.select("doc_id", (folded(F.col("text")) == folded(F.col("reference"))).alias("leaks"))
+    """Whether a document's folded text equals that of any benchmark item; NULL without a text."""
+    key = F.sha2(folded(F.col("text")).cast("binary"), 256).alias("key")
+    b = load(spark, sf, "benchmark").filter("text IS NOT NULL").select(key).distinct().withColumn("hit", F.lit(True))
+    d = load(spark, sf, "documents").select("doc_id", key)
+    return d.join(b, "key", "left").select("doc_id", F.when(F.col("key").isNotNull(), F.coalesce("hit", F.lit(False))).alias("leaks"))
 
 
 def units(spark, sf) -> DataFrame:

@@ -6,7 +6,7 @@ import statistics
 import pytest
 
 from gaugework.functions import stats
-from gaugework.plans import core
+from gaugework.plans import core, scorers
 
 
 def test_intervals_read_every_customer(spark, tmp_path):
@@ -25,3 +25,13 @@ def test_every_item_is_expanded(spark, tmp_path):
     spark.createDataFrame([(i, f"t{i}") for i in range(60)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = core.synthetic_expand_items(spark, str(tmp_path)).collect()
     assert len(got) == 60 * core.COPIES and {r.item_id for r in got} == set(range(60)) and len({r.digest for r in got}) == 60
+
+
+def test_leaks_and_partners_come_from_all_items(spark, tmp_path):
+    spark.createDataFrame([(i, f"Item  text {i}") for i in range(60)] + [(None, "no id"), (70, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "item text 55"), (2, "item\ttext 2"), (3, "item text 555"), (None, "NO ID"), (50, "Item text 50"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.leaks for r in scorers.leakage_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: True, 3: False, None: True, 50: True, 5: None}
+    got = {r.doc_id: r.value for r in scorers.score_set_overlap(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[50] == 1.0
