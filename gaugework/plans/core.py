@@ -87,13 +87,18 @@ def _runs(spark, sf):
     return side(0), base
 
 
-def paired_delta(spark, sf):
-    p = paired(*_runs(spark, sf))
-    d = F.col("now") - F.col("then")
-    a = p.groupBy("metric").agg(F.count("*").alias("n_paired"), F.avg(d).alias("delta"), F.stddev_samp(d).alias("sd"))
-    z = 1.96 * F.col("sd") / F.sqrt("n_paired")
-    out = F.when(F.col("n_paired") < 2, "unresolved").when(F.col("delta") - z > 0, "improvement").when(F.col("delta") + z < 0, "regression").otherwise("within_noise")
-    return a.select("metric", "n_paired", F.round("delta", 6).alias("delta"), out.alias("outcome"))
+def paired_delta(spark, sf, lower_is_better=()):
+    """Student-t interval of the paired differences; metrics named in lower_is_better improve as they fall."""
+    return compared(paired(*_runs(spark, sf)), lower_is_better)
+
+
+def compared(pairs: DataFrame, lower_is_better=()) -> DataFrame:
+    d = pairs.select("metric", (F.col("now") - F.col("then")).alias("value"), F.lit("scored").alias("status"), F.lit("valid").alias("validity"))
+    a = A.mean_interval(A.aggregated(d))
+    down = F.col("metric").isin(*lower_is_better) if lower_is_better else F.lit(False)
+    better, worse = F.when(down, "regression").otherwise("improvement"), F.when(down, "improvement").otherwise("regression")
+    out = F.when(F.col("included") < 2, "unresolved").when(F.col("lower") > 0, better).when(F.col("upper") < 0, worse).otherwise("within_noise")
+    return a.select("metric", F.col("included").alias("n_paired"), F.round("mean", 6).alias("delta"), out.alias("outcome"))
 
 
 def changed_dimensions(spark, sf):

@@ -35,3 +35,12 @@ def test_leaks_and_partners_come_from_all_items(spark, tmp_path):
     assert got == {1: True, 2: True, 3: False, None: True, 50: True, 5: None}
     got = {r.doc_id: r.value for r in scorers.score_set_overlap(spark, str(tmp_path)).collect()}
     assert len(got) == len(rows) and got[50] == 1.0
+
+
+def test_few_pairs_need_the_wide_interval(spark):
+    rows = [("few", 1.0, 0.0), ("few", 2.0, 0.0), ("few", 0.4, 0.0), ("sure", 5.0, 0.0), ("sure", 5.1, 0.0), ("sure", 5.2, 0.0), ("cost", 1.0, 0.0), ("cost", 1.1, 0.0), ("cost", 1.2, 0.0), ("one", 1.0, 0.0)]
+    p = spark.createDataFrame(rows, "metric string, now double, then double")
+    mean, sd = statistics.mean((1.0, 2.0, 0.4)), statistics.stdev((1.0, 2.0, 0.4))
+    assert mean - 1.96 * sd / math.sqrt(3) > 0 > mean - 4.302653 * sd / math.sqrt(3)
+    got = {r.metric: (r.n_paired, r.outcome) for r in core.compared(p, ["cost"]).collect()}
+    assert got == {"few": (3, "within_noise"), "sure": (3, "improvement"), "cost": (3, "regression"), "one": (1, "unresolved")}
