@@ -6,7 +6,8 @@ picks the bucket of patterns that are compared directly. Items are searched in p
 broadcasts never grows with the benchmark; passes are narrow and follow each other without a shuffle.
 
 Defined cases: a null text has no words and no hits; an item without words has no window; repeated items count once by
-id; null item ids are left out; an empty benchmark hits nothing; texts are searched whole; other columns stay.
+id; an item with a null id counts for spans and is left out of the item list; null texts are left out; an empty
+benchmark hits nothing; texts are searched whole; other columns stay.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Matcher:
     """Shift tables and buckets of one pass, one pair for each pattern length."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> None:
         patterns: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             w = words_of(text)
             n = min(len(w), window)
             for i in range(len(w) - n + 1 if n else 0):
-                patterns[n][tuple(w[i : i + n])].add(item)
+                known = patterns[n][tuple(w[i : i + n])]
+                if item is not None:
+                    known.add(item)
         self.tables = [(n, *self._build(n, p)) for n, p in sorted(patterns.items())]
 
     @staticmethod
@@ -65,7 +68,7 @@ class Matcher:
                 move = shift.get(block, far)
                 if not move:
                     found = bucket[block].get(tuple(words[end - n : end]))
-                    if found:
+                    if found is not None:
                         spans.append((end - n, end))
                         items |= found
                     move = 1
@@ -86,7 +89,7 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS, _ITEMS = pa.list_(pa.int64()), pa.list_(pa.string())
 
 
-def _pass(batches: Iterator[pa.RecordBatch], items: list[tuple[str, bytes]], window: int) -> Iterator[pa.RecordBatch]:
+def _pass(batches: Iterator[pa.RecordBatch], items: list[tuple[str | None, bytes]], window: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(items, window)
     for batch in batches:
         col = dict(zip(batch.schema.names, batch.columns))
@@ -102,10 +105,10 @@ def _pass(batches: Iterator[pa.RecordBatch], items: list[tuple[str, bytes]], win
         yield pa.RecordBatch.from_arrays(list(col.values()), names=list(col))
 
 
-def _passes(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+def _passes(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in lists of about limit bytes; the driver holds one at a time."""
     now, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).dropna().toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).dropna(subset=["text"]).toLocalIterator():
         now.append((r[0], bytes(r[1])))
         size += len(r[1])
         if size >= limit:
@@ -133,4 +136,4 @@ def n_hit():
 
 def filtered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents in which no benchmark window occurs, with their own columns."""
-    return searched(docs, benchmark).filter(F.size(OWN + "items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return searched(docs, benchmark).filter(n_hit() == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

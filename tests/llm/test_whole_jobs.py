@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from gaugework.llm import html_extract, licenses, pii
+from gaugework.llm import decontam, html_extract, licenses, pii
+from gaugework.llm.common import OWN
 
 
 @pytest.mark.parametrize("name, end", [("MIT-text", "dealings in the software"), ("BSD", "possibility of such damage"), ("ISC", "performance of this software"), ("Apache-2.0-text", "limitations under the license"), ("GPL-3.0-text", "licenses why not lgpl html")])
@@ -73,3 +74,11 @@ def test_token_lines_of_the_documents_are_found(spark):
     got = {r.doc_id: set(r.spans.split(",")) for r in pii.detected(docs).collect()}
     want = [(r.doc_id, f"other:{m.start(1)}:{m.end(1)}") for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")]
     assert want and all(s in got[i] for i, s in want)
+
+
+def test_items_without_an_id_still_hit(spark):
+    bench = spark.createDataFrame([(None, "one two three four"), (7, "five six"), (8, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a one two three four b"), (2, "five six seven"), (3, "clean text")], "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in decontam.searched(docs, bench).select("doc_id", decontam.n_hit(), OWN + "items").collect()}
+    assert got == {1: (4, []), 2: (2, ["7"]), 3: (0, [])}
+    assert [r.doc_id for r in decontam.filtered(docs, bench).collect()] == [3]
