@@ -1,21 +1,28 @@
 """Near-duplicate detection by Order MinHash.
 
-Exact copies collapse first. Each different text is a sequence of five-word shingles labelled with their occurrence
-number. A sketch takes the minima of a text under one random order and keeps them in text order; its hash is the band
-key. Texts that share a band key are candidates, verified by a banded alignment of their shingle sequences: matches off
-the band are dropped and the longest increasing chain of the rest is the common subsequence k. Similarity is
-k / (n + m - k), of which one minus is a metric.
-
-No bucket is expanded into pairs. In the first round every bucket compares one leader, drawn by hash, with its other
-members; this settles the large classes. In later rounds a bucket's largest class stays back: leaders are members of its
-other classes, up to a number that doubles with each round, and each is compared with the members of other classes than
-its own. Texts in one class need no comparison, nor do texts whose lengths alone rule the similarity out. A leader
-leaves its bucket; rounds go on until no bucket holds texts of different classes, so no candidate link is lost.
+Each different text is a sequence of five-word shingles labelled with their occurrence number. A sketch takes the minima
+of a text under one random order and keeps them in text order; its hash is the band key. Texts that share a band key are
+candidates, verified by a banded alignment of their shingle sequences: matches off the band are dropped and the longest
+increasing chain of the rest is the common subsequence k. Similarity is k / (n + m - k), of which one minus is a metric.
+Classes are the components of the links.
+
+No bucket is expanded into pairs. Every bucket has a leader, its least text. First the members of a few bands are held
+against their leaders, then those of more bands, and each time only members that are not in their leader's class yet: a
+group of copies is one class after about one pair a member. Then a bucket's largest class is settled by name, and the
+members of its other classes, the seekers, go on: in each round they are held against further members of other classes,
+a window of the bucket that grows fourfold, until they join the largest class or the bucket is used up. A pair in
+different classes has a seeker at least, so no candidate link is lost, and members of the largest class cost nothing.
+Nor do copies with many edits meet their whole group: shingles that no other of these texts holds can never be common,
+nor can those whose bit the other text's bitmap lacks, which bounds a pair's similarity before anything is aligned.
+
+A sketch holds five minima, or two for texts of under ten shingles, which could not share five after one edit; texts
+near the limit have both. With similarity s a sketch is shared with a chance near s^5, so at exactly 0.8 one of BANDS
+sketches is shared but for a chance near 1e-4 (up to 3e-3 for texts of ten shingles).
 
 Defined cases: null texts and texts without words are each a class of their own if their text is the same (all null texts
-are one class, all empty ones another); shorter texts than five words are one shingle; repeated rows are copies; null
-doc_ids sort first and a class without any other id has a null class_id; an empty table gives no rows; texts are read
-whole; other columns are unused.
+are one class, all empty ones another); shorter texts than five words are one shingle; repeated rows are copies; doc_id
+keeps its type, null ones count last and a class without any other id has a null class_id; an empty table gives no rows;
+texts are read whole; copies of a text within a task are sketched once; other columns are unused.
 """
 
 from __future__ import annotations
@@ -28,13 +35,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gaugework.llm.common import OWN, written
-
-SHINGLE, SIMILARITY, BANDS = 5, 0.8, 48
-#: Leaders of a bucket in the second round, and at most in a later one.
-FAN, MOST_FAN = 256, 4096
-#: Minima a sketch holds, by least number of shingles. Texts near a limit are sketched on both sides of it.
-MINIMA = ((0, 1), (4, 2), (16, 4), (48, 7))
+from gaugework.llm.common import OWN, Scratch, salted_join, small, written
+
+SHINGLE, SIMILARITY, BANDS = 5, 0.8, 24
+#: Bands whose members meet their leaders in each of the first rounds.
+STEPS = ((0, 1), (1, 4), (4, BANDS))
+#: The first window of members that seekers meet, and how it grows.
+WINDOW, GROWTH = 4, 4
+#: Minima a sketch holds, by least number of shingles. Texts near the limit are sketched on both sides of it.
+MINIMA = ((0, 2), (10, 5))
+#: Words of 64 bits in a text's bitmap.
+BITMAP = 8
+_BITS = [f"q{j}" for j in range(BITMAP)]
+#: Texts whose sketch a task remembers, so that their copies need none.
+REMEMBERED = 20_000
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _A = _RNG.integers(1, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,12 +84,13 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def sketch(x: np.ndarray) -> list[int]:
-    """Band keys; none for a text without words."""
+    """Band keys, BANDS for each sketch size; none for a text without words."""
     n, keys = len(x), []
     if not n:
         return keys
-    sizes = {size for i, (least, size) in enumerate(MINIMA) if n / SIMILARITY >= least and (i + 1 == len(MINIMA) or n * SIMILARITY < MINIMA[i + 1][0])}
+    sizes = [size for i, (least, size) in enumerate(MINIMA) if n / SIMILARITY >= least and (i + 1 == len(MINIMA) or n * SIMILARITY < MINIMA[i + 1][0])]
     step = max(1, 2_000_000 // n)
+    parts: dict[int, list[int]] = {size: [] for size in sizes}
     for lo in range(0, BANDS, step):
         h = x[None, :] * _A[lo : lo + step, None] + _B[lo : lo + step, None]
         h ^= h >> np.uint64(32)
@@ -83,8 +98,8 @@ def sketch(x: np.ndarray) -> list[int]:
             k = min(size, n)
             at = np.sort(np.argpartition(h, k - 1, axis=1)[:, :k], axis=1)
             key = _mix((x[at] * _C[:k][None, :]).sum(axis=1, dtype=np.uint64) + np.uint64(k))
-            keys += (_mix(key + np.arange(lo, lo + len(key)).astype(np.uint64) * _C[10])).view(np.int64).tolist()
-    return keys
+            parts[size] += (_mix(key + np.arange(lo, lo + len(key)).astype(np.uint64) * _C[10])).view(np.int64).tolist()
+    return [k for p in parts.values() for k in p]
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -109,13 +124,19 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, tuple[int, list[int]]] = {}
     for b in batches:
-        keys, sizes = [], []
-        for t in b.column(2).to_pylist():
-            x = shingles(word_hashes(t))
-            keys.append(sketch(x))
-            sizes.append(len(x))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["tk", "doc_id", "n", "keys"])
+        got = []
+        for tk, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            one = known.get(tk)
+            if one is None:
+                x = shingles(word_hashes(t))
+                one = len(x), sketch(x)
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[tk] = one
+            got.append(one)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["tk", "doc_id", "n", "keys"])
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,82 +155,175 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "d"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, c): c is the least member of v's component. links: a, b. Alternates large and small stars, each one partial
-    aggregation and one join, until the edges stay the same; nothing is gathered on the driver."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, c): c is the least member of v's component, itself not listed. links: a, b. Alternates large and small stars,
+    each one partial aggregation and one join, until the edges stay the same; nothing is gathered on the driver."""
+    edges = scratch.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("c"))
-        state = now
+        star = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
+        now = scratch.written(star, "edges")
+        same = now.count() == edges.count() and now.join(edges, ["u", "v"], "left_anti").isEmpty()
+        scratch.drop(edges)
+        edges = now
+        if same:
+            return edges.toDF("v", "c")
+
+
+class _Linker:
+    """Tests candidate pairs, keeps the classes they make and the pairs that failed."""
+
+    def __init__(self, words: DataFrame, scratch: Scratch) -> None:
+        self.words, self.scratch, self.labels, self.failed = words, scratch, None, None
+
+    def class_of(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with the class of the text in column key; a text without links is its own."""
+        if self.labels is None:
+            return df.withColumn(name, F.col(key))
+        return df.join(small(self.labels.select(F.col("v").alias(key), F.col("c").alias(name))), key, "left").withColumn(name, F.coalesce(name, key))
+
+    def test(self, pairs: DataFrame) -> None:
+        """pairs: a, b, of texts in different classes. Rows of one a follow each other, so that its shingles are made once."""
+        pairs = pairs.distinct()
+        if self.failed is not None:
+            pairs = pairs.join(small(self.failed), ["a", "b"], "left_anti")
+        pairs = self.scratch.written(pairs, "pairs")
+        used = pairs.select(F.col("a").alias("tk")).union(pairs.select("b")).distinct()
+        words = self.words.join(small(used), "tk", "left_semi")
+        both = pairs.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a").select("a", "b", "wa", "wb")
+        tested = self.scratch.written(both.mapInArrow(_verify, "a binary, b binary, d double"), "tested")
+        self.scratch.drop(pairs)
+        limit = 1 - SIMILARITY + 1e-12
+        good, bad = tested.filter(F.col("d") <= limit).select("a", "b"), tested.filter(F.col("d") > limit).select("a", "b")
+        old = [t for t in (self.failed, self.labels) if t is not None]
+        if not good.isEmpty():
+            links = good if self.labels is None else good.union(self.labels.toDF("a", "b"))
+            self.labels = components(links, self.scratch)
+        self.failed = self.scratch.written(bad if self.failed is None else self.failed.union(bad), "failed")
+        self.scratch.drop(tested, *[t for t in old if t is not self.labels])
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _fits(n: str, m: str, shared=None):
+    """Whether lengths n and m allow a link, or shared shingles where a better bound of them is known."""
+    k = F.least(n, m) if shared is None else shared
+    return k >= SIMILARITY * (F.col(n) + F.col(m) - k) - 1e-6
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit for each shingle, in BITMAP words of 64 bits."""
+    for b in batches:
+        got = np.zeros((b.num_rows, BITMAP), dtype=np.uint64)
+        for i, w in enumerate(b.column(1).to_pylist()):
+            x = _mix(shingles(np.frombuffer(w, dtype=np.uint32)))
+            np.bitwise_or.at(got[i], (x >> np.uint64(40)) % np.uint64(BITMAP), np.uint64(1) << (x >> np.uint64(8)) % np.uint64(64))
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(got[:, j]).view(np.int64)) for j in range(BITMAP)]], names=["tk", *_BITS])
+
+
+def _shared(other: str):
+    """Upper bound of the common shingles of a row (top, bits) and the one whose columns start with other."""
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}{q}").bitwiseAND(F.bitwise_not(F.col(f"{b}{q}")))) for q in _BITS), F.lit(0))
+    return F.least(F.col("top"), F.col(other + "top"), F.col("n") - lacks("", other), F.col(other + "n") - lacks(other, ""))
+
+
+def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [shingles(np.frombuffer(w, dtype=np.uint32)).view(np.int64) for w in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], names=["h", "g", "s"])
+
+
+def _common(rows: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (tk, n, ...) with the bitmap and with top, the number of a text's shingles that another text of rows holds too:
+    no link can have more common ones. Texts that cannot link at all go."""
+    h, g = F.xxhash64("tk"), F.xxhash64("tk", F.lit(1))
+    lists = words.join(small(rows.select("tk").distinct()), "tk", "left_semi").select(h.alias("h"), g.alias("g"), "w").mapInArrow(_shingle_lists, "h bigint, g bigint, s array<bigint>")
+    alone = lists.select("h", "g", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("texts"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).filter("texts = 1")
+    own = scratch.written(alone.groupBy("h", "g").agg(F.count("*").alias("own")), "own")
+    out = rows.withColumns({"h": h, "g": g}).join(small(own), ["h", "g"], "left").withColumn("top", F.col("n") - F.coalesce("own", F.lit(0)))
+    out = out.filter(F.col("top") >= SIMILARITY * F.col("n") - 1e-6).drop("h", "g", "own")
+    bits = words.join(small(out.select("tk").distinct()), "tk", "left_semi").mapInArrow(_bitmaps, "tk binary, " + ", ".join(f"{q} bigint" for q in _BITS))
+    return out.join(bits, "tk")
 
 
-def _tested(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(a, b, d) of pairs (a, b); rows of one a follow each other, so that its shingles are made once."""
-    both = pairs.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a").select("a", "b", "wa", "wb")
-    return written(both.mapInArrow(_verify, "a string, b string, d double"), "tested")
+def text_key():
+    """128 bits of a text; null texts share a key that no text has."""
+    return F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b"null"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(tk, doc_id, root): for each different text its md5, its least doc_id and its component's root text."""
-    own = docs.select(F.md5(F.col("text").cast("binary")).alias("tk"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    own = own.withColumn("tk", F.coalesce("tk", F.lit("null")))
-    sk = own.mapInArrow(_sketches, "tk string, doc_id bigint, n bigint, keys array<bigint>")
-    reps = written(sk.groupBy("tk").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "reps")
-    rows = reps.select("tk", "n", F.explode("keys").alias("key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
-    state = written(rows.join(crowded, "key"), "buckets")
-    wanted = state.select("tk").distinct()
-    words = written(own.select("tk", "text").join(wanted, "tk", "left_semi").groupBy("tk").agg(F.any_value("text").alias("text")).mapInArrow(_hashes, "tk string, w binary"), "words")
-    limit, fan = 1 - SIMILARITY + 1e-12, FAN
-    fits = F.least("n", "an") >= SIMILARITY * F.greatest("n", "an") - 1e-6
-    pair = (F.least("a", "tk").alias("a"), F.greatest("a", "tk").alias("b"))
-    # one leader a bucket, one of four orders of the texts: the leaders of a class differ, which joins it sooner
-    lead = state.groupBy("key").agg(F.min_by(F.struct("tk", "n"), F.xxhash64("tk", F.pmod("key", F.lit(4)))).alias("l")).select("key", F.col("l.tk").alias("a"), F.col("l.n").alias("an"))
-    done = _tested(state.join(lead, "key").filter("tk != a").filter(fits).select(*pair).distinct(), words)
-    labels = components(done.filter(F.col("d") <= limit).select("a", "b"))
-    left = state
-    while True:
-        named = left.select("key", "tk", "n").join(labels.toDF("tk", "c"), "tk", "left").select("key", "tk", "n", F.coalesce("c", "tk").alias("c"))
-        sizes = named.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("k"))
-        state = written(named.join(sizes.filter("k > 1").select("key", F.col("most.c").alias("main")), "key"), "buckets")
-        if state.isEmpty():
-            break
-        order = W.partitionBy("key").orderBy("tk")
-        lead = written(state.filter("c != main").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= fan).select("key", F.col("tk").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac")), "leaders")
-        pairs = state.join(lead, "key").filter("c != ac").filter(fits).select(*pair).distinct()
-        tested = _tested(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), words)
-        done, fan = done.union(tested), min(2 * fan, MOST_FAN)
-        fresh = tested.filter(F.col("d") <= limit).select("a", "b")
-        if not fresh.isEmpty():
-            labels = components(labels.toDF("a", "b").union(fresh))
-        left = state.join(lead.select("key", F.col("a").alias("tk")), ["key", "tk"], "left_anti")
-    return reps.select("tk", "doc_id").join(labels.toDF("tk", "c"), "tk", "left").select("tk", "doc_id", F.coalesce("c", "tk").alias("root"))
+    """(tk, doc_id, root): for each different text its key, its least doc_id and its component's root text."""
+    own = docs.select(text_key().alias("tk"), "doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    with Scratch(docs.sparkSession) as scratch:
+        sk = own.mapInArrow(_sketches, f"tk binary, doc_id {kind}, n bigint, keys array<bigint>")
+        reps = scratch.written(sk.groupBy("tk").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "reps")
+        rows = reps.select("tk", "n", F.posexplode("keys").alias("band", "key")).withColumn("band", (F.col("band") % BANDS).cast("tinyint"))
+        leads = rows.groupBy("key").agg(F.min(F.struct("tk", "n")).alias("l"), F.count("*").alias("size")).filter("size > 1")
+        state = scratch.written(rows.join(leads.select("key", "size", F.col("l.tk").alias("a"), F.col("l.n").alias("an")), "key"), "buckets")
+        wanted = state.select("tk").distinct()
+        texts = own.select("tk", "text").join(small(wanted), "tk", "left_semi").groupBy("tk").agg(F.any_value("text").alias("text"))
+        words = scratch.written(texts.mapInArrow(_hashes, "tk binary, w binary"), "words")
+        link = _Linker(words, scratch)
+        for lo, hi in STEPS:
+            met = state.filter(F.col("band").between(lo, hi - 1) & (F.col("tk") != F.col("a")) & _fits("n", "an")).select("a", "tk").distinct()
+            link.test(link.class_of(link.class_of(met, "a", "ca"), "tk", "cb").filter("ca != cb").select(*_pair("a", "tk")))
+        sizes = link.class_of(state.select("key", "tk"), "tk", "c").groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+        # the least text of a bucket's largest class stands for that class from here on, however classes grow
+        left = scratch.written(state.select("key", "tk", "n", "size").join(sizes.select("key", F.col("most.c").alias("main")), "key"), "mixed")
+        scratch.drop(state)
+        left = scratch.written(_common(left, words, scratch), "mixed")
+        lo, hi = 0, WINDOW
+        place = F.shiftrightunsigned(F.xxhash64("tk"), 11) / F.lit(float(2**53)) * F.col("size")
+        while True:
+            named = link.class_of(link.class_of(left, "tk", "c"), "main", "cm")
+            named = scratch.written(named.withColumn("seeks", F.col("c") != F.col("cm")), "named")
+            seekers = named.filter("seeks").select("key", *[F.col(x).alias("s_" + x) for x in ("tk", "n", "top", "c", *_BITS)])
+            if seekers.isEmpty():
+                break
+            goals = named.filter((place >= lo) & (place < hi)).join(small(seekers.select("key").distinct()), "key", "left_semi")
+            link.test(goals.join(seekers, "key").filter("c != s_c").filter(_fits("n", "s_n", _shared("s_"))).select(*_pair("s_tk", "tk")))
+            on = named.filter("seeks").select("key").distinct()
+            after = scratch.written(named.select("key", "tk", "n", "top", "size", "main", *_BITS).filter(F.col("size") > hi).join(small(on), "key", "left_semi"), "mixed")
+            scratch.drop(left, named)
+            left, lo, hi = after, hi, hi + (hi - lo) * GROWTH
+        return written(link.class_of(reps.select("tk", "doc_id"), "tk", "root"), "classes")
 
 
 def assigned(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, is_kept) for each row: class_id is the least doc_id of the class."""
     cls = classes(docs)
     ids = cls.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    by_text = cls.join(ids, "root").select("tk", "class_id")
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null")).alias("tk"))
-    return own.join(by_text, "tk").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+    by_text = salted_join(cls.select("tk", "root"), ids, "root", F.col("tk")).select("tk", "class_id")
+    own = docs.select("doc_id", text_key().alias("tk"))
+    return salted_join(own, by_text, "tk", F.col("doc_id")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+
+
+def row_key():
+    """128 bits of a row's text and doc_id."""
+    of_id = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null"))
+    return F.unhex(F.md5(F.concat(F.hex(text_key()), F.lit(":"), of_id).cast("binary")))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id (and the least text), with its own columns."""
+    """One document of each class, the one with the least doc_id (and the least text), with its own columns. Texts are not
+    shuffled while the rows that go, as keys, are few enough to be broadcast; of repeated rows any one stays."""
     cls = classes(docs)
-    best = cls.groupBy("root").agg(F.min(F.struct("doc_id", "tk")).alias("k")).select(F.col("k.tk").alias(OWN + "tk"), F.col("k.doc_id").alias(OWN + "id"))
-    own = docs.withColumn(OWN + "tk", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))).withColumn(OWN + "id", F.col("doc_id").cast("bigint"))
-    cond = (F.col("x." + OWN + "tk") == F.col("y." + OWN + "tk")) & F.col("x." + OWN + "id").eqNullSafe(F.col("y." + OWN + "id"))
-    hit = own.alias("x").join(best.alias("y"), cond, "left_semi")
-    first = hit.withColumn(OWN + "n", F.row_number().over(W.partitionBy(OWN + "tk", OWN + "id").orderBy(OWN + "tk")))
-    return first.filter(F.col(OWN + "n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = cls.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.tk").alias(OWN + "tk"))
+    of_id = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null"))
+    best = best.select(F.unhex(F.md5(F.concat(F.hex(OWN + "tk"), F.lit(":"), of_id).cast("binary"))).alias(OWN + "row"), F.lit(True).alias("best"))
+    rows = docs.select(row_key().alias(OWN + "row")).groupBy(OWN + "row").agg(F.count("*").alias("rows")).join(best, OWN + "row", "left")
+    rows = written(rows.filter("best IS NULL OR rows > 1").withColumn("best", F.col("best").isNotNull()), "gone")
+    own = docs.withColumn(OWN + "row", row_key())
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = own.join(small(rows.select(OWN + "row")), OWN + "row", "left_anti").select(*names)
+    again = rows.filter("best").select(OWN + "row")
+    if again.isEmpty():
+        return out
+    many = own.join(small(again), OWN + "row", "left_semi").withColumn(OWN + "n", F.row_number().over(W.partitionBy(OWN + "row").orderBy(OWN + "row")))
+    return out.unionByName(many.filter(F.col(OWN + "n") == 1).select(*names))
