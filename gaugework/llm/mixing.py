@@ -5,30 +5,32 @@ exponent is bisected on the table of sources, aggregated in Spark, until the nor
 (a share of the greatest possible one) without repeating any source more often than the limit allows. Weights become
 token budgets. A source's documents are dealt into blocks by a hash of the document; each epoch is another permutation
 of the source's blocks, whole epochs take every block, and the last takes blocks in permuted order while their midpoint
-lies within the budget.
+lies within the budget. The blocks of all sources and epochs are then permuted together: a copy's slot is the place of
+its block, and mixed() gives the rows in the order of slots (and of a hash of the document within a block).
 
 budget = "cover" sets the total so that the least repeated source is taken once: no document is lost. A number sets
-the total of tokens itself.
+the total of tokens itself; where MAX_EPOCHS doesn't let a source reach its share of it, `epochs` is less than `wanted`.
+
+The unit of tokens is words between ASCII white space, unless another count is given as a Column.
 
 Defined cases: a null source is a source of its own; a null text has no tokens; sources without tokens are kept once in
-"cover"; repeated rows fall in the same block and are taken alike; an empty table gives an empty result; other columns
-stay. Blocks are at most MAX_BLOCKS plus LEAST_BLOCKS for each source.
+"cover"; repeated rows fall in the same block and are taken alike; an empty table gives an empty result; texts of any
+length count whole; other columns stay, of whatever name outside the prefix of this package. Blocks are at most
+MAX_BLOCKS plus LEAST_BLOCKS for each source.
 """
 
 from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gaugework.llm.common import OWN, written
+from gaugework.llm.common import OWN, Scratch, salted_join, small, written
 
 TARGET_ENTROPY, MAX_EPOCHS, SEED = 0.97, 4.0, 17
 BLOCK_TOKENS, MAX_BLOCKS, LEAST_BLOCKS = 1_000_000, 16_384, 16
 #: Halvings of the exponent that one aggregation answers: all points they could ask for are computed together.
 LEVELS = 4
-#: Rows up to which the block table is broadcast.
-BROADCAST_BLOCKS = 200_000
 
 
 def n_tokens():
@@ -68,40 +70,53 @@ def exponent(shares: DataFrame, target_entropy: float, max_epochs: float) -> flo
         s.unpersist()
 
 
-def placed(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | str = "cover", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """A row for each copy that is taken: docs' columns and OWN tokens, weight, block, epoch and slot (the order)."""
-    own = docs.withColumn(OWN + "tokens", n_tokens())
-    light = own.select("source", OWN + "tokens", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")).withColumnRenamed(OWN + "tokens", "t")
-    by_source = written(light.groupBy("source").agg(F.sum("t").alias("total")), "sources")
-    total = by_source.agg(F.sum("total")).first()[0] or 0
-    shares = by_source.withColumn("p", F.col("total") / F.lit(float(max(total, 1))))
-    a = exponent(shares, target_entropy, max_epochs)
-    z = shares.filter("p > 0").agg(F.sum(F.pow("p", F.lit(a)))).first()[0] or 1.0
-    weights = shares.withColumn("weight", F.when(F.col("p") > 0, F.pow("p", F.lit(a)) / z).otherwise(0.0))
-    if budget == "cover":
-        least = weights.filter("p > 0").agg(F.min(F.col("weight") / F.col("total"))).first()[0] or 1.0
-        spent = 1.0 / least
-    else:
-        spent = float(budget)
-    size = max(block_tokens, -(-total // MAX_BLOCKS), 1)
-    plan = weights.withColumn("n_blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("total") / size)).cast("bigint")).withColumn("epochs", F.least(F.lit(max_epochs), F.when(F.col("total") > 0, F.round(F.lit(spent) * F.col("weight") / F.col("total"), 9)).otherwise(1.0)))
-    plan = written(plan.select("source", "total", "weight", "n_blocks", "epochs"), "plan")
-    small = plan.count() <= BROADCAST_BLOCKS
+def _source() -> Column:
+    """A text that tells sources apart, null too."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+
+
+def placed(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | str = "cover", block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
+    """A row for each copy that is taken: docs' columns and OWN tokens, weight, wanted and epochs (of its source), block,
+    epoch, slot (its block's place in the order) and key (its place within the block)."""
+    spark, total_of = docs.sparkSession, n_tokens() if tokens is None else tokens
     key = F.xxhash64("doc_id", "text", F.lit(seed))
-    tagged = own.alias("d").join(F.broadcast(plan.alias("p")) if small else plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", F.col("p.weight").alias(OWN + "weight"), F.pmod(key, F.col("p.n_blocks")).alias(OWN + "block"))
-    sums = tagged.groupBy(F.col("source"), F.col(OWN + "block").alias("block")).agg(F.sum(OWN + "tokens").alias("t"))
-    sums = written(sums.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.*", "p.total", "p.epochs"), "blocks")
-    last = F.floor("epochs")
-    w = W.partitionBy("source").orderBy(F.xxhash64("block", last, F.lit(seed)), "block").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("t").over(w), F.lit(0))
-    takes = sums.withColumn("takes", (last + F.when((F.col("epochs") > last) & (before + F.col("t") / 2 <= (F.col("epochs") - last) * F.col("total")), 1).otherwise(0)).cast("int")).filter("takes > 0").select("source", "block", "takes")
-    takes = written(takes, "takes")
-    small = takes.count() <= BROADCAST_BLOCKS
-    hit = tagged.alias("d").join(F.broadcast(takes.alias("t")) if small else takes.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col(f"d.{OWN}block") == F.col("t.block"))).select("d.*", "t.takes")
-    out = hit.withColumn(OWN + "epoch", F.explode(F.sequence(F.lit(0), F.col("takes") - 1))).drop("takes")
-    return out.withColumn(OWN + "slot", F.xxhash64("source", OWN + "block", OWN + "epoch", F.lit(seed)))
+    own = docs.select("*", total_of.alias(OWN + "tokens"), _source().alias(OWN + "source"), key.alias(OWN + "key"))
+    with Scratch(spark) as scratch:
+        light = scratch.written(own.select(F.col(OWN + "source").alias("source"), F.col(OWN + "key").alias("key"), F.col(OWN + "tokens").alias("t")), "lengths")
+        by_source = scratch.written(light.groupBy("source").agg(F.sum("t").alias("total")), "sources")
+        total = by_source.agg(F.sum("total")).first()[0] or 0
+        shares = by_source.withColumn("p", F.col("total") / F.lit(float(max(total, 1))))
+        a = exponent(shares, target_entropy, max_epochs)
+        z = shares.filter("p > 0").agg(F.sum(F.pow("p", F.lit(a)))).first()[0] or 1.0
+        weights = shares.withColumn("weight", F.when(F.col("p") > 0, F.pow("p", F.lit(a)) / z).otherwise(0.0))
+        if budget == "cover":
+            least = weights.filter("p > 0").agg(F.min(F.col("weight") / F.col("total"))).first()[0] or 1.0
+            spent = 1.0 / least
+        else:
+            spent = float(budget)
+        size = max(block_tokens, -(-total // MAX_BLOCKS), 1)
+        wanted = F.when(F.col("total") > 0, F.round(F.lit(spent) * F.col("weight") / F.col("total"), 9)).otherwise(1.0)
+        plan = weights.withColumns({"n_blocks": F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("total") / size)).cast("bigint"), "wanted": wanted}).withColumn("epochs", F.least(F.lit(max_epochs), "wanted"))
+        plan = written(plan.select("source", "total", "weight", "n_blocks", "wanted", "epochs"), "plan")
+        sums = light.join(small(plan.select("source", "n_blocks")), "source").groupBy("source", F.pmod("key", "n_blocks").alias("block")).agg(F.sum("t").alias("t"))
+        sums = scratch.written(sums.join(small(plan.select("source", "total", "epochs")), "source"), "blocks")
+        last = F.floor("epochs")
+        w = W.partitionBy("source").orderBy(F.xxhash64("block", last, F.lit(seed)), "block").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("t").over(w), F.lit(0))
+        takes = (last + F.when((F.col("epochs") > last) & (before + F.col("t") / 2 <= (F.col("epochs") - last) * F.col("total")), 1).otherwise(0)).cast("int")
+        takes = written(sums.select(F.concat_ws("/", "block", "source").alias(OWN + "place"), takes.alias(OWN + "takes")).filter(F.col(OWN + "takes") > 0), "takes")
+    names = {c: OWN + c for c in ("weight", "n_blocks", "wanted", "epochs")}
+    sources = plan.select(F.col("source").alias(OWN + "source"), *[F.col(c).alias(o) for c, o in names.items()])
+    tagged = own.join(F.broadcast(sources), OWN + "source") if plan.limit(10_001).count() <= 10_000 else salted_join(own, sources, OWN + "source", F.col(OWN + "key"))
+    tagged = tagged.withColumn(OWN + "block", F.pmod(OWN + "key", OWN + "n_blocks")).withColumn(OWN + "place", F.concat_ws("/", OWN + "block", OWN + "source"))
+    hit = tagged.join(small(takes), OWN + "place").withColumn(OWN + "epoch", F.explode(F.sequence(F.lit(0), F.col(OWN + "takes") - 1)))
+    slot = F.xxhash64(OWN + "source", OWN + "block", OWN + "epoch", F.lit(seed))
+    return hit.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(OWN + c) for c in ("tokens", "weight", "wanted", "epochs", "block", "epoch", "key")], slot.alias(OWN + "slot"))
 
 
 def mixed(docs: DataFrame, **kind) -> DataFrame:
-    """The copies taken, with the documents' own columns."""
-    return placed(docs, **kind).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The copies taken, with the documents' own columns, in the permuted order of their blocks: partitions are ranges of
+    slots and rows are sorted in them, so that files written from it hold the order by name and row."""
+    rows = placed(docs, **kind)
+    order = [OWN + "slot", OWN + "key"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
