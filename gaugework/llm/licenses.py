@@ -6,12 +6,19 @@ A template is aligned with the stretch of words around each place that could hol
 anchors; the longest increasing run of their positions is kept, and the gaps between anchors are aligned in the same way,
 after equal words at their ends. Coverage is the share of the template's words that are aligned.
 
-Defined cases: a null or empty text holds no license; a notice inside a whole text counts beside it; repeated rows and repeated notices each count; texts are read whole;
-an empty table gives no rows; other columns are unused.
+A place is looked for wherever a text has enough of the template's words: as at most a known number of them may be
+missing, one of the rarest few words is aligned, and the stretch of the template's length around each of its places (and
+as many words more as may be missing) is aligned. Places of one template don't overlap: of those that could, the first
+counts. Places of different templates may.
+
+Defined cases: a null or empty text holds no license; a notice inside a whole text counts beside it; repeated rows and
+repeated notices each count; spans that start together come in the order of their names; texts are read whole; a
+template without words is never found; an empty table gives no rows; other columns are unused.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -86,6 +93,8 @@ class Scanner:
         self.kinds = {k: set(t) for k, t in self.templates.items()}
         self.counts = {k: Counter(t) for k, t in self.templates.items()}
         self.wanted = set().union(*self.kinds.values())
+        #: Words of a template that must be aligned, at least.
+        self.least = {k: math.ceil(coverage * len(t) - 1e-9) for k, t in self.templates.items()}
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(license, first word, end word, coverage) of each place that reaches the coverage."""
@@ -95,16 +104,15 @@ class Scanner:
             if w in self.wanted:
                 at.setdefault(w, []).append(i)
         out = []
+        sizes = {w: len(p) for w, p in at.items()}
+        n_wanted = sum(sizes.values())
         for name, t in self.templates.items():
-            kinds = self.kinds[name]
-            if len(at) < self.coverage * len(kinds) or sum(w in at for w in kinds) < self.coverage * len(kinds):
-                continue
-            counts = self.counts[name]
-            if sum(min(n, len(at.get(w, ()))) for w, n in counts.items()) < self.coverage * len(t):
+            counts, least = self.counts[name], self.least[name]
+            if not t or n_wanted < least or sum([min(n, sizes.get(w, 0)) for w, n in counts.items()]) < least:
                 continue
             # so many words must be aligned that one of the rarest few is among them
-            spare = int((1 - self.coverage) * len(t)) + 1
-            rare = sorted(kinds, key=lambda w: len(at.get(w, ())))
+            spare = len(t) - least + 1
+            rare = sorted(self.kinds[name], key=lambda w: (sizes.get(w, 0), w))
             picked: Counter = Counter()
             for w in rare:
                 picked[w] = counts[w]
@@ -116,10 +124,10 @@ class Scanner:
                     continue
                 lo = max(0, seen, p - len(t) - spare)
                 have = Counter(words[lo : p + len(t) + spare])
-                if sum(min(n, have[w]) for w, n in counts.items()) < self.coverage * len(t):
+                if sum(min(n, have[w]) for w, n in counts.items()) < least:
                     continue
                 pairs = aligned(words[lo : p + len(t) + spare], t)
-                if pairs and len(pairs) >= self.coverage * len(t):
+                if len(pairs) >= least:
                     out.append((name, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs) / len(t)))
                     seen = lo + pairs[-1][0] + 1
         return sorted(out, key=lambda x: (x[1], x[0]))
