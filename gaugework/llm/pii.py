@@ -3,16 +3,19 @@
 Base spans come from four patterns with checks. High-recall generators then propose every longer token with a digit or
 an @, every value after a key word and = or : (with spaces or quotes between), and every group of digits; spans may
 overlap base ones and each other, and of those that pass only the tokens' stay where another lies within. Boosted
-regression stumps score a candidate on its format and its context. They are fitted on counts of feature combinations:
-the features are small, so a bounded table of combinations (at most the product of their values) with positives and
-totals is all that reaches the driver, which fits plain numbers and returns a Column. Labels are weak: a candidate is
-positive if it holds a base span or a published key format, or if a key word with = or : stands before it and it has a
-digit. The threshold is the least score at which precision on the fitted counts reaches PRECISION.
+regression trees of two levels score a candidate on its format and its context. They are fitted on counts of feature
+combinations: the features are small, so a bounded table of combinations (at most the product of their values) with
+positives and totals is all that reaches the driver, which fits plain numbers and returns a Column. Labels are weak: a
+candidate is positive if it holds a base span or a published key format, or if a key word with = or : stands before it
+and it has a digit. Leaf values are multiples of 2^-20, so their sums are exact and equal on the driver and in Spark. The
+threshold is calibrated on the quarter of the sample that the trees were not fitted on: the least score down to which
+precision there reaches PRECISION, candidates of one score taken together.
 
 The fit reads about SAMPLE_ROWS rows, chosen by a hash of the id and read whole; all rows are searched.
 
 Defined cases: a null text is empty; texts are read whole, in code points, and patterns are possessive, so that
-long runs neither overflow nor take quadratic time; repeated rows get the same result; an empty table gives no rows;
+long runs neither overflow nor take quadratic time; repeated rows get the same result, and rows without an id count as
+one part of the sample; splits of equal gain go to the first feature and cut in order; an empty table gives no rows;
 without any candidate the model adds nothing; other columns are unused.
 """
 
@@ -23,7 +26,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE_ROWS, ROUNDS, RATE, PRECISION, CONTEXT = 20_000, 40, 0.3, 0.98, 24
+SAMPLE_ROWS, ROUNDS, RATE, PRECISION, CONTEXT = 20_000, 16, 0.4, 0.98, 24
+#: Leaf values are multiples of 1 / GRID. Candidates that a leaf needs.
+GRID, LEAST_LEAF = 2**20, 2
 
 #: The base patterns, in the order of kinds. Possessive forms match the same strings as greedy ones here.
 KINDS = ("email", "ip", "card", "phone")
@@ -137,63 +142,96 @@ def features(x: Column) -> dict[str, Column]:
     }
 
 
-def fit(spans: DataFrame) -> tuple[list[tuple[str, int, float, float]], float]:
-    """(stumps, threshold); a stump (feature, cut, low, high) adds low below the cut and high from it."""
+Tree = tuple  # (feature, cut, below, from) with trees or leaf values
+
+
+def _value(tree, row) -> float:
+    while isinstance(tree, tuple):
+        tree = tree[3] if row[tree[0]] >= tree[1] else tree[2]
+    return tree
+
+
+def _grown(table: list, grad: list[float], hess: list[float], at: list[int], cuts: list[tuple[str, int]], levels: int):
+    """A tree over the rows at, or the leaf's value: the split of the greatest gain, as long as it gains."""
+    g, h = math.fsum(grad[i] for i in at), math.fsum(hess[i] for i in at)
+    best = None
+    for f, c in cuts if levels else ():
+        high = [i for i in at if table[i][f] >= c]
+        rows = sum(table[i].n for i in high)
+        if rows < LEAST_LEAF or sum(table[i].n for i in at) - rows < LEAST_LEAF:
+            continue
+        gh, hh = math.fsum(grad[i] for i in high), math.fsum(hess[i] for i in high)
+        gain = gh**2 / (1 + hh) + (g - gh) ** 2 / (1 + h - hh) - g**2 / (1 + h)
+        if gain > 1e-9 and (best is None or gain > best[0]):
+            best = (gain, f, c, set(high))
+    if best is None:
+        return round(RATE * g / (1 + h) * GRID) / GRID
+    _, f, c, high = best
+    return (f, c, _grown(table, grad, hess, [i for i in at if i not in high], cuts, levels - 1), _grown(table, grad, hess, [i for i in at if i in high], cuts, levels - 1))
+
+
+def boosted(table: list, names: list[str], rounds: int = ROUNDS, levels: int = 2) -> list:
+    """Trees fitted on rows with the features, y positives among n."""
+    score = [0.0] * len(table)
+    cuts = sorted({(f, r[f]) for r in table for f in names})
+    trees = []
+    for _ in range(rounds if table else 0):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        tree = _grown(table, [r.y - r.n * q for r, q in zip(table, p)], [r.n * q * (1 - q) for r, q in zip(table, p)], list(range(len(table))), cuts, levels)
+        trees.append(tree)
+        score = [s + _value(tree, r) for s, r in zip(score, table)]
+    return trees
+
+
+def calibrated(table: list, trees: list) -> float:
+    """The least score from which on, taking candidates of one score together, precision reaches PRECISION."""
+    groups: dict[float, list[int]] = {}
+    for r in table:
+        both = groups.setdefault(sum(_value(t, r) for t in trees), [0, 0])
+        both[0] += r.y
+        both[1] += r.n
+    threshold, good, total = math.inf, 0, 0
+    for s in sorted(groups, reverse=True):
+        good, total = good + groups[s][0], total + groups[s][1]
+        if good >= PRECISION * total:
+            threshold = s
+    return threshold
+
+
+def fit(spans: DataFrame) -> tuple[list, float]:
+    """(trees, threshold)."""
     n = spans.count()
     if not n:
         return [], math.inf
     part = min(1.0, SAMPLE_ROWS / n)
-    sample = spans.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(part * 1_000_003) + 1)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    sample = spans.filter(place < int(part * 1_000_003) + 1)
     ends = F.concat(*[F.transform(k, lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"))) for k in KINDS])
     label = lambda x: (F.exists(ends, lambda y: (y["s"] >= x["s"]) & (y["e"] <= x["e"])) | x["m"].rlike(_KEY) | _after(x) & x["m"].rlike("[0-9]")).cast("int")
-    rows = sample.select(F.explode(F.transform("cand", lambda x: F.struct(*[v.alias(k) for k, v in features(x).items()], label(x).alias("y")))).alias("f")).select("f.*")
-    names = [c for c in rows.columns if c != "y"]
-    table = rows.groupBy(*names).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
-    score = [0.0] * len(table)
-    cuts = sorted({(f, r[f]) for r in table for f in names})
-    stumps = []
-    for _ in range(ROUNDS if table else 0):
-        grad = [r.y - r.n / (1 + math.exp(-s)) for r, s in zip(table, score)]
-        hess = [r.n * (q := 1 / (1 + math.exp(-s))) * (1 - q) for r, s in zip(table, score)]
-        best = None
-        for f, c in cuts:
-            g, h = [0.0, 0.0], [1.0, 1.0]
-            for r, a, b in zip(table, grad, hess):
-                g[r[f] >= c] += a
-                h[r[f] >= c] += b
-            gain = g[0] ** 2 / h[0] + g[1] ** 2 / h[1]
-            if best is None or gain > best[0]:
-                best = (gain, f, c, RATE * g[0] / h[0], RATE * g[1] / h[1])
-        stumps.append(best[1:])
-        score = [s + (best[4] if r[best[1]] >= best[2] else best[3]) for r, s in zip(table, score)]
-    threshold, good, all_ = math.inf, 0, 0
-    for s, r in sorted(zip(score, table), key=lambda x: -x[0]):
-        good, all_ = good + r.y, all_ + r.n
-        if good >= PRECISION * all_:
-            threshold = s
-    return stumps, threshold
+    held = (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0).alias("held")
+    rows = sample.select(held, F.explode(F.transform("cand", lambda x: F.struct(*[v.alias(k) for k, v in features(x).items()], label(x).alias("y")))).alias("f")).select("held", "f.*")
+    names = [c for c in rows.columns if c not in ("y", "held")]
+    table = rows.groupBy("held", *names).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+    table.sort(key=lambda r: tuple(r[f] for f in names))
+    fitted, held_out = [r for r in table if not r.held], [r for r in table if r.held]
+    trees = boosted(fitted, names)
+    return trees, calibrated(held_out if any(r.y for r in held_out) else fitted, trees)
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other, n_spans) for each row."""
     spans = with_candidates(base(docs))
-    stumps, threshold = fit(spans)
+    trees, threshold = fit(spans)
 
     def score(x: Column) -> Column:
-        f, total = features(x), F.lit(0.0)
-        merged: dict[tuple[str, int], list[float]] = {}
-        for name, cut, low, high in stumps:
-            both = merged.setdefault((name, cut), [0.0, 0.0])
-            both[0] += low
-            both[1] += high
-        for (name, cut), (low, high) in merged.items():
-            total = total + F.when(f[name] >= cut, high).otherwise(low)
-        return total
+        f = features(x)
+        grown = lambda t: F.when(f[t[0]] >= t[1], grown(t[3])).otherwise(grown(t[2])) if isinstance(t, tuple) else F.lit(t)
+        return sum((grown(t) for t in trees), F.lit(0.0))
 
     tagged = F.concat(*[_tagged(i, k) for i, k in enumerate(KINDS)])
     text = lambda a: F.array_join(F.transform(F.array_sort(a), lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     own = spans.withColumn("base_spans", tagged)
-    if stumps and threshold < math.inf:
+    if trees and threshold < math.inf:
         inside = lambda x: F.exists("base_spans", lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))
         passed = lambda c: F.filter(c, lambda x: (score(x) >= F.lit(threshold)) & ~inside(x))
         own = own.withColumn("passed", passed("cand")).withColumn("outer", F.array_intersect("passed", "tokens"))
@@ -201,4 +239,4 @@ def detected(docs: DataFrame) -> DataFrame:
         own = own.withColumn("more", F.transform(more, lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("i"), x["e"].alias("e"), F.lit("other").alias("k"))))
     else:
         own = own.withColumn("more", F.filter("base_spans", lambda x: F.lit(False)))
-    return own.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS], F.sha2(text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), text(F.concat("base_spans", "more")).alias("spans"))
+    return own.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS], F.sha2(text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), text(F.concat("base_spans", "more")).alias("spans"), F.size("more").cast("bigint").alias("n_other"), (F.size("base_spans") + F.size("more")).cast("bigint").alias("n_spans"))
