@@ -3,7 +3,8 @@
 Patterns are the item windows (ten words, or a whole shorter item). For each pattern length a shift table tells, for
 the block of the last two words under the search window, how far the window may move; where it may not move, the block
 picks the bucket of patterns that are compared directly. Items are searched in passes of a bounded size, so what a pass
-broadcasts never grows with the benchmark; passes are narrow and follow each other without a shuffle.
+broadcasts never grows with the benchmark; passes are narrow and follow each other without a shuffle, a few of them in
+one plan, so that a task has as many Python workers and tables at most.
 
 Defined cases: a null text has no words and no hits; an item without words has no window; repeated items count once by
 id; an item with a null id counts for spans and is left out of the item list; null texts are left out; an empty
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gaugework.llm.common import OWN
+from gaugework.llm.common import OWN, written
 
 WINDOW = 10
-#: Bytes of benchmark text in one pass.
-PASS_BYTES = 8_000_000
+#: Bytes of benchmark text in one pass, and passes that run in one plan before their result is written.
+PASS_BYTES, CHAINED = 8_000_000, 4
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -122,7 +123,9 @@ def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_b
     """docs with OWN n_words, spans (flat list of start, end in words) and items (ids with an occurring window)."""
     own = docs.select("*", F.col("text").cast("binary").alias(OWN + "text"), F.lit(0).cast("bigint").alias(OWN + "n_words"), F.array().cast("array<bigint>").alias(OWN + "spans"), F.array().cast("array<string>").alias(OWN + "items"))
     schema, any_pass = own.schema, False
-    for items in _passes(benchmark, pass_bytes):
+    for i, items in enumerate(_passes(benchmark, pass_bytes)):
+        if i and i % CHAINED == 0:
+            own = written(own, "passes")
         own, any_pass = own.mapInArrow(lambda it, items=items: _pass(it, items, window), schema), True
     if not any_pass:
         own = own.mapInArrow(lambda it: _pass(it, [], window), schema)
