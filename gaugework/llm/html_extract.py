@@ -1,26 +1,31 @@
 """Main-text extraction with a host suffix array.
 
-A page becomes blocks in page order. Markup settles what it names: scripts, menus, headers, footers, sidebars, forms,
-notices, adverts and comments go, and an article or main element is kept. All other blocks are settled by repetition.
-The token streams of a host's pages (what lies outside the article elements) are concatenated in shards; a shard's
-suffix array, built by prefix doubling to RUN tokens, groups the positions that start the same run. Shards send one row
-for each run class, with its number of pages, so a hot host is split over shards and a common run costs a row a shard.
-Runs on a share of the host's distinct pages (SHARE, at least MIN_PAGES) are boilerplate, and so are blocks of SHORT to
-RUN - 1 tokens as a whole; the tokens they cover are removed and unique runs stay.
-
-Distinct pages are what counts: pages with the same blocks are one, and so are near copies, of which only the one with
-the least content hash enters the suffix arrays. Near copies have a Jaccard similarity of COPY or more of their word
-pairs (exact up to SKETCH pairs, estimated beyond); they are looked for under the least content of each of BANDS sketch
-buckets, so a pair at 0.85 is missed with a chance near 0.01, and more often where bucket mates are no copies.
+A page becomes blocks in page order, each of one kind: chrome (within a menu, header, footer, sidebar, form, notice,
+advert or comment section, as the markup names it), article (within an article or main element), or open. The token
+streams of a host's pages (chrome and open blocks, and article blocks as one symbol each, the hash of the block) are
+concatenated in shards; a shard's suffix array, built by prefix doubling to RUN tokens, groups the positions that start
+the same run. Shards send one row for each run class, with its number of pages, so a hot host is split over shards and a
+common run costs a row a shard. Runs on a share of the host's distinct pages (SHARE, at least MIN_PAGES) are boilerplate,
+and so are blocks of SHORT to RUN - 1 tokens as a whole: the tokens they cover are removed and unique runs stay. A block
+of an article goes only as a whole, and only where INSIDE_SHARE of the host's pages (at least INSIDE_PAGES) hold it.
+Markup settles what repetition leaves: unique runs of chrome go, all others stay.
+
+Distinct pages are what counts: pages with the same open and article blocks are one, and so are near copies, of which
+only the one with the least content hash enters the suffix arrays. Near copies have a Jaccard similarity of COPY or more
+of their word pairs (exact up to SKETCH pairs, estimated beyond); they are looked for under the least content of each of
+BANDS sketch buckets, so a pair at 0.85 is missed with a chance near 0.003, and more often where bucket mates are no
+copies. As a run needs a share of the host's pages, a host has at most 1 / SHARE times as many as a mean page.
+
+Tags are read in one pass that goes back nowhere: an unclosed quote or comment ends at the next >, a tag that never ends
+is dropped with what follows.
 
 Defined cases: null html is empty; a null url is a host of its own; pages without body text give an empty text; repeated
 rows each give a row and count as one page; a run that only other near copies hold isn't counted; pages of any length are
-read whole; other columns are unused.
+read whole; page_id keeps its type; an empty table gives no rows; other columns are unused.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,83 +36,154 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gaugework.llm.common import written
+from gaugework.llm.common import Scratch, salted_join, small, written
 
-RUN, SHORT, MIN_PAGES, SHARE = 8, 6, 3, 0.2
-COPY, SKETCH, BANDS, ROWS = 0.85, 256, 16, 8
+RUN, SHORT, MIN_PAGES, SHARE = 8, 2, 3, 0.2
+INSIDE_PAGES, INSIDE_SHARE = 5, 0.5
+COPY, SKETCH, BANDS, ROWS = 0.85, 256, 10, 5
 SHARD_PAGES = 4_000
+CHROME, OPEN, ARTICLE = 0, 1, 2
 
-_SKIP = frozenset("script style template noscript svg math iframe object select textarea button nav header footer aside form dialog menu head title".split())
-_BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements of HTML.
+_DROP = frozenset("script style template noscript svg iframe object select textarea button head title audio video canvas".split())
+_RAW = frozenset("script style textarea title noscript template iframe".split())
+_ASIDE = frozenset("nav header footer aside form dialog menu".split())
+_BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template"))
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
-_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|newsletter|subscribe|signup|popup|modal|sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|share|social|related|login|pagination|pager)(?:$|[\s_-])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: What an opening tag closes, up to the elements that bound it.
+_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_NO_P = frozenset("br body html td th tr tbody thead tfoot".split())
+#: Class names that markup uses for chrome: every part of the name is a word of one of the lists, one of the first.
+_CHROME_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice newsletter subscribe signup popup modal sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments replies disqus share sharing social related login pagination pager".split())
+_PLACE_WORDS = frozenset("site page main global top bottom left right side box bar area section list item items block wrapper wrap container inner outer slot link links post posts thread form buttons row text".split())
+_OPENING = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?=[\s/]|$))", re.I)
+_ENDS = {tag: re.compile(f"</{tag}[\\s/>]", re.I) for tag in _RAW}
 
 
-def _named(attrs: str) -> bool:
+def _named(name: str) -> bool:
+    parts = re.split("[-_]+", name.strip("-_").lower())
+    return any(p in _CHROME_WORDS for p in parts) and all(p in _CHROME_WORDS or p in _PLACE_WORDS for p in parts)
+
+
+def _is_chrome(attrs: str) -> bool:
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key == "role" and value.lower() in _ROLE or key in ("class", "id") and _NAME.search(value) or key == "hidden" and not value or key == "aria-hidden" and value == "true":
+        if key == "role" and value.lower() in _ROLE or key == "hidden" or key == "aria-hidden" and value == "true" or key in ("class", "id") and any(map(_named, value.split())):
             return True
     return False
 
 
-def blocks(html: str) -> list[tuple[bool, str]]:
-    """(inside an article, text) of each block that markup doesn't rule out, in page order."""
-    out: list[tuple[bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, skipped, article
+def _tags(html: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag, closing, attributes) of each tag, and at last the rest with an empty tag."""
+    at, n, start = 0, len(html), 0
+    none_after: set[str] = set()  # marks that the rest of the page doesn't hold, so that each is sought to the end once
+
+    def end_of(mark: str, pos: int) -> int:
+        found = -1 if mark in none_after else html.find(mark, pos)
+        if found < 0:
+            none_after.add(mark)
+        return found + len(mark) if found >= 0 else 0
+
+    while (lt := html.find("<", at)) >= 0:
+        nxt = html[lt + 1 : lt + 2]
+        if html.startswith("<!--", lt):
+            end = end_of("-->", lt + 4) or end_of(">", lt) or n
+        elif nxt in ("!", "?"):
+            end = html.startswith("<![CDATA[", lt) and end_of("]]>", lt) or end_of(">", lt) or n
+        else:
+            m = _OPENING.match(html, lt)
+            if not m:  # a < of the text
+                at = lt + 1
+                continue
+            pos = m.end()
+            while True:
+                stop = _STOP.search(html, pos)
+                if not stop:
+                    yield html[start:lt], "", False, ""
+                    return
+                q = stop[0]
+                if q == ">":
+                    break
+                pos = stop.end()
+                if html[stop.start() - 1 : stop.start()] in ("=", " ", "\n", "\t"):
+                    pos = end_of(q, pos) or pos
+            tag = m[1].lower()
+            closing = nxt == "/"
+            yield html[start:lt], tag, closing, html[m.end() : stop.start()]
+            at = start = stop.end()
+            if tag in _RAW and not closing:
+                end_tag = _ENDS[tag].search(html, at)
+                at = start = end_tag.start() if end_tag else n
+            continue
+        yield html[start:lt], "!", False, ""
+        at = start = end
+    yield html[start:], "", False, ""
+
+
+def blocks(html: str) -> list[tuple[int, str]]:
+    """(kind, text) of each block, in page order; a block's text has single spaces."""
+    out: list[tuple[int, str]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, chrome, article
+    depth = [0, 0, 0]
     text: list[str] = []
-    at, n, skipped, article = 0, len(html), 0, 0
 
     def close() -> None:
         nonlocal text
         if text:
             t = " ".join(unescape("".join(text)).split())
             if t:
-                out.append((article > 0, t))
+                out.append((CHROME if depth[1] else ARTICLE if depth[2] else OPEN, t))
             text = []
 
-    while at < n:
-        m = _TAG.search(html, at)
-        if not m:
-            if not skipped:
-                text.append(html[at:])
-            break
-        if m.start() > at and not skipped:
-            text.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    def pop(i: int) -> None:
+        for x in stack[i:]:
+            for k in range(3):
+                depth[k] -= x[k + 1]
+        del stack[i:]
+
+    def shut(tags: set | frozenset, bounds: set | frozenset) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in bounds:
+                return
+            if stack[i][0] in tags:
+                pop(i)
+                return
+
+    for before, tag, closing, attrs in _tags(html):
+        if before and not depth[0]:
+            text.append(before)
+        if tag == "!":
             continue
-        tag, attrs = m[2].lower(), m[3]
+        if not tag:
+            break
         if tag in _BLOCK:
             close()
-        if m[1]:
+        if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    for _, s, a in stack[i:]:
-                        skipped -= s
-                        article -= a
-                    del stack[i:]
+                    if (depth[1] or depth[2]) and any(x[2] or x[3] for x in stack[i:]):
+                        close()
+                    pop(i)
                     break
             continue
-        if tag in _RAW:
-            end = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-            continue
+        if tag in _BLOCK and tag not in _NO_P:
+            shut({"p"}, {"table", "td", "th", "body", "article", "main", "section", "div"})
+        if tag in _CLOSES:
+            shut(*_CLOSES[tag])
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             continue
-        if tag in ("p", "li") and any(x[0] == tag for x in stack[-1:]):
-            _, s, a = stack.pop()
-            skipped, article = skipped - s, article - a
-        inside = tag in ("article", "main") or 'role="main"' in attrs
+        article = tag in ("article", "main") or bool(attrs) and re.search(r"""role\s*=\s*["']?main\b""", attrs) is not None
         # a header inside an article holds its title
-        skip = (tag in _SKIP and not (tag == "header" and article)) or bool(attrs) and tag not in ("body", "html", "article", "main") and _named(attrs)
-        stack.append((tag, skip, inside))
-        skipped += skip
-        article += inside
+        chrome = tag in _ASIDE and not (tag == "header" and depth[2]) or bool(attrs) and not article and tag not in ("body", "html") and _is_chrome(attrs)
+        if chrome or article:
+            close()
+        x = (tag, tag in _DROP, chrome, article)
+        stack.append(x)
+        for k in range(3):
+            depth[k] += x[k + 1]
     close()
     return out
 
@@ -115,28 +191,49 @@ def blocks(html: str) -> list[tuple[bool, str]]:
 _ODD = np.random.default_rng(7).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def sketched(words: list[str]) -> tuple[list[int], list[int]]:
-    """(the least SKETCH hashes of word pairs, a hash of each band of minima)."""
-    pairs = {xxhash.xxh64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:])} or {xxhash.xxh64_intdigest(" ".join(words))}
-    h = np.sort(np.fromiter(pairs, dtype=np.uint64, count=len(pairs)))
+def _pairs(words: list[str]) -> np.ndarray:
+    """Hashes of the different word pairs."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    if len(h) < 2:
+        return np.unique(h)
+    return np.unique((h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ ((h[1:] << np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)))
+
+
+def bands(words: list[str]) -> list[int]:
+    """A hash of each band of minima."""
+    h = _pairs(words)
     # the upper halves of multiplied hashes, so that each minimum has an order of its own
-    least = np.array([((h * a + b) >> np.uint64(16)).min() for a, b in _ODD.T], dtype=np.uint64)
-    bands = [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes()) - 2**63 for i in range(0, len(least), ROWS)]
-    return (h[:SKETCH] ^ np.uint64(2**63)).view(np.int64).tolist(), bands
+    least = np.array([((h * a + b) >> np.uint64(16)).min() for a, b in _ODD.T] if len(h) else np.zeros(BANDS * ROWS), dtype=np.uint64)
+    return [xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes()) - 2**63 for i in range(0, len(least), ROWS)]
+
+
+def sketched(words: list[str]) -> list[int]:
+    """The least SKETCH hashes of word pairs."""
+    return (_pairs(words)[:SKETCH] ^ np.uint64(2**63)).view(np.int64).tolist()
+
+
+def _text_of(found: list[tuple[int, str]]) -> list[str]:
+    return [t for k, t in found if k != CHROME]
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ints = pa.list_(pa.int64())
+    ints, texts = pa.list_(pa.int64()), pa.list_(pa.string())
     for b in batches:
         got = [blocks(h or "") for h in b.column(3).to_pylist()]
-        content, sketches, bands = [], [], []
-        for g in got:
-            loose = any(not i for i, _ in g)
-            s, k = sketched([w for _, t in g for w in t.split()]) if loose else (None, None)
-            content.append(xxhash.xxh3_128_hexdigest("\n".join(t for _, t in g)) if loose else None)
-            sketches.append(s)
-            bands.append(k)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([[x[0] for x in g] for g in got], pa.list_(pa.bool_())), pa.array([[x[1] for x in g] for g in got], pa.list_(pa.string())), pa.array(content, pa.string()), pa.array(sketches, ints), pa.array(bands, ints)], names=["page_id", "url", "host", "inside", "blocks", "content", "sketch", "bands"])
+        cols = [
+            pa.array([[k for k, _ in g if k != CHROME] for g in got], pa.list_(pa.int8())),
+            pa.array([_text_of(g) for g in got], texts),
+            pa.array([[t for k, t in g if k == CHROME] for g in got], texts),
+            pa.array([xxhash.xxh3_128_hexdigest("\n".join(_text_of(g))) for g in got], pa.string()),
+            pa.array([bands([w for t in _text_of(g) for w in t.split()]) for g in got], ints),
+        ]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *cols], names=["page_id", "url", "host", "kinds", "blocks", "chrome", "content", "bands"])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [sketched([w for t in ts for w in t.split()]) for ts in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], names=["host", "content", "sketch"])
 
 
 def _similar(a, b):
@@ -145,13 +242,18 @@ def _similar(a, b):
     return F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both)
 
 
-def representatives(loose: DataFrame) -> DataFrame:
-    """(host, content) of the distinct pages; of near copies, those with no copy of a lesser content."""
-    one = loose.groupBy("host", "content").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    many = one.select("host", "content", "sketch", F.posexplode("bands").alias("band", "value"))
-    lead = many.groupBy("host", "band", "value").agg(F.min(F.struct("content", "sketch")).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = many.join(lead, ["host", "band", "value"]).filter("lead.content < content")
-    copies = met.filter(_similar(F.col("sketch"), F.col("lead.sketch")) >= COPY).select("host", "content").distinct()
+def representatives(cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, content) of the distinct pages; of near copies, those with no copy of a lesser content. Sketches are made
+    of pages that share a band with another page alone."""
+    one = scratch.written(cut.groupBy("host", "content").agg(F.first("bands").alias("bands")), "contents")
+    many = one.select("host", "content", F.posexplode("bands").alias("band", "value"))
+    lead = many.groupBy("host", "band", "value").agg(F.min("content").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = scratch.written(many.join(lead, ["host", "band", "value"]).filter("lead < content").select("host", "lead", "content").distinct(), "met")
+    ends = met.select("host", "content").union(met.select("host", "lead")).distinct()
+    some = cut.select("host", "content", "blocks").join(small(ends), ["host", "content"], "left_semi").dropDuplicates(["host", "content"])
+    sk = scratch.written(some.mapInArrow(_sketch, "host string, content string, sketch array<bigint>"), "sketches")
+    both = met.join(sk, ["host", "content"]).join(sk.toDF("host", "lead", "other"), ["host", "lead"])
+    copies = both.filter(_similar(F.col("sketch"), F.col("other")) >= COPY).select("host", "content").distinct()
     return one.select("host", "content").join(copies, ["host", "content"], "left_anti")
 
 
@@ -168,42 +270,42 @@ def suffix_classes(ids: np.ndarray, left: np.ndarray, run: int) -> np.ndarray:
     return np.where(left >= run, rank, -1)
 
 
-def _stream(blocks_: list[str], inside: list[bool]) -> list[str]:
-    return [w for t, i in zip(blocks_, inside) if not i for w in t.split()]
-
-
 def _run(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words)) - 2**63
 
 
-def _block(words: list[str]) -> int:
-    """Key of a short block as a whole, apart from those of runs."""
-    return xxhash.xxh64_intdigest("\n" + " ".join(words)) - 2**63
+def _block(text: str) -> int:
+    """Key of a block as a whole, apart from those of runs."""
+    return xxhash.xxh64_intdigest("\n" + text) - 2**63
 
 
 def _classes(pdf):
-    """One shard of a host, each row a distinct page: (host, run, pages) of each class of runs."""
+    """One shard of a host, each row a distinct page: (host, run, pages) of each class of runs and of each whole block."""
     import pandas as pd
 
-    words, owner, short = [], [], Counter()
-    for k, (bs, ins) in enumerate(zip(pdf.blocks, pdf.inside)):
-        s = _stream(list(bs), list(ins))
-        short.update({_block(w) for t, i in zip(bs, ins) if not i and SHORT <= len(w := t.split()) < RUN})
-        words += s
-        owner += [k] * len(s)
-    if not words:
-        return pd.DataFrame({"host": [], "run": [], "pages": []}).astype({"host": "object", "run": "int64", "pages": "int64"})
-    known: dict[str, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64)
-    own = np.array(owner)
-    ends = np.searchsorted(own, own, side="right")
-    cls = suffix_classes(ids, ends - np.arange(len(ids)), RUN)
-    at = np.flatnonzero(cls >= 0)
-    both = np.unique(np.stack([cls[at], own[at]]), axis=1)
-    kinds, first = np.unique(cls[at], return_index=True)
-    pages = np.bincount(np.searchsorted(kinds, both[0]), minlength=len(kinds))
-    runs = [_run(words[at[i] : at[i] + RUN]) for i in first]
-    return pd.DataFrame({"host": pdf.host.iloc[0], "run": runs + list(short), "pages": [*pages.tolist(), *short.values()]})
+    words, owner, whole = [], [], Counter()
+    for k, (open_, chrome, inside) in enumerate(zip(pdf.open, pdf.chrome, pdf.inside)):
+        keys = set(inside)
+        for t in (*open_, *chrome):
+            w = t.split()
+            words += w
+            owner += [k] * len(w)
+            if SHORT <= len(w) < RUN:
+                keys.add(_block(t))
+        whole.update(keys)
+    runs, pages = [], []
+    if words:
+        known: dict[str, int] = {}
+        ids = np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64)
+        own = np.array(owner)
+        ends = np.searchsorted(own, own, side="right")
+        cls = suffix_classes(ids, ends - np.arange(len(ids)), RUN)
+        at = np.flatnonzero(cls >= 0)
+        both = np.unique(np.stack([cls[at], own[at]]), axis=1)
+        kinds, first = np.unique(cls[at], return_index=True)
+        pages = np.bincount(np.searchsorted(kinds, both[0]), minlength=len(kinds)).tolist()
+        runs = [_run(words[at[i] : at[i] + RUN]) for i in first]
+    return pd.DataFrame({"host": pdf.host.iloc[0], "run": [*runs, *whole], "pages": [*pages, *whole.values()]}).astype({"run": "int64", "pages": "int64"})
 
 
 def _rest(words: list[str], gone: bytearray) -> list[str]:
@@ -220,43 +322,62 @@ def _rest(words: list[str], gone: bytearray) -> list[str]:
     return out
 
 
+def cleaned(kinds: list[int], texts: list[str], outer: set[int], inner: set[int]) -> str:
+    """The page's open and article blocks without what the runs cover."""
+    stream = [w for k, t in zip(kinds, texts) if k == OPEN for w in t.split()] if outer else []
+    gone = bytearray(len(stream))
+    for i in range(len(stream) - RUN + 1):
+        if _run(stream[i : i + RUN]) in outer:
+            gone[i : i + RUN] = b"\x01" * RUN
+    out, at = [], 0
+    for k, t in zip(kinds, texts):
+        if k == ARTICLE:
+            if not inner or _block(t) not in inner:
+                out.append(t)
+            continue
+        if not outer:
+            out.append(t)
+            continue
+        w = t.split()
+        rest = [] if SHORT <= len(w) < RUN and _block(t) in outer else _rest(w, gone[at : at + len(w)])
+        at += len(w)
+        if rest:
+            out.append(" ".join(rest))
+    return " ".join(out)
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = []
-        for inside, bs, common in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-            runs, words = set(common or ()), _stream(bs, inside)
-            gone = bytearray(len(words))
-            if runs:
-                for i in range(len(words) - RUN + 1):
-                    if _run(words[i : i + RUN]) in runs:
-                        gone[i : i + RUN] = b"\x01" * RUN
-            out, k = [], 0
-            for t, i in zip(bs, inside):
-                if i:
-                    out.append(t)
-                    continue
-                w = t.split()
-                rest = [] if runs and SHORT <= len(w) < RUN and _block(w) in runs else _rest(w, gone[k : k + len(w)])
-                k += len(w)
-                if rest:
-                    out.append(" ".join(rest))
-            texts.append(" ".join(out))
+        texts = [cleaned(k, t, set(o or ()), set(i or ())) for k, t, o, i in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a page sends to its host's suffix array."""
+    for b in batches:
+        open_, inside = [], []
+        for kinds, texts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            open_.append([t for k, t in zip(kinds, texts) if k == OPEN])
+            inside.append([_block(t) for k, t in zip(kinds, texts) if k == ARTICLE])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(open_, pa.list_(pa.string())), b.column(4), pa.array(inside, pa.list_(pa.int64()))], names=["host", "content", "open", "chrome", "inside"])
+
+
 def extracted(pages: DataFrame, run_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) for each page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     kind = pages.schema["page_id"].dataType.simpleString()
-    cut = written(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_split, f"page_id {kind}, url string, host string, inside array<boolean>, blocks array<string>, content string, sketch array<bigint>, bands array<bigint>"), "blocks")
-    # only pages with tokens outside an article take part
-    loose = cut.filter("content IS NOT NULL")
-    reps = written(representatives(loose.select("host", "content", "sketch", "bands")), "pages")
-    n = reps.groupBy("host").agg(F.count("*").alias("n"))
-    most = math.ceil((n.agg(F.max("n")).first()[0] or 1) / SHARD_PAGES)
-    own = loose.select("host", "content", "inside", "blocks").join(reps, ["host", "content"]).dropDuplicates(["host", "content"])
-    classes = own.select("host", F.pmod(F.xxhash64("content"), F.lit(most)).alias("shard"), "inside", "blocks").groupBy("host", "shard").applyInPandas(_classes, "host string, run bigint, pages bigint")
-    limit = F.greatest(F.lit(run_pages), F.ceil(F.col("n") * share))
-    common = written(classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(n, "host").filter(F.col("pages") >= limit).groupBy("host").agg(F.collect_list("run").alias("runs")), "runs")
-    own = cut.join(common, "host", "left").select("page_id", "url", "inside", "blocks", "runs")
+    cut = written(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_split, f"page_id {kind}, url string, host string, kinds array<tinyint>, blocks array<string>, chrome array<string>, content string, bands array<bigint>"), "blocks")
+    with Scratch(pages.sparkSession) as scratch:
+        reps = scratch.written(representatives(cut, scratch), "pages")
+        n = scratch.written(reps.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+        sent = cut.select("host", "content", "kinds", "blocks", "chrome").mapInArrow(_hashes, "host string, content string, open array<string>, chrome array<string>, inside array<bigint>")
+        own = sent.join(reps, ["host", "content"], "left_semi").dropDuplicates(["host", "content"]).join(small(n), "host")
+        shard = F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / SHARD_PAGES).cast("bigint"))
+        classes = own.select("host", shard.alias("shard"), "open", "chrome", "inside").groupBy("host", "shard").applyInPandas(_classes, "host string, run bigint, pages bigint")
+        # whole blocks of articles count against the higher limit wherever they stand
+        found = classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(small(n), "host")
+        outer = F.col("pages") >= F.greatest(F.lit(run_pages), F.ceil(F.col("n") * share))
+        inner = F.col("pages") >= F.greatest(F.lit(INSIDE_PAGES), F.ceil(F.col("n") * INSIDE_SHARE))
+        common = written(found.filter(outer).groupBy("host").agg(F.collect_list("run").alias("outer"), F.collect_list(F.when(inner, F.col("run"))).alias("inner")), "runs")
+    own = salted_join(cut.select("page_id", "url", "host", "kinds", "blocks"), common, "host", F.col("page_id"), "left").select("page_id", "url", "kinds", "blocks", "outer", "inner")
     return own.mapInArrow(_clean, f"page_id {kind}, url string, text string, n_chars bigint")
