@@ -1,7 +1,15 @@
 """The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
-ORACLE_SQL is None: a sketch and an alignment decide the second stage, which SQL doesn't express; tests hold it
-against brute force.
+Quality rules and decontamination keep whole documents or drop them; of near-duplicates one stays; mixing repeats the
+blocks of small sources and hands the rows on in the permuted order of the blocks; the token files hold that order.
+
+ORACLE_SQL is None: a sketch and an alignment decide the second stage, which SQL doesn't express; tests hold each stage
+against a plain version of it.
+
+Defined cases: a null or empty text has under 50 words and goes in the first stage; a null doc_id is kept like any other
+and null in the result; of equal and of repeated rows one stays; doc_id keeps its type; texts of any length are read
+whole; an empty table gives no rows; columns that are not of documents are handed on up to the last stage, whatever
+their names outside the package's prefix. Tables of finished stages stay in the shared folder.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.round_trip(docs)
+    return token_output.round_trip(docs, order="files")
 
 
 STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules), ("near-duplicates", near_dedup), ("decontamination", decontaminate), ("mixing", mix_sources), ("token output", write_tokens)]
