@@ -41,7 +41,9 @@ from gaugework.llm.common import Scratch, salted_join, small, written
 RUN, SHORT, MIN_PAGES, SHARE = 8, 2, 3, 0.2
 INSIDE_PAGES, INSIDE_SHARE = 5, 0.5
 COPY, SKETCH, BANDS, ROWS = 0.85, 256, 10, 5
-SHARD_PAGES = 4_000
+SHARD_PAGES = 1_000
+#: Runs up to which the hosts' lists are broadcast, 8 MB. Pages whose content a task remembers.
+BROADCAST_RUNS, REMEMBERED = 1_000_000, 50_000
 CHROME, OPEN, ARTICLE = 0, 1, 2
 
 #: Elements of HTML.
@@ -216,24 +218,39 @@ def _text_of(found: list[tuple[int, str]]) -> list[str]:
     return [t for k, t in found if k != CHROME]
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _content(found: list[tuple[int, str]]) -> bytes:
+    return xxhash.xxh3_128_digest("\n".join(_text_of(found)))
+
+
+def _words(found: list[tuple[int, str]]) -> list[str]:
+    return [w for t in _text_of(found) for w in t.split()]
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a page sends to its host's suffix array, with the hash of its content and its bands. A page whose content
+    the task has seen on the host sends nothing."""
     ints, texts = pa.list_(pa.int64()), pa.list_(pa.string())
+    seen: set[tuple[str, bytes]] = set()
     for b in batches:
-        got = [blocks(h or "") for h in b.column(3).to_pylist()]
-        cols = [
-            pa.array([[k for k, _ in g if k != CHROME] for g in got], pa.list_(pa.int8())),
-            pa.array([_text_of(g) for g in got], texts),
-            pa.array([[t for k, t in g if k == CHROME] for g in got], texts),
-            pa.array([xxhash.xxh3_128_hexdigest("\n".join(_text_of(g))) for g in got], pa.string()),
-            pa.array([bands([w for t in _text_of(g) for w in t.split()]) for g in got], ints),
-        ]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *cols], names=["page_id", "url", "host", "kinds", "blocks", "chrome", "content", "bands"])
+        rows = []
+        for i, (host, html) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            found = blocks(html or "")
+            key = host, _content(found)
+            if key in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(key)
+            rows.append((i, key[1], bands(_words(found)), *([t for k, t in found if k == kind] for kind in (OPEN, CHROME)), [_block(t) for k, t in found if k == ARTICLE]))
+        at, *cols = zip(*rows) if rows else [[]] * 6
+        own = b.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *[pa.array(c, t) for c, t in zip(cols, (pa.binary(), ints, texts, texts, ints))]], names=["page_id", "host", "content", "bands", "open", "chrome", "inside"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [sketched([w for t in ts for w in t.split()]) for ts in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], names=["host", "content", "sketch"])
+        got = [blocks(h or "") for h in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_content, got), pa.binary()), pa.array([sketched(_words(g)) for g in got], pa.list_(pa.int64()))], names=["host", "content", "sketch"])
 
 
 def _similar(a, b):
@@ -242,19 +259,21 @@ def _similar(a, b):
     return F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both)
 
 
-def representatives(cut: DataFrame, scratch: Scratch) -> DataFrame:
+def representatives(sent: DataFrame, pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, content) of the distinct pages; of near copies, those with no copy of a lesser content. Sketches are made
-    of pages that share a band with another page alone."""
-    one = scratch.written(cut.groupBy("host", "content").agg(F.first("bands").alias("bands")), "contents")
-    many = one.select("host", "content", F.posexplode("bands").alias("band", "value"))
-    lead = many.groupBy("host", "band", "value").agg(F.min("content").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = scratch.written(many.join(lead, ["host", "band", "value"]).filter("lead < content").select("host", "lead", "content").distinct(), "met")
-    ends = met.select("host", "content").union(met.select("host", "lead")).distinct()
-    some = cut.select("host", "content", "blocks").join(small(ends), ["host", "content"], "left_semi").dropDuplicates(["host", "content"])
-    sk = scratch.written(some.mapInArrow(_sketch, "host string, content string, sketch array<bigint>"), "sketches")
-    both = met.join(sk, ["host", "content"]).join(sk.toDF("host", "lead", "other"), ["host", "lead"])
+    of pages that share a band with another page of the host alone. pages: page_id, host, html."""
+    one = sent.groupBy("host", "content").agg(F.first("bands").alias("bands"))
+    many = one.select("host", "content", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("host", "band", "value").alias("bucket"), "content", F.xxhash64("host").alias("of"))
+    lead = many.groupBy("bucket").agg(F.min("content").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = scratch.written(many.join(small(lead), "bucket").filter("lead < content").select("of", "lead", "content").distinct(), "met")
+    ends = met.select("of", "content").union(met.select("of", "lead")).distinct()
+    ids = sent.withColumn("of", F.xxhash64("host")).join(small(ends), ["of", "content"], "left_semi").select("page_id").distinct()
+    some = pages.join(small(ids), "page_id", "left_semi").select("host", "html")
+    sk = some.mapInArrow(_sketch, "host string, content binary, sketch array<bigint>").withColumn("of", F.xxhash64("host"))
+    sk = scratch.written(sk.groupBy("of", "content").agg(F.first("host").alias("host"), F.first("sketch").alias("sketch")), "sketches")
+    both = met.join(sk, ["of", "content"]).join(sk.select("of", F.col("content").alias("lead"), F.col("host").alias("other_host"), F.col("sketch").alias("other")), ["of", "lead"]).filter("host = other_host")
     copies = both.filter(_similar(F.col("sketch"), F.col("other")) >= COPY).select("host", "content").distinct()
-    return one.select("host", "content").join(copies, ["host", "content"], "left_anti")
+    return one.select("host", "content").join(small(copies), ["host", "content"], "left_anti")
 
 
 def suffix_classes(ids: np.ndarray, left: np.ndarray, run: int) -> np.ndarray:
@@ -280,9 +299,11 @@ def _block(text: str) -> int:
 
 
 def _classes(pdf):
-    """One shard of a host, each row a distinct page: (host, run, pages) of each class of runs and of each whole block."""
+    """One shard of a host: (host, run, pages) of each class of runs and of each whole block, by distinct pages. Where the
+    shard is the whole host, only of those on as many pages as least."""
     import pandas as pd
 
+    pdf = pdf.drop_duplicates("content")
     words, owner, whole = [], [], Counter()
     for k, (open_, chrome, inside) in enumerate(zip(pdf.open, pdf.chrome, pdf.inside)):
         keys = set(inside)
@@ -305,7 +326,8 @@ def _classes(pdf):
         kinds, first = np.unique(cls[at], return_index=True)
         pages = np.bincount(np.searchsorted(kinds, both[0]), minlength=len(kinds)).tolist()
         runs = [_run(words[at[i] : at[i] + RUN]) for i in first]
-    return pd.DataFrame({"host": pdf.host.iloc[0], "run": [*runs, *whole], "pages": [*pages, *whole.values()]}).astype({"run": "int64", "pages": "int64"})
+    out = pd.DataFrame({"host": pdf.host.iloc[0], "run": [*runs, *whole], "pages": [*pages, *whole.values()]}).astype({"run": "int64", "pages": "int64"})
+    return out[out.pages >= pdf.least.iloc[0]]
 
 
 def _rest(words: list[str], gone: bytearray) -> list[str]:
@@ -348,36 +370,32 @@ def cleaned(kinds: list[int], texts: list[str], outer: set[int], inner: set[int]
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [cleaned(k, t, set(o or ()), set(i or ())) for k, t, o, i in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))]
+        texts = []
+        for html, outer, inner in zip(*(b.column(c).to_pylist() for c in (2, 3, 4))):
+            found = [x for x in blocks(html or "") if x[0] != CHROME]
+            texts.append(cleaned([k for k, _ in found], [t for _, t in found], set(outer or ()), set(inner or ())))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a page sends to its host's suffix array."""
-    for b in batches:
-        open_, inside = [], []
-        for kinds, texts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            open_.append([t for k, t in zip(kinds, texts) if k == OPEN])
-            inside.append([_block(t) for k, t in zip(kinds, texts) if k == ARTICLE])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(open_, pa.list_(pa.string())), b.column(4), pa.array(inside, pa.list_(pa.int64()))], names=["host", "content", "open", "chrome", "inside"])
-
-
 def extracted(pages: DataFrame, run_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(page_id, url, text, n_chars) for each page."""
+    """(page_id, url, text, n_chars) for each page. Texts of articles are never shuffled: hosts get the open and chrome
+    blocks, a third read of the pages cleans them."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     kind = pages.schema["page_id"].dataType.simpleString()
-    cut = written(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_split, f"page_id {kind}, url string, host string, kinds array<tinyint>, blocks array<string>, chrome array<string>, content string, bands array<bigint>"), "blocks")
+    own = pages.select("page_id", "url", host.alias("host"), "html")
     with Scratch(pages.sparkSession) as scratch:
-        reps = scratch.written(representatives(cut, scratch), "pages")
+        sent = scratch.written(own.select("page_id", "host", "html").mapInArrow(_streams, f"page_id {kind}, host string, content binary, bands array<bigint>, open array<string>, chrome array<string>, inside array<bigint>"), "streams")
+        reps = scratch.written(representatives(sent, own.select("page_id", "host", "html"), scratch), "pages")
         n = scratch.written(reps.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-        sent = cut.select("host", "content", "kinds", "blocks", "chrome").mapInArrow(_hashes, "host string, content string, open array<string>, chrome array<string>, inside array<bigint>")
-        own = sent.join(reps, ["host", "content"], "left_semi").dropDuplicates(["host", "content"]).join(small(n), "host")
-        shard = F.pmod(F.xxhash64("content"), F.ceil(F.col("n") / SHARD_PAGES).cast("bigint"))
-        classes = own.select("host", shard.alias("shard"), "open", "chrome", "inside").groupBy("host", "shard").applyInPandas(_classes, "host string, run bigint, pages bigint")
+        least = F.greatest(F.lit(run_pages), F.ceil(F.col("n") * share))
+        shards = F.ceil(F.col("n") / SHARD_PAGES).cast("bigint")
+        part = sent.drop("page_id", "bands").join(small(reps), ["host", "content"], "left_semi").join(small(n), "host")
+        part = part.select("host", "content", F.pmod(F.xxhash64("content"), shards).alias("shard"), F.when(shards > 1, 1).otherwise(least).cast("bigint").alias("least"), "open", "chrome", "inside")
+        classes = part.groupBy("host", "shard").applyInPandas(_classes, "host string, run bigint, pages bigint")
         # whole blocks of articles count against the higher limit wherever they stand
-        found = classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(small(n), "host")
-        outer = F.col("pages") >= F.greatest(F.lit(run_pages), F.ceil(F.col("n") * share))
+        found = classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).join(small(n), "host").filter(F.col("pages") >= least)
         inner = F.col("pages") >= F.greatest(F.lit(INSIDE_PAGES), F.ceil(F.col("n") * INSIDE_SHARE))
-        common = written(found.filter(outer).groupBy("host").agg(F.collect_list("run").alias("outer"), F.collect_list(F.when(inner, F.col("run"))).alias("inner")), "runs")
-    own = salted_join(cut.select("page_id", "url", "host", "kinds", "blocks"), common, "host", F.col("page_id"), "left").select("page_id", "url", "kinds", "blocks", "outer", "inner")
-    return own.mapInArrow(_clean, f"page_id {kind}, url string, text string, n_chars bigint")
+        common = written(found.groupBy("host").agg(F.collect_list("run").alias("outer"), F.collect_list(F.when(inner, F.col("run"))).alias("inner")), "runs")
+    bound = common.agg(F.coalesce(F.sum(F.size("outer") + F.size("inner") + 8), F.lit(0))).first()[0] <= BROADCAST_RUNS
+    join = own.join(F.broadcast(common), "host", "left") if bound else salted_join(own, common, "host", F.col("page_id"), "left")
+    return join.select("page_id", "url", "html", "outer", "inner").mapInArrow(_clean, f"page_id {kind}, url string, text string, n_chars bigint")

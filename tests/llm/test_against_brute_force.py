@@ -120,7 +120,7 @@ def test_runs_equal_brute_force():
     pages = [" ".join(map(str, rng.integers(0, 3, int(n)))) for n in rng.integers(0, 60, 12)]
     import pandas as pd
 
-    got = html_extract._classes(pd.DataFrame({"host": "h", "open": [[p] if p else [] for p in pages], "chrome": [[] for _ in pages], "inside": [[7, 7] if i % 3 == 0 else [] for i in range(12)]}))
+    got = html_extract._classes(pd.DataFrame({"host": "h", "least": 1, "content": [str(i) for i in range(12)], "open": [[p] if p else [] for p in pages], "chrome": [[] for _ in pages], "inside": [[7, 7] if i % 3 == 0 else [] for i in range(12)]}))
     want = {}
     for i, p in enumerate(pages):
         w = p.split()
