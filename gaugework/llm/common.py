@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,6 +19,26 @@ BROADCAST_ROWS = 250_000
 HOT_SHARE, SALTS = 0.001, 64
 
 _LOCAL: dict[str, str] = {}
+_TABLES: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None] | None = None) -> None:
+    """Called in a Python worker by the operator that begins to use it. Spark hands workers on from stage to stage, so the
+    tables that other operators keep there are released, and their memory goes back to the system."""
+    others = [k for k in _TABLES if k != name]
+    for k in others:
+        _TABLES.pop(k)()
+    if release:
+        _TABLES[name] = release
+    if others:
+        import ctypes
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

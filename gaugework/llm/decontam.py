@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gaugework.llm.common import OWN, written
+from gaugework.llm.common import OWN, claim, written
 
 WINDOW = 10
 #: Bytes of benchmark text in one pass, and passes that run in one plan before their result is written.
@@ -91,6 +91,7 @@ _SPANS, _ITEMS = pa.list_(pa.int64()), pa.list_(pa.string())
 
 
 def _pass(batches: Iterator[pa.RecordBatch], items: list[tuple[str | None, bytes]], window: int) -> Iterator[pa.RecordBatch]:
+    claim("decontam")
     matcher = Matcher(items, window)
     for batch in batches:
         col = dict(zip(batch.schema.names, batch.columns))

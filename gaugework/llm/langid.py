@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from gaugework.llm.common import doc_bucket
+from gaugework.llm.common import claim, doc_bucket
 
 SAMPLE_DOCS, ROUNDS = 600, 3
 CACHE_WORDS = 400_000
@@ -183,6 +183,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> tuple[list[str], np.ndarray]:
 def _score(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.ndarray, path: str) -> Iterator[pa.RecordBatch]:
     vocab = pieces(path)
     prob = model.astype(np.float64)
+    claim("langid", _KNOWN.clear)
     _KNOWN.clear()
     for batch in batches:
         texts = batch.column(2).to_pylist()

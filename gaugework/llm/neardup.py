@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gaugework.llm.common import OWN, Scratch, salted_join, small, written
+from gaugework.llm.common import OWN, Scratch, claim, salted_join, small, written
 
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 24
 #: Bands whose members meet their leaders in each of the first rounds.
@@ -124,6 +124,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("neardup")
     known: dict[bytes, tuple[int, list[int]]] = {}
     for b in batches:
         got = []
@@ -145,6 +146,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("neardup")
     last, lead = None, None
     for b in batches:
         out = []

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gaugework.llm.common import OWN
+from gaugework.llm.common import OWN, claim
 
 #: Production limits. A repeat counts from MIN_REPEAT words; a document may be covered by repeats up to MAX_COVERED of
 #: its words, and no single repeat may reach LONG_REPEAT words.
@@ -132,6 +132,7 @@ def measure(texts: list[bytes], min_repeat: int = MIN_REPEAT, long_repeat: int =
 
 
 def _stream(batches: Iterator[pa.RecordBatch], min_repeat: int, long_repeat: int) -> Iterator[pa.RecordBatch]:
+    claim("quality")
     for batch in batches:
         texts = [x or b"" for x in batch.column(batch.schema.get_field_index(OWN + "text")).to_pylist()]
         keep = [i for i, f in enumerate(batch.schema) if f.name != OWN + "text"]

@@ -37,7 +37,7 @@ import regex
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugework.llm.common import fresh_path
+from gaugework.llm.common import claim, fresh_path
 
 LENGTH, END_ID, BATCH_ROWS = 2048, 0, 256
 #: Memory of a worker's tables of words and pieces, about; they start anew beyond it. Bytes of a pre-token's entry and of
@@ -75,13 +75,12 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tok, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special]
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.kind = np.dtype("<u4" if self.tok.get_vocab_size() > 65_536 else "<u2")
         self.code = "I" if self.kind.itemsize == 4 else "H"
-        self.line = self.plain.encode("\n", add_special_tokens=False).ids
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -94,6 +93,14 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def plain(self, texts: list[str]) -> list:
+        """Encodings in which the strings of special tokens are ordinary text."""
+        self.tok.encode_special_tokens = True
+        try:
+            return self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        finally:
+            self.tok.encode_special_tokens = False
+
     def is_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
@@ -102,7 +109,7 @@ class Encoder:
         miss = list(set(filterfalse(self.known.__contains__, pieces)))
         for i in range(0, len(miss), 10_000):
             some = miss[i : i + 10_000]
-            for p, e in zip(some, self.plain.encode_batch_fast(some, add_special_tokens=False)):
+            for p, e in zip(some, self.plain(some)):
                 self.known[p] = array(self.code, e.ids).tobytes()
         self.held += sum(map(len, miss)) + len(miss) * ENTRY
 
@@ -118,7 +125,7 @@ class Encoder:
         got: dict[str, bytes] = {}
         plain = [w for w in words if w.split() == [w]] if len(self.line) == 1 else []
         some = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        for ws, e in zip(some, self.plain.encode_batch_fast([" " + "\n ".join(ws) for ws in some], add_special_tokens=False)):
+        for ws, e in zip(some, self.plain([" " + "\n ".join(ws) for ws in some])):
             ids = np.array(e.ids, dtype=self.kind)
             at = np.flatnonzero(ids == self.line[0])
             if len(at) == len(ws) - 1:
@@ -211,6 +218,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
 
 
 def encoder(path: str) -> Encoder:
+    claim("token_output", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
