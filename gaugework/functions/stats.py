@@ -42,8 +42,10 @@ def beta_share(a: float, b: float, x: float) -> float:
 
 
 def t_value(df: int, level: float = 0.95) -> float:
-    """Two-sided Student-t quantile by bisection."""
-    lo, hi = 0.0, 1e3
+    """Two-sided Student-t quantile: the bracket doubles until it holds the quantile, then it is bisected."""
+    lo, hi = 0.0, 1.0
+    while beta_share(df / 2, 0.5, df / (df + hi * hi)) > 1 - level:
+        lo, hi = hi, 2 * hi
     for _ in range(200):
         mid = (lo + hi) / 2
         tail = beta_share(df / 2, 0.5, df / (df + mid * mid))

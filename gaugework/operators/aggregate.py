@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gaugework.functions import stats
+from gaugework.functions.values import clamped
 
 STATUSES = ("scored", "blocked", "non_evaluable", "skipped", "error")
 
@@ -14,10 +15,13 @@ def usable() -> Column:
     return (F.col("status") == "scored") & (F.col("validity") == "valid")
 
 
-def aggregated(scores: DataFrame, by: str = "metric") -> DataFrame:
+def aggregated(scores: DataFrame, by: str = "metric", median: bool = False) -> DataFrame:
+    """One aggregation with partial sums; the median, where it is asked for, by a path of its own."""
+    if median:
+        return aggregated(scores, by).join(medians(scores, by), by, "left")
     v = F.when(usable(), F.col("value"))
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES]
-    return scores.groupBy(by).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("sd"), F.count_if(usable()).alias("included"), F.count_if(usable() & (F.col("value") >= 0.5)).alias("successes"), F.count("*").alias("total"), *counts)
+    return scores.groupBy(by).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("sd"), F.count_if(usable()).alias("included"), F.count_if(usable() & (F.col("value") >= 0.5)).alias("successes"), F.count("*").alias("total"), *counts)
 
 
 def population(scores: DataFrame, by: str = "metric") -> DataFrame:
@@ -26,17 +30,57 @@ def population(scores: DataFrame, by: str = "metric") -> DataFrame:
     return scores.groupBy(by).agg(*[F.count_if(s == x).alias(f"n_{x}") for x in STATUSES])
 
 
+def medians(scores: DataFrame, by: str = "metric") -> DataFrame:
+    """Exact medians of usable values. A bracket of approximate quantiles leaves about a five-hundredth of the values to
+    rank; those below it are only counted. Equal values are one row, and both counts have partial sums."""
+    rows = scores.filter(usable() & F.col("value").isNotNull()).select(by, "value")
+    bracket = rows.groupBy(by).agg(F.percentile_approx("value", [0.499, 0.501], 10_000).alias("q"), F.count("*").alias("n"))
+    held = rows.join(bracket, by)
+    below = held.groupBy(by).agg(F.count_if(F.col("value") < F.col("q")[0]).alias("below"))
+    mid = held.filter(F.col("value").between(F.col("q")[0], F.col("q")[1])).groupBy(by, "n", "value").agg(F.count("*").alias("k")).join(below, by)
+    run = mid.withColumn("upto", F.col("below") + F.sum("k").over(W.partitionBy(by).orderBy("value")))
+    hit = lambda p: F.when((F.col("upto") >= p) & (F.col("upto") - F.col("k") < p), F.col("value"))
+    return run.groupBy(by).agg(((F.max(hit(F.floor((F.col("n") + 1) / 2))) + F.max(hit(F.floor(F.col("n") / 2) + 1))) / 2).alias("median"))
+
+
+def quantiles(agg: DataFrame, level: float = 0.95) -> DataFrame:
+    """(included, t): a row for each distinct size of two or more; sizes are whole numbers, so there are few."""
+    sizes = [r[0] for r in agg.select("included").filter("included > 1").distinct().collect()]
+    return agg.sparkSession.createDataFrame([(n, stats.t_value(n - 1, level)) for n in sizes], "included bigint, t double")
+
+
 def mean_interval(agg: DataFrame, level: float = 0.95, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Adds Student-t bounds; the quantiles of the distinct sizes come from the driver, one row for each metric."""
-    sizes = [r[0] for r in agg.select("included").distinct().collect() if r[0] > 1]
-    t = F.lit(None).cast("double")
-    for n in sizes:
-        t = F.when(F.col("included") == n, F.lit(stats.t_value(n - 1, level))).otherwise(t)
-    half = t * F.col("sd") / F.sqrt(F.col("included"))
-    lo, hi = F.col("mean") - half, F.col("mean") + half
-    lo = lo if low is None else F.when(lo.isNotNull(), F.greatest(lo, F.lit(float(low))))
-    hi = hi if high is None else F.when(hi.isNotNull(), F.least(hi, F.lit(float(high))))
-    return agg.withColumn("lower", F.round(lo, stats.PLACES)).withColumn("upper", F.round(hi, stats.PLACES))
+    """Adds Student-t bounds, clamped to a score range where one is given; NULL below two values."""
+    out = agg.join(F.broadcast(quantiles(agg, level)), "included", "left")
+    half = F.col("t") * F.col("sd") / F.sqrt(F.col("included"))
+    lo, hi = clamped(F.col("mean") - half, low, None), clamped(F.col("mean") + half, None, high)
+    return out.withColumn("lower", F.round(lo, stats.PLACES)).withColumn("upper", F.round(hi, stats.PLACES)).drop("t")
+
+
+#: Aggregations of a metric, by the column of aggregated() that holds their value; none has no value but is counted.
+POINTS = {"mean": "mean", "rate": "mean", "median": "median", "min": "min", "max": "max", "none": None}
+SMALL = 5
+
+
+def estimates(agg: DataFrame, specs: DataFrame, level: float = 0.95) -> DataFrame:
+    """agg of aggregated(), specs: metric, aggregation, score_type, low, high. (metric, point, n, method, lower, upper,
+    code, bound): a proportion has a Wilson interval and, where all outcomes are the same, the bound of the rule of three;
+    a mean of other scores has a Student-t one, clamped to the score range; order statistics have none, and a code."""
+    a = agg.join(F.broadcast(specs), "metric")
+    how, n = F.col("aggregation"), F.col("included")
+    point = F.when(how.isin("mean", "rate"), F.col("mean")).when(how == "median", F.col("median")).when(how == "min", F.col("min")).when(how == "max", F.col("max"))
+    share = (F.col("score_type") == "binary") & how.isin("mean", "rate")
+    a = mean_interval(a, level).withColumnsRenamed({"lower": "t_lower", "upper": "t_upper"})
+    w_lower, w_upper = stats.wilson(F.col("successes"), n, level)
+    t_lower = F.when(F.col("t_lower").isNotNull(), F.greatest(F.col("t_lower"), F.coalesce("low", "t_lower")))
+    t_upper = F.when(F.col("t_upper").isNotNull(), F.least(F.col("t_upper"), F.coalesce("high", "t_upper")))
+    empty = point.isNull() | (n == 0)
+    student = how == "mean"
+    pick = lambda w, t: F.when(empty, None).when(share, w).when(student, t)
+    method = F.when(empty, "none").when(share, "wilson").when(student & (n > 1), "student_t").otherwise("none")
+    same = share & F.col("successes").isin(0) | share & (F.col("successes") == n)
+    code = F.when(empty, None).when(same, "rule_of_three").when(share, None).when(student, F.when(n < SMALL, "low_reliability_small_n")).otherwise("no_interval_for_aggregation")
+    return a.select("metric", point.alias("point"), n.alias("n"), method.alias("method"), pick(w_lower, t_lower).alias("lower"), pick(w_upper, t_upper).alias("upper"), code.alias("code"), F.when(~empty & same, stats.rule_of_three(n)).alias("bound"))
 
 
 def clusters(diagnostics: DataFrame) -> DataFrame:
@@ -47,6 +91,11 @@ def clusters(diagnostics: DataFrame) -> DataFrame:
     return out.select("metric", "code", "n", F.when(F.col("best.r") == -2, "error").when(F.col("best.r") == -1, "warning").otherwise("info").alias("severity"), F.col("best.message").alias("message"))
 
 
+def ordered_clusters(found: DataFrame) -> DataFrame:
+    """Clusters in the order of reports: severity, count, metric and code."""
+    return found.orderBy(F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2), F.desc("n"), "metric", "code")
+
+
 def confusion(pred: Column, gold: Column) -> list[Column]:
     return [F.count_if(pred & gold).alias("tp"), F.count_if(pred & ~gold).alias("fp"), F.count_if(~pred & gold).alias("fn"), F.count_if(~pred & ~gold).alias("tn")]
 

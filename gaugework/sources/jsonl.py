@@ -7,19 +7,15 @@ JSON is strict: NaN, Infinity and repeated keys of an object count as invalid JS
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from gaugework.functions.words import SPACE
+from gaugework.functions.words import stripped
 
 #: Fixed value: where a text is cut into lines.
 BREAKS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 POLICIES = ("permitted", "redacted", "forbidden", "missing", "unknown")
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
-
-
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, raw): stripped lines that aren't blank, numbered from 1 with blank ones counted. A file is one row
     of the scan, as numbers need its start; keep files below Spark's 2 GB a value and give many of them."""
@@ -28,6 +24,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return cut.select("path", (F.col("line") + 1).cast("bigint").alias("line"), stripped(F.col("raw")).alias("raw")).filter("raw <> ''")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """lines() for files of any size, which Spark may split: a line's number is the count of lines in the file's blocks
+    before its own, and its place there. Only line feeds and carriage returns end a line here."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("id"))
+    blocks = rows.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = rows.join(blocks.select("path", "block", "first", before.alias("before")), ["path", "block"])
+    return out.select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), stripped(F.col("value")).alias("raw")).filter("raw <> ''")
+
+
 def field(doc: Column, name: str) -> Column:
     """A member as VARIANT: SQL NULL where it is absent, a JSON null where it is present and null."""
     return F.try_variant_get(doc, f"$['{name}']", "variant")

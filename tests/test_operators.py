@@ -6,6 +6,10 @@ from gaugework.operators import aggregate as A, decide as D, scorers as S
 from gaugework.operators.joins import assemble, paired
 
 
+def test_quantiles_beyond_any_bracket():
+    assert stats.t_value(1, 0.9999) == pytest.approx(6366.1976, rel=1e-6)
+
+
 def test_textbook_quantiles():
     for df, t in {1: 12.706205, 2: 4.302653, 3: 3.182446, 4: 2.776445, 5: 2.570582, 10: 2.228139, 30: 2.042272, 100: 1.983972}.items():
         assert stats.t_value(df) == pytest.approx(t, abs=1e-6)
@@ -25,13 +29,24 @@ def scores(spark, rows):
 
 
 def test_blocked_rows_are_counted_and_never_zero(spark):
-    r = A.aggregated(scores(spark, [(None, "blocked", "not_measured"), (None, "blocked", "not_measured")])).first()
-    assert r["mean"] is None and r.included == 0 and r.n_blocked == 2
-    r = A.aggregated(scores(spark, [(1.0, "scored", "valid"), (2.0, "scored", "valid"), (4.0, "scored", "valid"), (10.0, "scored", "valid"), (99.0, "scored", "invalid")])).first()
+    r = A.aggregated(scores(spark, [(None, "blocked", "not_measured"), (None, "blocked", "not_measured")]), median=True).first()
+    assert r["mean"] is None and r["median"] is None and r.included == 0 and r.n_blocked == 2
+    r = A.aggregated(scores(spark, [(1.0, "scored", "valid"), (2.0, "scored", "valid"), (4.0, "scored", "valid"), (10.0, "scored", "valid"), (99.0, "scored", "invalid")]), median=True).first()
     assert r["median"] == 3.0 and r.included == 4 and r.total == 5
     assert A.population(scores(spark, [(9.0, "scored", "invalid")])).first().n_error == 1
 
 
+def test_medians_of_many_values(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    for n, kinds in ((1, 5), (2, 5), (3001, 10**9), (4000, 7), (5000, 10**9)):
+        v = [float(rng.randrange(kinds)) for _ in range(n)]
+        got = A.medians(scores(spark, [(x, "scored", "valid") for x in v] + [(1e9, "scored", "invalid")])).first()
+        assert got["median"] == statistics.median(v)
+
+
 def test_payload_scorers(spark):
     rows = ['{"k": 5, "s": "3", "b": true, "n": null}', "[1]", None]
     d = spark.createDataFrame([(x,) for x in rows], "j string").withColumn("p", F.try_parse_json("j"))
@@ -47,15 +62,19 @@ def test_payload_scorers(spark):
 def test_cardinalities_with_null_keys(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "id int, k string")
     right = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "rk string, v int")
-    code = lambda c: {r.id: r.diagnostic for r in assemble(left, right, "k", "rk", c).collect()}
     miss, many = "assembly_join_missing", "assembly_join_ambiguous"
-    assert code("one_to_one") == {1: None, 2: many, 3: None, 4: miss}
-    assert code("optional_one") == {1: None, 2: many, 3: None, 4: None}
-    assert assemble(left, right, "k", "rk", "one_to_many").count() == 5
-
-
-def test_last_of_repeated_ids_counts(spark):
-    a = spark.createDataFrame([("m", "x", 1.0, 0), ("m", "x", 5.0, 1)], "metric string, example_id string, value double, ordinal int")
+    got = {}
+    for c in ("one_to_one", "one_to_many", "optional_one"):
+        kept, gone = assemble(left, right, "k", "rk", c)
+        got[c] = sorted((r.id, r.r and r.r.v) for r in kept.collect()), {r.id: r.diagnostic for r in gone.collect()}
+    assert got["one_to_one"] == ([(1, 1), (3, 4)], {2: many, 4: miss})
+    assert got["one_to_many"] == ([(1, 1), (2, 2), (2, 3), (3, 4)], {4: miss})
+    assert got["optional_one"] == ([(1, 1), (3, 4), (4, None)], {2: many})
+
+
+def test_last_usable_of_repeated_ids_counts(spark):
+    kind = "metric string, example_id string, value double, status string, validity string, ordinal int"
+    a = spark.createDataFrame([("m", "x", 1.0, "scored", "valid", 0), ("m", "x", 5.0, "scored", "valid", 1), ("m", "x", None, "blocked", "not_measured", 2), ("m", "", 1.0, "scored", "valid", 3)], kind)
     r = paired(a, a).collect()
     assert len(r) == 1 and r[0].now == 5.0
 
