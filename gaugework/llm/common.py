@@ -31,14 +31,19 @@ def claim(name: str, release: Callable[[], None] | None = None) -> None:
     if release:
         _TABLES[name] = release
     if others:
-        import ctypes
+        gc.collect()
+        trim()
 
-        import pyarrow as pa
 
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+def trim() -> None:
+    """Memory that a worker has freed goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -37,12 +37,12 @@ import regex
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugework.llm.common import claim, fresh_path
+from gaugework.llm.common import claim, fresh_path, trim
 
 LENGTH, END_ID, BATCH_ROWS = 2048, 0, 256
 #: Memory of a worker's tables of words and pieces, about; they start anew beyond it. Bytes of a pre-token's entry and of
 #: a word's besides the text, with the hash table that a lookup builds.
-CACHE_BYTES, ENTRY, WORD = 150_000_000, 190, 100
+CACHE_BYTES, ENTRY, WORD = 130_000_000, 190, 100
 #: Bytes of text that are encoded together (a longer text by itself).
 SLICE_BYTES = 4_000_000
 
@@ -107,8 +107,8 @@ class Encoder:
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode the pre-tokens that are not known yet."""
         miss = list(set(filterfalse(self.known.__contains__, pieces)))
-        for i in range(0, len(miss), 10_000):
-            some = miss[i : i + 10_000]
+        for i in range(0, len(miss), 5_000):
+            some = miss[i : i + 5_000]
             for p, e in zip(some, self.plain(some)):
                 self.known[p] = array(self.code, e.ids).tobytes()
         self.held += sum(map(len, miss)) + len(miss) * ENTRY
@@ -124,15 +124,16 @@ class Encoder:
         white space are one text, whose ids fall apart at the line feed's id; all others are cut by the pattern."""
         got: dict[str, bytes] = {}
         plain = [w for w in words if w.split() == [w]] if len(self.line) == 1 else []
-        some = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        for ws, e in zip(some, self.plain([" " + "\n ".join(ws) for ws in some])):
-            ids = np.array(e.ids, dtype=self.kind)
-            at = np.flatnonzero(ids == self.line[0])
-            if len(at) == len(ws) - 1:
-                raw, size = ids.tobytes(), self.kind.itemsize
-                ends = (at * size).tolist() + [len(raw)]
-                starts = [0, *(at * size + size).tolist()]
-                got.update(zip(ws, [raw[i:j] for i, j in zip(starts, ends)]))
+        for lo in range(0, len(plain), 16_000):  # the library's results take much more room than ids
+            some = [plain[i : i + 400] for i in range(lo, min(lo + 16_000, len(plain)), 400)]
+            for ws, e in zip(some, self.plain([" " + "\n ".join(ws) for ws in some])):
+                ids = np.array(e.ids, dtype=self.kind)
+                at = np.flatnonzero(ids == self.line[0])
+                if len(at) == len(ws) - 1:
+                    raw, size = ids.tobytes(), self.kind.itemsize
+                    ends = (at * size).tolist() + [len(raw)]
+                    starts = [0, *(at * size + size).tolist()]
+                    got.update(zip(ws, [raw[i:j] for i, j in zip(starts, ends)]))
         rest = [w for w in words if w not in got]
         got.update(zip(rest, self.cut([" " + w for w in rest])))
         return [got[w] for w in words]
@@ -292,6 +293,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, length: in
             for lo, texts in slices(batch.column(1).slice(i, j - i)):
                 ids, counts = enc.encode(texts, END_ID)
                 writer.add(batch.column(0).slice(i + lo, len(texts)), ids, counts)
+        trim()
     close()
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["file", "row", "shard", "n_tokens"])
