@@ -80,6 +80,7 @@ class Encoder:
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.kind = np.dtype("<u4" if self.tok.get_vocab_size() > 65_536 else "<u2")
         self.code = "I" if self.kind.itemsize == 4 else "H"
+        self.limit = CACHE_BYTES
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.clear()
 
@@ -149,7 +150,7 @@ class Encoder:
         return at
 
     def units(self, texts: pa.Array) -> Units:
-        if self.held > CACHE_BYTES:
+        if self.held > self.limit:
             self.clear()
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -218,10 +219,11 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         lo = hi
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     claim("token_output", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].limit = cache_bytes
     return _ENCODERS[path]
 
 
@@ -264,11 +266,11 @@ class _Writer:
         self.index.close()
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, length: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, length: int, cache_bytes: int) -> Iterator[pa.RecordBatch]:
     """Batches: doc_id, text, and for file order the file and the row. A shard for the task, or for each file it reads."""
     from pyspark import TaskContext
 
-    enc, part = encoder(path), TaskContext.get().partitionId()
+    enc, part = encoder(path, cache_bytes), TaskContext.get().partitionId()
     out: list[tuple[str, int, str, int]] = []
     writer, place = None, ("", 0)
 
@@ -299,7 +301,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, length: in
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["file", "row", "shard", "n_tokens"])
 
 
-def write(docs: DataFrame, folder: str, path: str, length: int = LENGTH, order: str = "doc_id") -> list[tuple[str, int, int]]:
+def write(docs: DataFrame, folder: str, path: str, length: int = LENGTH, order: str = "doc_id", cache_bytes: int = CACHE_BYTES) -> list[tuple[str, int, int]]:
     """Write the shards; (shard, ids before it, ids in it) for each, in order. One row a shard reaches the driver."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     own = None
@@ -310,7 +312,7 @@ def write(docs: DataFrame, folder: str, path: str, length: int = LENGTH, order:
             own = None
     if own is None:
         own = docs.select("doc_id", text, F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows = own.mapInArrow(lambda it: _write(it, folder, path, length), "file string, row bigint, shard string, n_tokens bigint").collect()
+    rows = own.mapInArrow(lambda it: _write(it, folder, path, length, cache_bytes), "file string, row bigint, shard string, n_tokens bigint").collect()
     out, before = [], 0
     for r in sorted(rows):
         out.append((r.shard, before, r.n_tokens))
@@ -372,11 +374,12 @@ def read(spark: SparkSession, shards: list[tuple[str, int, int]], kind: str = "b
     return table.repartition(max(1, min(len(shards), 10_000))).mapInArrow(_read, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, length: int = LENGTH, order: str = "doc_id") -> DataFrame:
-    """Write docs as shards in the shared folder and return what the files hold of each document."""
+def round_trip(docs: DataFrame, path: str | None = None, length: int = LENGTH, order: str = "doc_id", cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """Write docs as shards in the shared folder and return what the files hold of each document. cache_bytes bounds a
+    worker's tables; it changes the time taken and nothing else."""
     import public_tokenizers
 
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
-    shards = write(docs, folder, path or public_tokenizers.path("byte_bpe_50k.json"), length, order)
+    shards = write(docs, folder, path or public_tokenizers.path("byte_bpe_50k.json"), length, order, cache_bytes)
     return read(spark, shards, docs.schema["doc_id"].dataType.simpleString())
