@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gaugework.llm import decontam, mixing, neardup, quality, token_output
 from gaugework.llm.common import table, written
 
+#: Word tables of a worker in the last stage: small, as executors still hold what the stages before have left them.
+CACHE_BYTES = 30_000_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -41,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.round_trip(docs, order="files")
+    return token_output.round_trip(docs, order="files", cache_bytes=CACHE_BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules), ("near-duplicates", near_dedup), ("decontamination", decontaminate), ("mixing", mix_sources), ("token output", write_tokens)]
