@@ -42,7 +42,7 @@ from gaugework.llm.common import claim, fresh_path, trim
 LENGTH, END_ID, BATCH_ROWS = 2048, 0, 256
 #: Memory of a worker's tables of words and pieces, about; they start anew beyond it. Bytes of a pre-token's entry and of
 #: a word's besides the text, with the hash table that a lookup builds.
-CACHE_BYTES, ENTRY, WORD = 130_000_000, 190, 100
+CACHE_BYTES, ENTRY, WORD = 200_000_000, 190, 100
 #: Bytes of text that are encoded together (a longer text by itself).
 SLICE_BYTES = 4_000_000
 
