@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from gaugework.functions.words import tokens, words
@@ -16,6 +18,11 @@ def unmeasured(code: str, status: str = "non_evaluable") -> Column:
     return outcome(F.lit(None), status, "invalid" if status == "error" else "not_measured", code)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is evaluated one time, as a lambda's variable, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def flag(ok: Column, code: str | None = None) -> Column:
     """1 or 0; a miss carries the code."""
     return outcome(ok.cast("double"), code=F.when(~ok, F.lit(code)) if code else None)
@@ -26,9 +33,8 @@ def exact_match(output: Column, reference: Column) -> Column:
 
 
 def set_overlap(output: Column, reference: Column) -> Column:
-    a, b = tokens(output), tokens(reference)
-    union = F.size(F.array_union(a, b))
-    value = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    sizes = once(F.struct(tokens(output).alias("a"), tokens(reference).alias("b")), lambda x: F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), F.size(F.array_intersect(x["a"], x["b"])).alias("both")))
+    value = once(sizes, lambda x: F.when(x["a"] + x["b"] == 0, F.lit(1.0)).otherwise(x["both"] / (x["a"] + x["b"] - x["both"])))
     return F.when(output.isNull(), unmeasured("set_overlap.no_output")).when(reference.isNull(), unmeasured("set_overlap.no_reference")).otherwise(outcome(value))
 
 
@@ -78,9 +84,9 @@ def enum_membership(value: Column, allowed: list[str]) -> Column:
 def word_count_bounds(text: Column, low: int | None = None, high: int | None = None) -> Column:
     if low is None and high is None:
         return unmeasured("word_count_bounds.no_bounds")
-    n = F.size(words(text))
-    ok = (F.lit(True) if low is None else n >= low) & (F.lit(True) if high is None else n <= high)
-    return F.when(text.isNull(), unmeasured("word_count_bounds.field_absent")).otherwise(flag(ok, "word_count_bounds.out_of_bounds"))
+    ok = lambda n: (F.lit(True) if low is None else n >= low) & (F.lit(True) if high is None else n <= high)
+    made = once(F.size(words(text)), lambda n: flag(ok(n), "word_count_bounds.out_of_bounds"))
+    return F.when(text.isNull(), unmeasured("word_count_bounds.field_absent")).otherwise(made)
 
 
 def trajectory_shape(outputs: Column, members: Column) -> Column:
