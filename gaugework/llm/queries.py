@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugework.llm import decontam, html_extract, langid, licenses, mixing, neardup, pii, quality, token_edits, token_output
+from gaugework.llm import chat_format, decontam, html_extract, langid, licenses, mixing, neardup, pii, prefix_trie, quality, token_alignment, token_edits, token_output
 from gaugework.llm.common import OWN, table
 
 
@@ -58,8 +58,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col(OWN + "n_words").alias("n_words"), hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose two texts hold control strings of the template."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = [(-1, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))]
+    return chat_format.read_back(chat_format.formatted(rows.unionByName(spark.createDataFrame(more, rows.schema))))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_license_scan, op3_token_counts, op4_language_id, op5_pii, op6_quality, op7_near_dedup, op8_main_text, op9_token_output, op10_decontamination)
+    f.__name__: f for f in (op1_mixing, op2_license_scan, op3_token_counts, op4_language_id, op5_pii, op6_quality, op7_near_dedup, op8_main_text, op9_token_output, op10_decontamination, op11_chat_format, op12_prefix_trie, op13_token_alignment)
 }
 
 _OP6 = r"""
@@ -91,4 +106,33 @@ SELECT doc_id, len(ws) AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce
 FROM low LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """
 
-ORACLE: dict[str, str] = {"op6_quality": _OP6, "op10_decontamination": _OP10}
+_OP11 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS nr,
+  length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS nt FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(nr + nt + 22)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
+
+_OP12 = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT conv_id AS c, list({'r': role, 't': text} ORDER BY i) AS p FROM t GROUP BY conv_id),
+h AS (SELECT c, p, xor(4294967295, list_reduce(list_concat([4294967295], flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(c::VARCHAR, '')])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) % 4 AS h FROM b),
+f AS (SELECT h.c, list_concat(coalesce(g.p[1 : h.h], []), h.p[h.h + 1 :]) AS p FROM h LEFT JOIN b g ON g.c = h.c - h.c % 20),
+pre AS (SELECT c, d, len(p) AS n, p[1 : d] AS k, p[d] AS last FROM f, LATERAL (SELECT unnest(range(0, len(p) + 1)) AS d)),
+node AS (SELECT d, k, min(c) AS c, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d) AS ends, any_value(last.t) AS t FROM pre GROUP BY d, k),
+own AS (SELECT node.*, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(t, '[^ 	-
+]+')) END AS saved FROM node),
+up AS (SELECT v.c AS vc, v.d AS vd, pre.d, pre.k, v.saved FROM own v JOIN pre ON pre.c = v.c AND pre.d <= v.d),
+par AS (SELECT v.c, v.d, p.c AS pc FROM own v JOIN pre ON pre.c = v.c AND pre.d = v.d - 1 JOIN node p ON p.d = pre.d AND p.k = pre.k),
+kids AS (SELECT pc AS c, d - 1 AS d, count(*) AS n FROM par GROUP BY pc, d),
+below AS (SELECT up.d, up.k, sum(up.saved)::BIGINT AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves FROM up LEFT JOIN kids ON kids.c = up.vc AND kids.d = up.vd GROUP BY up.d, up.k)
+SELECT own.c AS conv_id, own.d AS depth, par.pc AS parent_conv_id, own.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN below ON below.d = own.d AND below.k = own.k LEFT JOIN par ON par.c = own.c AND par.d = own.d LEFT JOIN kids ON kids.c = own.c AND kids.d = own.d
+"""
+
+ORACLE: dict[str, str] = {"op6_quality": _OP6, "op10_decontamination": _OP10, "op11_chat_format": _OP11, "op12_prefix_trie": _OP12}
