@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from gaugework.llm.token_output import Encoder, slices
 #: Groups that are broadcast at most, and the bytes of their keys.
 HEAD_ROWS, HEAD_BYTES = 500_000, 16_000_000
 #: Memory of a worker's tables of units and groups, about; they start anew beyond it. Bytes of an entry besides its text.
-CACHE_BYTES, ENTRY = 150_000_000, 330
+CACHE_BYTES, ENTRY = 150_000_000, 200
+#: Units that are aligned together.
+LOT = 20_000
 
 #: Where a unit begins: a space behind a character other than a space and before one other than white space.
 _CUT = re.compile(r"(?<=[^ ])(?= \S)")
@@ -58,6 +61,7 @@ class Aligner:
         alphabet = byte_alphabet()
         self.a_bytes = [self._a_token(self.a.tok.id_to_token(i), alphabet) for i in range(self.a.tok.get_vocab_size())]
         self.b_bytes = [self._b_token(i) for i in range(self.b.get_piece_size())]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         self.limit = cache_bytes
         self.clear()
 
@@ -71,62 +75,76 @@ class Aligner:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.names: dict[str, int] = {}  # groups
-        self.strings: list[str] = []  # by entry; None where bytes differ
+        self.good = np.zeros(0, dtype=bool)  # by entry: token bytes equal the unit
         self.counts = np.zeros((0, 4), dtype=np.int64)  # by entry: tokens of A, of B, groups, first group
         self.groups = np.zeros(0, dtype=np.int32)
+        self.names: list[str] = []  # of groups
+        self.single: dict[int, int] = {}  # groups of one token each, by both ids as one number
+        self.longer: dict[tuple[bytes, bytes], int] = {}
         self.held = 0
 
-    def aligned(self, unit: str, a: list[int], b: list[int]) -> list[str] | None:
-        """The groups of a unit (which begins with a space), as a1,a2|b1 each; None if token bytes differ from it."""
-        raw = unit.encode()
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(x) != raw or b"".join(y) != raw:
-            return None
-        out, i, j, at, to, n = [], 0, 0, 0, 0, len(raw)
-        first = (0, 0)
-        while at < n:
-            if at == to:
-                at, to, i, j = at + len(x[i]), to + len(y[j]), i + 1, j + 1
-            elif at < to:
-                at, i = at + len(x[i]), i + 1
-            else:
-                to, j = to + len(y[j]), j + 1
-            if at == to:
-                out.append(",".join(map(str, a[first[0] : i])) + "|" + ",".join(map(str, b[first[1] : j])))
-                first = (i, j)
-            elif at >= n:
-                while to < n:
-                    to, j = to + len(y[j]), j + 1
-                out.append(",".join(map(str, a[first[0] : i])) + "|" + ",".join(map(str, b[first[1] : j])))
+    def _new(self, a: np.ndarray, b: np.ndarray) -> int:
+        self.names.append(",".join(map(str, a.tolist())) + "|" + ",".join(map(str, b.tolist())))
+        self.held += 2 * len(self.names[-1]) + ENTRY
+        return len(self.names) - 1
+
+    def _interned(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+        """The numbers of the groups a[a_ends[i-1]:a_ends[i]], b[b_ends[i-1]:b_ends[i]]."""
+        a_from, b_from = np.concatenate([[0], a_ends[:-1]]), np.concatenate([[0], b_ends[:-1]])
+        out = np.empty(len(a_ends), dtype=np.int32)
+        one = (a_ends - a_from == 1) & (b_ends - b_from == 1)
+        pairs, place = np.unique(a[a_from[one]].astype(np.int64) << 32 | b[b_from[one]], return_inverse=True)
+        for k in [k for k in pairs.tolist() if k not in self.single]:
+            self.single[k] = self._new(np.array([k >> 32]), np.array([k & 0xFFFFFFFF]))
+        out[one] = np.fromiter(map(self.single.__getitem__, pairs.tolist()), dtype=np.int32, count=len(pairs))[place]
+        for i in np.flatnonzero(~one).tolist():
+            x, y = a[a_from[i] : a_ends[i]], b[b_from[i] : b_ends[i]]
+            k = (x.tobytes(), y.tobytes())
+            if k not in self.longer:
+                self.longer[k] = self._new(x, y)
+            out[i] = self.longer[k]
         return out
 
     def learn(self, units: list[str]) -> None:
-        kind = self.a.kind
-        for lo in range(0, len(units), 4_000):
-            some = units[lo : lo + 4_000]
+        """Align units, many at a time: their tokens are one sequence, in which the ends of units are ends of groups."""
+        for lo in range(0, len(units), LOT):
+            some = units[lo : lo + LOT]
             behind = [u for u in some if u[1:].split() == [u[1:]]]
             ids = dict(zip(behind, self.a.behind_space([u[1:] for u in behind])))
             rest = [u for u in some if u not in ids]
             ids.update(zip(rest, self.a.cut(rest)))
             self.a.known.clear()
-            rows, groups = [], []
-            start = len(self.groups)
-            for u, b in zip(some, self.b.encode([u[1:] for u in some], num_threads=1)):
-                a = np.frombuffer(ids[u], dtype=kind).tolist()
-                found = self.aligned(u, a, b)
-                self.known[u] = len(self.strings)
-                self.strings.append(None if found is None else ";".join(found))
-                for g in found or ():
-                    if g not in self.names:
-                        self.names[g] = len(self.names)
-                        self.held += len(g) + ENTRY // 2
-                    groups.append(self.names[g])
-                rows.append((len(a), len(b), len(found or ()), start))
-                start += len(found or ())
-                self.held += len(u) + len(self.strings[-1] or "") + ENTRY
-            self.groups = np.concatenate([self.groups, np.array(groups, dtype=np.int32)])
-            self.counts = np.concatenate([self.counts, np.array(rows, dtype=np.int64).reshape(-1, 4)])
+            a_lists, b_lists = [ids[u] for u in some], self.b.encode([u[1:] for u in some], num_threads=1)
+            raw = [u.encode() for u in some]
+            good = np.ones(len(some), dtype=bool)
+            a, b, same = self._tokens(a_lists, b_lists, raw)
+            if not same:
+                for i, (x, y, r) in enumerate(zip(a_lists, b_lists, raw)):
+                    good[i] = self._tokens([x], [y], [r])[2]
+                    if not good[i]:
+                        a_lists[i], b_lists[i], raw[i] = b"", [], b""
+                a, b, _ = self._tokens(a_lists, b_lists, raw)
+            a_to, b_to = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+            both = np.intersect1d(a_to, b_to, assume_unique=True)
+            found = self._interned(a, b, np.searchsorted(a_to, both) + 1, np.searchsorted(b_to, both) + 1)
+            ends = np.searchsorted(both, np.cumsum(list(map(len, raw))), side="right")
+            first = np.concatenate([[0], ends[:-1]])
+            n_a = np.fromiter(map(len, a_lists), dtype=np.int64, count=len(some)) // self.a.kind.itemsize
+            rows = np.stack([n_a, np.fromiter(map(len, b_lists), dtype=np.int64, count=len(some)), ends - first, len(self.groups) + first], axis=1)
+            self.known.update(zip(some, range(len(self.good), len(self.good) + len(some))))
+            self.good, self.groups, self.counts = np.concatenate([self.good, good]), np.concatenate([self.groups, found]), np.concatenate([self.counts, rows])
+            self.held += sum(map(len, raw)) + 4 * len(found) + ENTRY * len(some)
+
+    def _tokens(self, a_lists: list[bytes], b_lists: list[list[int]], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(ids of A, ids of B, whether the bytes of each list's tokens equal its unit)."""
+        a = np.frombuffer(b"".join(a_lists), dtype=self.a.kind)
+        b = np.fromiter(chain.from_iterable(b_lists), dtype=np.int32)
+        sizes, whole = np.cumsum([len(r) for r in raw]), b"".join(raw)
+        same = True
+        for ids, table, lengths, counts in ((a, self.a_bytes, self.a_sizes, [len(x) // self.a.kind.itemsize for x in a_lists]), (b, self.b_bytes, self.b_sizes, [len(y) for y in b_lists])):
+            ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.cumsum(counts)]
+            same = same and np.array_equal(ends, sizes) and b"".join(map(table.__getitem__, ids.tolist())) == whole
+        return a, b, same
 
     def entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(entries of all texts, offsets of each): the units of a space and the text."""
@@ -165,22 +183,21 @@ class Aligner:
             self.clear()
         codes, offsets = self.entries(texts)
         n = len(texts)
-        good = np.fromiter((s is not None for s in self.strings), dtype=bool, count=len(self.strings))
-        fine = np.diff(np.concatenate([[0], np.cumsum(~good[codes])])[offsets]) == 0
+        fine = np.diff(np.concatenate([[0], np.cumsum(~self.good[codes])])[offsets]) == 0
         fine &= pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
         owner = np.repeat(np.arange(n), np.diff(offsets))
         keep = fine[owner]
         own = self.counts[codes]
         sums = [np.bincount(owner, weights=own[:, k] * keep, minlength=n).astype(np.int64) for k in range(3)]
-        strings, order = self.strings, codes.tolist()
-        digests = [hashlib.sha256(";".join([strings[c] for c in order[offsets[i] : offsets[i + 1]]]).encode()).hexdigest() if fine[i] else "" for i in range(n)]
         count, start = own[keep, 2], own[keep, 3]
         ends = np.cumsum(count)
         at = np.repeat(start - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
         size = len(self.names) or 1
         pairs, often = np.unique(np.repeat(owner[keep], count) * size + self.groups[at], return_counts=True)
         bounds = pa.array(np.searchsorted(pairs, np.arange(n + 1) * size), pa.int32())
-        names = pa.array(list(self.names), pa.string())
+        names = pa.array(self.names, pa.string())
+        ends, shown = np.concatenate([[0], np.cumsum(sums[2])]).tolist(), self.groups[at].tolist()
+        digests = [hashlib.sha256(";".join(map(self.names.__getitem__, shown[ends[i] : ends[i + 1]])).encode()).hexdigest() if f else "" for i, f in enumerate(fine.tolist())]
         return sums, digests, pa.ListArray.from_arrays(bounds, names.take(pa.array(pairs % size))), pa.ListArray.from_arrays(bounds, pa.array(often, pa.int32()))
 
 
