@@ -18,14 +18,18 @@ def clamped(value: Column, low: float | None, high: float | None) -> Column:
     return value if high is None else F.when(value.isNotNull(), F.least(value, F.lit(float(high))))
 
 
+#: A JSON string, or a number whose fraction is zeros.
+_WHOLE = r'("(?:[^"\\]++|\\.)*+")|(-?\d+)\.0+(?![0-9eE])'
+
+
 def canonical(value: Column) -> Column:
     """JSON text of a VARIANT with sorted keys, in which equal values of JSON are equal texts; numbers of one value too
-    (1, 1.0 and 1e0), at the top. SQL NULL for an absent member, 'null' for a JSON null."""
+    (1, 1.0 and 1e0 at the top, 1 and 1.0 inside). SQL NULL for an absent member, 'null' for a JSON null."""
     kind = F.schema_of_variant(value)
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     plain = F.try_variant_get(value, "$", "double")
     whole = F.when(F.abs(plain) < 2.0**53, F.when(plain == F.floor(plain), plain.cast("bigint").cast("string")).otherwise(plain.cast("string"))).otherwise(F.to_json(value))
-    return F.when(value.isNull(), None).when(number, whole).otherwise(F.to_json(value))
+    return F.when(value.isNull(), None).when(number, whole).otherwise(F.regexp_replace(F.to_json(value), _WHOLE, "$1$2"))
 
 
 def folded_json(value: Column) -> Column:
@@ -33,9 +37,17 @@ def folded_json(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", folded(F.try_variant_get(value, "$", "string"))).otherwise(folded(canonical(value)))
 
 
+def member(*names: str) -> str:
+    """The path of a member of a VARIANT, whatever characters its names hold, except both kinds of quotes in one."""
+    for n in names:
+        if "'" in n and '"' in n:
+            raise ValueError(f"a member's name cannot hold both kinds of quotes: {n}")
+    return "$" + "".join(f'["{n}"]' if "'" in n else f"['{n}']" for n in names)
+
+
 def at_path(record: Column, dotted: str) -> Column:
     """The member that a dotted path names, as VARIANT: SQL NULL where it is absent, a JSON null where it is null."""
-    return F.try_variant_get(record, "$" + "".join(f"['{p}']" for p in dotted.split(".")), "variant")
+    return F.try_variant_get(record, member(*dotted.split(".")), "variant")
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -59,8 +71,13 @@ def annotation_title(text: Column) -> Column:
 
 
 def shown(value: Column, digits: int = 4) -> Column:
-    """A number to so many significant digits, without trailing zeros; 'n/a' for NULL."""
-    size = F.when(value == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(value))))
-    places = F.greatest(F.lit(0), F.lit(digits - 1) - size).cast("int")
-    text = F.regexp_replace(F.format_string(f"%.{digits + 8}f", F.expr("0D") + F.bround(value * F.pow(F.lit(10.0), places), 0) / F.pow(F.lit(10.0), places)), r"\.?0+$", "")
-    return F.when(value.isNull(), "n/a").otherwise(text)
+    """A double to so many significant digits, as Python's g format: without trailing zeros, with an exponent below 1e-4 and
+    from 10**digits on; 'none' for NULL. A tie of its shortest decimal form is rounded up."""
+    number = value.cast("double")
+    parts = F.split(F.format_string(f"%.{digits - 1}e", number), "e")
+    power = F.try_element_at(parts, F.lit(2)).cast("int")
+    bare = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    fixed = F.concat_ws("e", parts).try_cast(f"decimal(38,{digits + 4})").cast("string")
+    far = (power < -4) | (power >= digits)
+    text = F.when(far, F.concat(bare(parts[0]), F.lit("e"), F.try_element_at(parts, F.lit(2)))).otherwise(F.when(number == 0, "0").otherwise(bare(fixed)))
+    return F.when(value.isNull(), "none").when(F.isnan(number), "nan").when(F.abs(number) == float("inf"), F.when(number > 0, "inf").otherwise("-inf")).otherwise(text)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugework.functions import stats
 from gaugework.functions.values import clamped
+from gaugework.operators import select
 
 STATUSES = ("scored", "blocked", "non_evaluable", "skipped", "error")
 
@@ -31,34 +32,17 @@ def population(scores: DataFrame, by: str = "metric") -> DataFrame:
 
 
 def medians(scores: DataFrame, by: str = "metric") -> DataFrame:
-    """Exact medians of usable values. A bracket of approximate quantiles leaves about a five-hundredth of the values to
-    rank; those below it are only counted. Equal values are one row, and both counts have partial sums."""
-    rows = scores.filter(usable() & F.col("value").isNotNull()).select(by, "value")
-    bracket = rows.groupBy(by).agg(F.percentile_approx("value", [0.499, 0.501], 10_000).alias("q"), F.count("*").alias("n"))
-    held = rows.join(bracket, by)
-    below = held.groupBy(by).agg(F.count_if(F.col("value") < F.col("q")[0]).alias("below"))
-    mid = held.filter(F.col("value").between(F.col("q")[0], F.col("q")[1])).groupBy(by, "n", "value").agg(F.count("*").alias("k")).join(below, by)
-    run = mid.withColumn("upto", F.col("below") + F.sum("k").over(W.partitionBy(by).orderBy("value")))
-    hit = lambda p: F.when((F.col("upto") >= p) & (F.col("upto") - F.col("k") < p), F.col("value"))
-    return run.groupBy(by).agg(((F.max(hit(F.floor((F.col("n") + 1) / 2))) + F.max(hit(F.floor(F.col("n") / 2) + 1))) / 2).alias("median"))
-
-
-def quantiles(agg: DataFrame, level: float = 0.95) -> DataFrame:
-    """(included, t): a row for each distinct size of two or more; sizes are whole numbers, so there are few."""
-    sizes = [r[0] for r in agg.select("included").filter("included > 1").distinct().collect()]
-    return agg.sparkSession.createDataFrame([(n, stats.t_value(n - 1, level)) for n in sizes], "included bigint, t double")
+    """Exact medians of usable values, by radix selection."""
+    return select.median(scores.filter(usable()), by)
 
 
 def mean_interval(agg: DataFrame, level: float = 0.95, low: float | None = None, high: float | None = None) -> DataFrame:
     """Adds Student-t bounds, clamped to a score range where one is given; NULL below two values."""
-    out = agg.join(F.broadcast(quantiles(agg, level)), "included", "left")
-    half = F.col("t") * F.col("sd") / F.sqrt(F.col("included"))
+    half = stats.t_column(F.col("included") - 1, level) * F.col("sd") / F.sqrt(F.col("included"))
     lo, hi = clamped(F.col("mean") - half, low, None), clamped(F.col("mean") + half, None, high)
-    return out.withColumn("lower", F.round(lo, stats.PLACES)).withColumn("upper", F.round(hi, stats.PLACES)).drop("t")
+    return agg.withColumn("lower", F.round(lo, stats.PLACES)).withColumn("upper", F.round(hi, stats.PLACES))
 
 
-#: Aggregations of a metric, by the column of aggregated() that holds their value; none has no value but is counted.
-POINTS = {"mean": "mean", "rate": "mean", "median": "median", "min": "min", "max": "max", "none": None}
 SMALL = 5
 
 

@@ -29,24 +29,27 @@ def grant(expires: Column, now: Column, pairs: dict[str, tuple[Column, Column]])
 
 def authority(metric_status: Column, threshold_approved: Column, dataset_status: Column, policy: Column, fake_judge: Column, grant_status: Column | None = None, calibration: Column | None = None, needs_baseline: Column | None = None, baseline_state: Column | None = None) -> Column:
     """struct<level, can_gate, blocked, reasons>: what keeps a metric from authority comes first, then what blocks it.
-    grant_status: NULL without a grant; calibration: NULL for metrics without a judge."""
+    grant_status: NULL without a grant; calibration: NULL for metrics without a judge. Any other input that is NULL is
+    not known and counts as the worst: no authority comes from missing data."""
     none = F.lit(None).cast("string")
+    shut = lambda c: F.coalesce(c, F.lit(True))
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.coalesce(c, F.lit("missing")))
     grant_status, calibration, baseline_state = (none if c is None else c for c in (grant_status, calibration, baseline_state))
     needs_baseline = F.lit(False) if needs_baseline is None else needs_baseline
     why = reasons(
-        (fake_judge, "judge_fake_non_authoritative"),
+        (shut(fake_judge), "judge_fake_non_authoritative"),
         (grant_status.isin("missing", "mismatched"), F.concat(F.lit("grant_"), grant_status)),
-        (metric_status != "gating", F.concat(F.lit("metric_status="), metric_status)),
-        (~threshold_approved, "threshold_proposed"),
-        (dataset_status == "proposed", "dataset_proposed"),
+        (shut(metric_status != "gating"), named("metric_status=", metric_status)),
+        (shut(~threshold_approved), "threshold_proposed"),
+        (shut(dataset_status == "proposed"), "dataset_proposed"),
         (calibration.isin("uncalibrated", "calibrating"), F.concat(F.lit("judge_"), calibration)),
     )
     stops = reasons(
-        (~policy.isin("permitted", "redacted"), F.concat(F.lit("policy_"), policy)),
+        (shut(~policy.isin("permitted", "redacted")), named("policy_", policy)),
         (calibration.isin("drifted", "retired"), F.concat(F.lit("judge_"), calibration)),
         (dataset_status == "retired", "dataset_retired"),
         (grant_status == "expired", "grant_expired"),
-        (needs_baseline & ~F.coalesce(baseline_state == "comparable", F.lit(False)), F.concat(F.lit("baseline_"), F.coalesce(baseline_state, F.lit("missing")))),
+        (shut(needs_baseline) & ~F.coalesce(baseline_state == "comparable", F.lit(False)), named("baseline_", baseline_state)),
     )
     free = F.size(why) == 0
     blocked = free & (F.size(stops) > 0)
@@ -102,14 +105,16 @@ def rank(verdict: Column) -> Column:
     return out
 
 
-def decide(gates: DataFrame) -> DataFrame:
-    """One row: the verdict of highest precedence (informational without gates), whether CI fails, and the metrics of each
-    kind."""
+def decide(gates: DataFrame, order: str = "metric") -> DataFrame:
+    """gates: metric, verdict, reason and the column that orders metrics. One row: the verdict of highest precedence
+    (informational without gates), whether CI fails, the metrics of each kind, and the reasons of those that fail or are
+    blocked, each in order. A run has as many gates as its configuration has metrics."""
     top = F.coalesce(F.max(rank(F.col("verdict"))), F.lit(0))
     name = F.when(top == 3, "blocked").when(top == 2, "fail").when(top == 1, "pass").otherwise("informational")
-    lists = [F.array_join(F.array_sort(F.collect_list(F.when(F.col("verdict") == v, F.col("metric")))), ",").alias(f"{v}_gates") for v in ("pass", "fail", "blocked")]
-    rest = F.array_join(F.array_sort(F.collect_list(F.when(F.col("verdict") == "informational", F.col("metric")))), ",").alias("informational_metrics")
-    return gates.agg(name.alias("verdict"), (top >= 2).alias("ci_should_fail"), *lists, rest)
+    of = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct(F.col(order).alias("o"), "metric", "reason"))))
+    lists = [F.array_join(F.transform(of(F.col("verdict") == v), lambda x: x["metric"]), ",").alias(n) for v, n in (("pass", "pass_gates"), ("fail", "fail_gates"), ("blocked", "blocked_gates"), ("informational", "informational_metrics"))]
+    why = F.transform(of(F.col("verdict").isin("fail", "blocked")), lambda x: F.struct(x["metric"].alias("metric"), F.split(F.coalesce(x["reason"], F.lit("gate_blocked")), ",").alias("reasons")))
+    return gates.agg(name.alias("verdict"), (top >= 2).alias("ci_should_fail"), *lists, why.alias("reasons"))
 
 
 def exit_code(verdict: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugework.functions.values import at_path, clamped, unfenced
+from gaugework.operators.scan import running
 
 RESULT = "struct<status:string,value:double,raw:string,rationale:string,code:string>"
 RETRIED = ("timeout", "provider_error")
@@ -113,12 +115,12 @@ def cost(tokens: Column, price_per_thousand: Column) -> Column:
 
 def within_budget(effects: DataFrame, ordinal: str, amounts: dict[str, tuple[Column, float]], by: tuple[str, ...] = ()) -> DataFrame:
     """effects with dispatched: whether every running sum before an effect is below its limit. Effects run in order, so
-    a stop holds for all that follow; sums of one group meet in one task, as budgets are of one run."""
-    w = W.partitionBy(*by).orderBy(ordinal).rowsBetween(W.unboundedPreceding, -1)
-    ok = F.lit(True)
-    for amount, limit in amounts.values():
-        ok = ok & (F.coalesce(F.sum(amount).over(w), F.lit(0)) < limit)
-    return effects.withColumn("dispatched", ok)
+    a stop holds for all that follow. Sums are of decimals to twelve places and so exact in any partitioning; a group,
+    and a run is one, is dealt over tasks by ranges of its order."""
+    sums = {f"__spent_{k}": F.round(a, 12).cast("decimal(28,12)") for k, (a, _) in amounts.items()}
+    out = running(effects, (ordinal,), sums, by)
+    ok = reduce(lambda c, k: c & (F.col(f"__spent_{k}") < F.lit(amounts[k][1]).cast("decimal(28,12)")), amounts, F.lit(True))
+    return out.select(*effects.columns, ok.alias("dispatched"))
 
 
 def answered(effects: DataFrame, cache: DataFrame | None, judge: Column, mode: str = "read_write", attempts: int = 3) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from gaugework.operators.scan import numbered
 from gaugework.operators.scoring import INTEGRITY, Metric, matches
 
 
 def subjects(examples: DataFrame, *order: str) -> DataFrame:
-    """examples with subject_id s0, s1, ... in the given order: for sources of the size that one task can number."""
-    return examples.withColumn("subject_id", F.concat(F.lit("s"), (F.row_number().over(W.orderBy(*order)) - 1).cast("string")))
+    """examples with subject_id s0, s1, ... in the given order."""
+    out = numbered(examples, order, "__number")
+    return out.withColumn("subject_id", F.concat(F.lit("s"), F.col("__number").cast("string"))).drop("__number")
 
 
 def ledger(examples: DataFrame, metrics: list[Metric]) -> DataFrame:
@@ -60,11 +62,3 @@ def preflight(effects: DataFrame, tokens_per_call: int, prices: DataFrame) -> Da
     """(metric, calls, denied, cost_bound): the most a run can cost before it is started; NULL where no price is known."""
     n = effects.groupBy("metric").agg(F.count_if("permitted").alias("calls"), F.count_if(~F.col("permitted")).alias("denied"))
     return n.join(F.broadcast(prices), "metric", "left").select("metric", "calls", "denied", (F.col("calls") * F.lit(tokens_per_call) / 1000 * F.col("price")).alias("cost_bound"))
-
-
-def fingerprint(dimension: str, ids: DataFrame, column: str) -> DataFrame:
-    """(dimension, digest) over the sorted distinct ids: hashes of hash ranges are hashed, so that no task holds all."""
-    part = F.pmod(F.xxhash64(column), F.lit(1024))
-    one = ids.select(F.col(column).cast("string").alias("i"), part.alias("p")).distinct()
-    parts = one.groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("i", 256))), ",").cast("binary"), 256).alias("d"))
-    return parts.agg(F.lit(dimension).alias("dimension"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ",").cast("binary"), 256).alias("digest"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugework.functions.values import folded_json
 from gaugework.functions.words import stripped
+from gaugework.operators.scan import numbered
 
 #: Fixed value: words in the name of a tool, which may draft but never validate; a host adds the names of its own.
 TOOL_MARKS = ("agent", "assistant", "plugin", "codex", "claude", "bot")
@@ -28,7 +31,8 @@ def drafted(rows: DataFrame) -> DataFrame:
 
 
 def is_tool(who: Column, marks: tuple[str, ...] = TOOL_MARKS) -> Column:
-    return F.lower(who).rlike("|".join(marks))
+    low = F.lower(who)
+    return reduce(lambda c, m: c | low.contains(m.lower()), marks, F.when(who.isNotNull(), F.lit(False)))
 
 
 def promoted(current: Column, target: Column, author: Column, reviewer: Column, decision: Column, marks: tuple[str, ...] = TOOL_MARKS) -> Column:
@@ -57,8 +61,8 @@ def problems(items: DataFrame, available: DataFrame) -> DataFrame:
 def expanded(seeds: DataFrame, count: int, ordinal: str) -> DataFrame:
     """count examples, the i-th from seed i modulo their number in the order of ordinal; all of them only proposed."""
     n = max(1, seeds.count())
-    numbered = seeds.withColumn("seed", F.row_number().over(W.orderBy(ordinal)) - 1)
-    return seeds.sparkSession.range(count).select(F.col("id").alias("i"), (F.col("id") % n).alias("seed")).join(numbered, "seed").withColumn("status", F.lit("proposed"))
+    drawn = numbered(seeds, (ordinal,), "seed")
+    return seeds.sparkSession.range(count).select(F.col("id").alias("i"), (F.col("id") % n).alias("seed")).join(drawn, "seed").withColumn("status", F.lit("proposed"))
 
 
 def authoritative(validation_record: Column) -> Column:

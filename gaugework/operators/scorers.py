@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from json import dumps
 
 from pyspark.sql import Column, functions as F
 
+from gaugework.functions.values import canonical, member
 from gaugework.functions.words import tokens, words
 
 
@@ -28,7 +30,12 @@ def flag(ok: Column, code: str | None = None) -> Column:
     return outcome(ok.cast("double"), code=F.when(~ok, F.lit(code)) if code else None)
 
 
-def exact_match(output: Column, reference: Column) -> Column:
+def exact_match(output: Column, reference: Column, json: bool = False) -> Column:
+    """json: both are VARIANTs, of which a JSON null is no value; objects and lists are equal by members, numbers by value."""
+    if json:
+        null = lambda v: F.schema_of_variant(v) == "VOID"
+        output, reference = (F.when(~null(v), canonical(v)) for v in (output, reference))
+        return once(F.struct(output.alias("o"), reference.alias("r")), lambda x: exact_match(x["o"], x["r"]))
     return F.when(output.isNull(), unmeasured("exact_match.no_output")).when(reference.isNull(), unmeasured("exact_match.no_reference")).otherwise(flag(output == reference))
 
 
@@ -48,7 +55,7 @@ def is_object(payload: Column) -> Column:
 
 def present(payload: Column, field: str) -> Column:
     """True for a JSON null too: presence is not a value."""
-    return F.try_variant_get(payload, f"$['{field}']", "variant").isNotNull()
+    return F.try_variant_get(payload, member(field), "variant").isNotNull()
 
 
 def field_presence(payload: Column, fields: list[str]) -> Column:
@@ -69,7 +76,7 @@ def numeric_bounds(payload: Column, field: str | None, low: float | None = None,
         return unmeasured("numeric_bounds.no_bounds")
     if low is not None and high is not None and low > high:
         return unmeasured("numeric_bounds.bad_bounds")
-    kind, value = _kind(payload, f"$['{field}']"), F.try_variant_get(payload, f"$['{field}']", "double")
+    kind, value = _kind(payload, member(field)), F.try_variant_get(payload, member(field), "double")
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     ok = (F.lit(True) if low is None else value >= low) & (F.lit(True) if high is None else value <= high)
     return F.when(~F.coalesce(is_object(payload) & present(payload, field), F.lit(False)), unmeasured("numeric_bounds.field_absent")).when(~F.coalesce(number, F.lit(False)), unmeasured("numeric_bounds.not_numeric", "error")).otherwise(flag(ok, "numeric_bounds.out_of_bounds"))
@@ -81,6 +88,18 @@ def enum_membership(value: Column, allowed: list[str]) -> Column:
     return F.when(value.isNull(), unmeasured("enum_membership.field_absent")).otherwise(flag(value.isin(allowed), "enum_membership.not_allowed"))
 
 
+def enum_field(payload: Column, field: str | None, allowed: list) -> Column:
+    """A member of an object (VARIANT) against values of any JSON kind; a null member is a value that may be allowed."""
+    if not field:
+        return unmeasured("enum_membership.no_field")
+    if not allowed:
+        return unmeasured("enum_membership.no_allowed")
+    texts = [canonical(F.parse_json(F.lit(dumps(v)))) for v in allowed]
+    absent = ~F.coalesce(is_object(payload) & present(payload, field), F.lit(False))
+    value = once(canonical(F.try_variant_get(payload, member(field), "variant")), lambda v: flag(v.isin(*texts), "enum_membership.not_allowed"))
+    return F.when(absent, unmeasured("enum_membership.field_absent")).otherwise(value)
+
+
 def word_count_bounds(text: Column, low: int | None = None, high: int | None = None) -> Column:
     if low is None and high is None:
         return unmeasured("word_count_bounds.no_bounds")

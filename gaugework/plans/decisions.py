@@ -28,7 +28,9 @@ def flagship_verdict(spark, sf):
 
 
 def decide_verdict(spark, sf):
-    return D.decide(_gates(spark, sf))
+    """The run's verdict with the reasons of its gates, languages in their order."""
+    out = D.decide(_gates(spark, sf))
+    return out.withColumn("reasons", F.array_join(F.transform("reasons", lambda x: F.concat(x["metric"], F.lit(": "), F.array_join(x["reasons"], ", "))), "; "))
 
 
 def resolve_authority(spark, sf):
@@ -113,7 +115,7 @@ _G = f"""(SELECT metric, n, round(p, 9) AS point, round(greatest(0, m - h), 9) A
     FROM (SELECT lang AS metric, count(*) AS n, avg((len(list_filter(regexp_split_to_array(text, '{SPACE}'), lambda x: x <> '')) BETWEEN 20 AND 800)::INT::DOUBLE) AS p FROM documents WHERE lang IS NOT NULL GROUP BY lang)))"""
 ORACLE = {
     "flagship_verdict": f"SELECT * FROM {_G}",
-    "decide_verdict": f"SELECT coalesce(bool_or(verdict IN ('blocked', 'fail')), false) AS ci_should_fail, '' AS informational_metrics, CASE WHEN bool_or(verdict = 'blocked') THEN 'blocked' WHEN bool_or(verdict = 'fail') THEN 'fail' WHEN bool_or(verdict = 'pass') THEN 'pass' ELSE 'informational' END AS verdict, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE verdict = 'pass'), '') AS pass_gates, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE verdict = 'fail'), '') AS fail_gates, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE verdict = 'blocked'), '') AS blocked_gates FROM {_G}",
+    "decide_verdict": f"SELECT coalesce(string_agg(metric || ': ' || reason, '; ' ORDER BY metric) FILTER (WHERE verdict IN ('fail', 'blocked')), '') AS reasons, coalesce(bool_or(verdict IN ('blocked', 'fail')), false) AS ci_should_fail, '' AS informational_metrics, CASE WHEN bool_or(verdict = 'blocked') THEN 'blocked' WHEN bool_or(verdict = 'fail') THEN 'fail' WHEN bool_or(verdict = 'pass') THEN 'pass' ELSE 'informational' END AS verdict, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE verdict = 'pass'), '') AS pass_gates, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE verdict = 'fail'), '') AS fail_gates, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE verdict = 'blocked'), '') AS blocked_gates FROM {_G}",
     "resolve_authority": """SELECT o_orderkey, CASE WHEN w = '' THEN 'gating' ELSE 'informational' END AS level, w = '' AND s = '' AS can_gate, w = '' AND s <> '' AS blocked, CASE WHEN w = '' THEN s ELSE w END AS reasons FROM (SELECT o_orderkey,
       concat_ws(',', CASE WHEN k % 17 = 0 THEN 'judge_fake_non_authoritative' END, CASE k % 23 WHEN 1 THEN 'grant_missing' WHEN 2 THEN 'grant_mismatched' END, CASE WHEN k % 3 = 0 THEN 'metric_status=draft' END, CASE WHEN k % 5 = 0 THEN 'threshold_proposed' END, CASE WHEN k % 7 = 0 THEN 'dataset_proposed' END, CASE WHEN k % 2 = 0 AND k % 29 = 25 THEN 'judge_uncalibrated' WHEN k % 2 = 0 AND k % 29 = 26 THEN 'judge_calibrating' END) AS w,
       concat_ws(',', CASE WHEN k % 13 = 0 THEN 'policy_forbidden' END, CASE WHEN k % 2 = 0 AND k % 29 = 27 THEN 'judge_drifted' WHEN k % 2 = 0 AND k % 29 = 28 THEN 'judge_retired' END, CASE WHEN k % 7 <> 0 AND k % 11 = 0 THEN 'dataset_retired' END, CASE WHEN k % 23 = 3 THEN 'grant_expired' END, CASE WHEN k % 4 = 1 AND k % 37 = 0 THEN 'baseline_not_comparable' WHEN k % 4 = 1 AND k % 37 = 1 THEN 'baseline_missing' END) AS s FROM (SELECT o_orderkey, o_orderkey AS k FROM orders))""",

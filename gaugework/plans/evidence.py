@@ -228,7 +228,7 @@ def ci_annotations(spark, sf):
     """A verdict, gates and diagnostics as workflow lines, whatever characters they hold."""
     n = load(spark, sf, "nation")
     k = F.col("n_nationkey")
-    gates = n.select(k.alias("place"), F.concat("n_name", F.lit(":,%")).alias("metric"), F.element_at(F.array(*map(F.lit, ("pass", "fail", "blocked", "informational"))), (k % 4 + 1)).alias("verdict"), F.when(k % 3 != 0, k / 8).alias("value"), F.when(k % 4 == 1, "a\nb").alias("reason"), F.lit(None).cast("string").alias("authority"))
+    gates = n.select(k.alias("place"), F.concat("n_name", F.lit(":,%")).alias("metric"), F.element_at(F.array(*map(F.lit, ("pass", "fail", "blocked", "informational"))), (k % 4 + 1)).alias("verdict"), F.when(k % 3 != 0, k / 7 * F.pow(F.lit(10.0), k % 13 - 6)).alias("value"), F.when(k % 4 == 1, "a\nb,c").alias("reason"), F.lit(None).cast("string").alias("authority"))
     verdict = load(spark, sf, "region").limit(1).select(F.lit("blocked").alias("verdict"), F.lit(True).alias("ci_should_fail"))
     out = text.annotations(gates, verdict, n.select(k.alias("place"), F.lit("c").alias("code"), F.col("n_name").alias("message")))
     return out.select("group", "place", "line")
@@ -294,7 +294,7 @@ ORACLE = {
     "series_dedupe": """WITH e AS (SELECT user_id::VARCHAR AS run_key, event_type AS verdict, event_id AS ordinal FROM events), o AS (SELECT run_key, arg_min(verdict, ordinal) AS verdict, min(ordinal) AS ordinal FROM e WHERE ordinal % 40 = 0 GROUP BY run_key)
       SELECT * FROM o UNION ALL SELECT run_key, arg_min(verdict, ordinal), min(ordinal) + (SELECT max(ordinal) FROM o) FROM e WHERE ordinal % 40 <> 0 AND run_key NOT IN (SELECT run_key FROM o) GROUP BY run_key""",
     "ci_annotations": """SELECT 0::BIGINT AS group, 0::BIGINT AS place, '::notice title=gaugework::verdict=blocked ci=exit-nonzero' AS line
-      UNION ALL SELECT 1, k, '::' || ['notice', 'error', 'error', 'notice'][k % 4 + 1] || ' title=' || n_name || '%3A%2C%25::gate=' || ['pass', 'fail', 'blocked', 'informational'][k % 4 + 1] || ' value=' || CASE WHEN k % 3 = 0 THEN 'n/a' ELSE format('{:.4g}', k / 8.0::DOUBLE) END || ' reasons=' || CASE k % 4 WHEN 1 THEN 'a%0Ab' ELSE 'none' END || ' authority=none' FROM (SELECT n_name, n_nationkey::BIGINT AS k FROM nation)
+      UNION ALL SELECT 1, k, '::' || ['notice', 'error', 'error', 'notice'][k % 4 + 1] || ' title=' || n_name || '%3A%2C%25::gate=' || ['pass', 'fail', 'blocked', 'informational'][k % 4 + 1] || ' value=' || CASE WHEN k % 3 = 0 THEN 'none' ELSE format('{:.4g}', k / 7.0::DOUBLE * pow(10.0::DOUBLE, k % 13 - 6)) END || ' reasons=' || CASE k % 4 WHEN 1 THEN 'a%0Ab, c' ELSE 'none' END || ' authority=none' FROM (SELECT n_name, n_nationkey::BIGINT AS k FROM nation)
       UNION ALL SELECT 2, n_nationkey, '::warning title=c::' || n_name FROM nation""",
     "json_lines": """SELECT event_id::VARCHAR AS example_id, '{"example_id":"' || event_id || '",' || CASE WHEN event_id % 3 = 0 THEN '"note":"' || event_type || '",' ELSE '' END || '"output":{"k":' || (props->>'$.k') || '}}' AS line FROM events""",
     "canonical_keys": f"""SELECT id AS event_id, CASE id % 7 WHEN 4 THEN '"' || id // 7 || '"' WHEN 5 THEN 'null' WHEN 6 THEN 'true' WHEN 2 THEN (id // 7)::VARCHAR WHEN 3 THEN (id // 7)::VARCHAR ELSE '{{"a":[' || id // 7 || ',2],"b":1}}' END AS canonical, id % 2 = 0 AS close FROM {_E}""",

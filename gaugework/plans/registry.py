@@ -1,6 +1,6 @@
 """Registered queries of the evaluation engine, with the SQL each is held against."""
 
-from gaugework.plans import core, decisions, evidence, scorers, sources
+from gaugework.plans import core, decisions, evidence, measures, scorers, sources
 
-QUERIES = scorers.QUERIES | core.QUERIES | decisions.QUERIES | evidence.QUERIES | sources.QUERIES
-ORACLE = scorers.ORACLE | core.ORACLE | decisions.ORACLE | evidence.ORACLE | sources.ORACLE
+QUERIES = scorers.QUERIES | core.QUERIES | decisions.QUERIES | evidence.QUERIES | sources.QUERIES | measures.QUERIES
+ORACLE = scorers.ORACLE | core.ORACLE | decisions.ORACLE | evidence.ORACLE | sources.ORACLE | measures.ORACLE

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from gaugework.functions.words import SPACE, folded
 from gaugework.operators import scorers as S
 from gaugework.operators import scoring
+from gaugework.operators.scan import numbered
 
 
 _LOW = "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +58,7 @@ def score_exact_match(spark, sf):
 def _paired(spark, sf):
     """Each document with one benchmark item, drawn by its id from all of them in order of their ids; the places of the
     items are few and joined by key. A null id counts as 0; without items the reference is NULL."""
-    b = load(spark, sf, "benchmark").select(F.col("text").alias("reference"), (F.row_number().over(W.orderBy(F.asc_nulls_last("item_id"))) - 1).alias("place"))
+    b = numbered(load(spark, sf, "benchmark").select(F.col("text").alias("reference"), "item_id", F.col("item_id").isNull().alias("last")), ("last", "item_id"), "place").select("reference", "place")
     n = load(spark, sf, "benchmark").agg(F.count("*").alias("n"))
     d = load(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(n))
     return d.withColumn("place", F.when(F.col("n") > 0, F.pmod(F.coalesce("doc_id", F.lit(0)), "n"))).join(b, "place", "left")

@@ -18,8 +18,9 @@ def annotations(gates: DataFrame, verdict: DataFrame, diagnostics: DataFrame, ti
     value, reason, authority."""
     level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
     of = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "none").otherwise(annotation_text(F.col(c)))
+    listed = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "none").otherwise(annotation_text(F.array_join(F.split(F.col(c), ","), ", ")))
     head = verdict.select(F.lit(0).cast("bigint").alias("group"), F.lit(0).cast("bigint").alias("place"), F.concat(F.lit(f"::notice title={title}::verdict="), "verdict", F.lit(" ci="), F.when(F.col("ci_should_fail"), "exit-nonzero").otherwise("exit-zero")).alias("line"))
-    body = gates.select(F.lit(1).cast("bigint").alias("group"), F.col("place").cast("bigint").alias("place"), F.concat(F.lit("::"), level[F.col("verdict")], F.lit(" title="), annotation_title(F.col("metric")), F.lit("::gate="), "verdict", F.lit(" value="), shown(F.col("value")), F.lit(" reasons="), of("reason"), F.lit(" authority="), of("authority")).alias("line"))
+    body = gates.select(F.lit(1).cast("bigint").alias("group"), F.col("place").cast("bigint").alias("place"), F.concat(F.lit("::"), level[F.col("verdict")], F.lit(" title="), annotation_title(F.col("metric")), F.lit("::gate="), "verdict", F.lit(" value="), shown(F.col("value")), F.lit(" reasons="), listed("reason"), F.lit(" authority="), of("authority")).alias("line"))
     rest = diagnostics.select(F.lit(2).cast("bigint").alias("group"), F.col("place").cast("bigint").alias("place"), F.concat(F.lit("::warning title="), annotation_title(F.col("code")), F.lit("::"), annotation_text(F.col("message"))).alias("line"))
     return head.unionByName(body).unionByName(rest).orderBy("group", "place")
 
