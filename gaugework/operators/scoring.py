@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugework.functions.values import merged
+from gaugework.operators.scorers import once
 
 SCORE = "struct<value:double,status:string,validity:string,code:string>"
 INTEGRITY, NO_MATCH = "__route_integrity__", "__selector_no_match__"
@@ -41,13 +42,17 @@ def matches(metric: Metric) -> Column:
 
 def guarded(metric: Metric, score: Column) -> Column:
     """The route-error guard: an integrity row is an error of every metric, whatever the scorer says. A value outside the
-    declared range ends the run."""
-    low = F.lit(False) if metric.low is None else score["value"] < metric.low
-    high = F.lit(False) if metric.high is None else score["value"] > metric.high
-    bad = F.coalesce((score["status"] == "scored") & (low | high), F.lit(False))
+    declared range ends the run. The score is evaluated once a row."""
     error = F.struct(F.lit(None).cast("double").alias("value"), F.lit("error").alias("status"), F.lit("not_measured").alias("validity"), F.lit("route_incomplete").alias("code"))
     fail = F.raise_error(F.lit(f"{metric.name}: value outside its declared range")).cast(SCORE)
-    return F.when(F.col("example_id").eqNullSafe(F.lit(INTEGRITY)), error).when(bad, fail).otherwise(score.cast(SCORE))
+
+    def held(s: Column) -> Column:
+        low = F.lit(False) if metric.low is None else s["value"] < metric.low
+        high = F.lit(False) if metric.high is None else s["value"] > metric.high
+        return F.when(F.coalesce((s["status"] == "scored") & (low | high), F.lit(False)), fail).otherwise(s)
+
+    plain = metric.low is None and metric.high is None
+    return F.when(F.col("example_id").eqNullSafe(F.lit(INTEGRITY)), error).otherwise(score.cast(SCORE) if plain else once(score.cast(SCORE), held))
 
 
 def scored(examples: DataFrame, metrics: list[Metric], keys: tuple[str, ...] = ("example_id", "unit_id")) -> DataFrame:
@@ -61,14 +66,15 @@ def scored(examples: DataFrame, metrics: list[Metric], keys: tuple[str, ...] = (
     return rows.select(*keys, "m.metric", "m.s.value", "m.s.status", "m.s.validity", "m.s.code")
 
 
-def with_gaps(scores: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """scores and, for each metric with a selector that matched no example, one row that says so."""
-    chosen = [(m.name,) for m in metrics if m.applies_to or m.sources]
+def with_gaps(scores: DataFrame, metrics: list[Metric], examples: DataFrame) -> DataFrame:
+    """scores and, for each metric with a selector that matched no example, one row that says so. Only selectors are
+    evaluated for it, in one aggregation over the examples."""
+    chosen = [m for m in metrics if m.applies_to or m.sources]
     if not chosen:
         return scores
-    want = scores.sparkSession.createDataFrame(chosen, "metric string")
-    seen = scores.filter(~F.col("example_id").eqNullSafe(F.lit(INTEGRITY))).select("metric").distinct()
-    gone = want.join(seen, "metric", "left_anti")
+    own = examples.filter(~F.col("example_id").eqNullSafe(F.lit(INTEGRITY)))
+    seen = own.agg(*[F.coalesce(F.bool_or(matches(m)), F.lit(False)).alias(f"m{i}") for i, m in enumerate(chosen)])
+    gone = seen.select(F.explode(F.array_compact(F.array(*[F.when(~F.col(f"m{i}"), m.name) for i, m in enumerate(chosen)]))).alias("metric"))
     literal = {"value": F.lit(None).cast("double"), "status": F.lit("non_evaluable"), "validity": F.lit("not_applicable"), "code": F.lit("selector.no_match")}
     rest = {c: F.lit(NO_MATCH).cast(t) if c in ("example_id", "unit_id") else F.lit(None).cast(t) for c, t in scores.dtypes if c not in literal and c != "metric"}
     return scores.unionByName(gone.select(*[({**literal, **rest, "metric": F.col("metric")})[c].alias(c) for c in scores.columns]))

@@ -128,7 +128,8 @@ def examples(spark, sf) -> DataFrame:
 def score_matrix(spark, sf):
     """Five metrics over all examples they apply to; one matches none, and a diagnostic of the route makes an error of all."""
     bad = load(spark, sf, "nation").select(F.lit("trace_invalid_record").alias("code"))
-    return scoring.with_gaps(scoring.scored(scoring.with_integrity(examples(spark, sf), bad), _metrics()), _metrics()).drop("unit_id")
+    rows = scoring.with_integrity(examples(spark, sf), bad)
+    return scoring.with_gaps(scoring.scored(rows, _metrics()), _metrics(), rows).drop("unit_id")
 
 
 QUERIES = {f.__name__: f for f in (score_matrix, score_word_count, score_numeric_bounds, score_enum_membership, score_field_presence, score_structural_shape, score_exact_match, score_set_overlap, leakage_filter, unit_grouping, score_trajectory_shape, score_judge)}
