@@ -9,7 +9,7 @@ against a plain version of it.
 Defined cases: a null or empty text has under 50 words and goes in the first stage; a null doc_id is kept like any other
 and null in the result; of equal and of repeated rows one stays; doc_id keeps its type; texts of any length are read
 whole; an empty table gives no rows; columns that are not of documents are handed on up to the last stage, whatever
-their names outside the package's prefix. Tables of finished stages stay in the shared folder.
+their names outside the package's prefix. A stage's table is deleted once the next one is written; the token files stay.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugework.llm import decontam, mixing, neardup, quality, token_output
-from gaugework.llm.common import table, written
+from gaugework.llm.common import Scratch, table
 
 #: Word tables of a worker in the last stage: small, as executors still hold what the stages before have left them.
 CACHE_BYTES = 30_000_000
@@ -54,6 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            before, docs = docs, scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            scratch.drop(before)
+        return STAGES[-1][1](spark, docs, sf_dir)  # its files are written when it returns
