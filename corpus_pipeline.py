@@ -24,26 +24,39 @@ from gaugework.llm.common import Scratch, table
 #: Word tables of a worker in the last stage: small, as executors still hold what the stages before have left them.
 CACHE_BYTES = 30_000_000
 
+#: Bytes of rows that Spark hands to a Python worker at once. What a worker holds of a batch, and keeps when it has freed
+#: it, is a multiple of it; workers of all stages stay beside the JVM's heap.
+BATCH_BYTES = 4_000_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return neardup.filtered(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontam.filtered(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return token_output.round_trip(docs, order="files", cache_bytes=CACHE_BYTES)
 
 
