@@ -75,11 +75,6 @@ def clusters(diagnostics: DataFrame) -> DataFrame:
     return out.select("metric", "code", "n", F.when(F.col("best.r") == -2, "error").when(F.col("best.r") == -1, "warning").otherwise("info").alias("severity"), F.col("best.message").alias("message"))
 
 
-def ordered_clusters(found: DataFrame) -> DataFrame:
-    """Clusters in the order of reports: severity, count, metric and code."""
-    return found.orderBy(F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2), F.desc("n"), "metric", "code")
-
-
 def confusion(pred: Column, gold: Column) -> list[Column]:
     return [F.count_if(pred & gold).alias("tp"), F.count_if(pred & ~gold).alias("fp"), F.count_if(~pred & gold).alias("fn"), F.count_if(~pred & ~gold).alias("tn")]
 

@@ -106,9 +106,10 @@ def rank(verdict: Column) -> Column:
 
 
 def decide(gates: DataFrame, order: str = "metric") -> DataFrame:
-    """gates: metric, verdict, reason and the column that orders metrics. One row: the verdict of highest precedence
+    """gates: metric, verdict, reason (NULL where there is none, or no such column) and the column that orders metrics. One row: the verdict of highest precedence
     (informational without gates), whether CI fails, the metrics of each kind, and the reasons of those that fail or are
     blocked, each in order. A run has as many gates as its configuration has metrics."""
+    gates = gates if "reason" in gates.columns else gates.withColumn("reason", F.lit(None).cast("string"))
     top = F.coalesce(F.max(rank(F.col("verdict"))), F.lit(0))
     name = F.when(top == 3, "blocked").when(top == 2, "fail").when(top == 1, "pass").otherwise("informational")
     of = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct(F.col(order).alias("o"), "metric", "reason"))))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -114,7 +113,3 @@ def grouped(units: DataFrame) -> DataFrame:
     a = units.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "unit_id", "input", "output"))).alias("calls"), F.every("egress_ok").alias("egress_ok"), F.min("ordinal").alias("first"))
     each = lambda c: F.transform("calls", lambda x: x[c])
     return a.select("trace_id", each("unit_id").alias("members"), each("input").alias("inputs"), each("output").alias("outputs"), "egress_ok", "first")
-
-
-def union_all(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

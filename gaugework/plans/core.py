@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gaugework.functions import stats
 from gaugework.functions.words import SPACE
 from gaugework.operators import aggregate as A
-from gaugework.operators import compare, joins, plan, references, verify, views
+from gaugework.operators import compare, joins, judge, plan, references, verify, views
 from gaugework.operators.scoring import Metric
 from gaugework.plans.scorers import load, score_word_count
 
@@ -184,10 +184,8 @@ def previous_verified_run(spark, sf):
 
 def judge_budget_cutoff(spark, sf):
     """Effects stop before the next one once the user's running cost has reached the limit."""
-    e = load(spark, sf, "events")
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(F.ceil("value")).over(w), F.lit(0))
-    return e.select("event_id", (spent < 2000).alias("dispatched"))
+    e = load(spark, sf, "events").select("event_id", "user_id", "value")
+    return judge.within_budget(e, "event_id", {"cost": (F.ceil("value"), 2000)}, ("user_id",)).select("event_id", "dispatched")
 
 
 def source_manifest(spark, sf):

@@ -16,7 +16,6 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RECORD, SUMMARY, MANIFEST, MARKER, SCORES = "runrecord.json", "scorecard.json", "manifest.json", "COMPLETE", "scores.parquet"
-FINDINGS, DRIFT, PLAN = "findings.json", "drift.json", "run-plan.json"
 
 
 class SetupError(Exception):

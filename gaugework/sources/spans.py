@@ -18,17 +18,14 @@ TOOLS = ("llm.tools", "tool_calls", "message.tool_calls", "gen_ai.tool.calls")
 RAW = ("llm.output.raw", "raw_output.value", "output.raw.value")
 PARSER = ("parser.diagnostics",)
 TIMING = ("start_time", "end_time", "duration_ms")
-#: Pages and observations that a provider's read goes through at most.
-PAGES, OBSERVATIONS = 100, 500
+#: Pages that a provider's read goes through at most.
+PAGES = 100
 
 
 def first_present(attributes: Column, keys: tuple[str, ...]) -> Column:
-    """NULL both where no key is present and where the first present one is null."""
-    out = F.when(F.lit(False), F.lit(None).cast("variant"))
-    for k in keys:
-        v = field(attributes, k)
-        out = out.when(v.isNotNull(), F.when(kind(v) != "null", v))
-    return out
+    """NULL both where no key is present and where the first present one is null. attributes: a map of VARIANTs."""
+    first = F.coalesce(*[F.try_element_at(attributes, F.lit(k)) for k in keys])
+    return F.when(F.schema_of_variant(first) != "VOID", first)
 
 
 def text_id(v: Column) -> Column:
@@ -52,10 +49,13 @@ def structured(value: Column, mime: Column) -> Column:
 def mapped(spans: DataFrame, parse_json: bool = False, parser_keys: tuple[str, ...] = PARSER, invalid_json: Column | None = None) -> DataFrame:
     """spans: ordinal, span (VARIANT), default_unit. A span needs an object, an id and either an output or a raw or parser
     layer; those layers never stand for the output. parse_json reads structure from texts."""
-    s, a = F.col("span"), field(F.col("span"), "attributes")
+    # both are cast once, by generators, so that each look-up is one of a map
+    spans = spans.select("*", F.inline(F.array(F.struct(field(F.col("span"), "attributes").alias("__at")))))
+    spans = spans.select("*", F.inline(F.array(F.struct(F.try_variant_get("__at", "$", "map<string,variant>").alias("__map")))))
+    s, a = F.col("span"), F.col("__map")
     get = lambda keys: first_present(a, keys)
     shape = F.coalesce(kind(s) != "object", F.lit(True)) | ~_object_or_absent(s, "attributes")
-    parts = {"shape": shape, "id": trace_id(s), "output": get(OUTPUT), "raw": get(RAW), "diags": get(parser_keys), "input": get(INPUT), "model": get(MODEL), "tools": get(TOOLS), "own_unit": text_id(field(s, "span_id")), "mime_in": field(a, "input.mime_type"), "mime_out": field(a, "output.mime_type")}
+    parts = {"shape": shape, "id": trace_id(s), "output": get(OUTPUT), "raw": get(RAW), "diags": get(parser_keys), "input": get(INPUT), "model": get(MODEL), "tools": get(TOOLS), "own_unit": text_id(field(s, "span_id")), "mime_in": F.try_element_at(a, F.lit("input.mime_type")), "mime_out": F.try_element_at(a, F.lit("output.mime_type"))}
     # a generator, so that each part is looked up once
     spans = spans.select("*", F.inline(F.array(F.struct(*[c.alias(f"__{n}") for n, c in parts.items()]))))
     output, raw, diags = F.col("__output"), F.col("__raw"), F.col("__diags")
