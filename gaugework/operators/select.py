@@ -17,18 +17,18 @@ DIGITS = (22, 21, 21)
 GROUPS = 50_000
 
 
-def order_key(value: Column) -> Column:
-    """A bigint in the order of doubles: -inf first, zeros alike, NaN last. From exact arithmetic on powers of two, as SQL
-    has no function for a double's bits."""
-    a = F.abs(value)
-    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
-    guess = F.floor(F.log2(F.greatest(a, F.lit(2.0**-1022)))).cast("int")  # a logarithm may be one off beside a power of two
-    guess = F.least(guess, F.lit(1023))
-    e = F.when(two(guess) > a, guess - 1).when((guess < 1023) & (two(guess + 1) <= a), guess + 1).otherwise(guess)
-    normal = (e + 1023).cast("bigint") * F.lit(1 << 52) + ((a / two(e) - 1) * F.lit(2.0**52)).cast("bigint")
+def keyed(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows with a bigint in the order of doubles: -inf first, zeros alike, NaN last. From exact arithmetic on powers of two,
+    as SQL has no function for a double's bits. Steps are columns, so that each is evaluated once a row."""
+    v, a, p = F.col(value), F.col("__a"), F.col("__p")
+    out = rows.withColumn("__a", F.abs(v)).withColumn("__g", F.least(F.floor(F.log2(F.least(F.greatest(a, F.lit(2.0**-1022)), F.lit(2.0**1023)))).cast("int"), F.lit(1023)))
+    out = out.withColumn("__p", F.pow(F.lit(2.0), F.col("__g").cast("double")))
+    out = out.withColumn("__s", F.when(p > a, -1).when((F.col("__g") < 1023) & (p * 2 <= a), 1).otherwise(0))  # a logarithm may be one off
+    q = F.when(F.col("__s") < 0, p / 2).when(F.col("__s") > 0, p * 2).otherwise(p)
+    normal = (F.col("__g") + F.col("__s") + 1023).cast("bigint") * F.lit(1 << 52) + ((a / q - 1) * F.lit(2.0**52)).cast("bigint")
     small = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")  # below the least normal number
-    bits = F.when(a < 2.0**-1022, small).when(a == float("inf"), F.lit(0x7FF << 52)).otherwise(normal)
-    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -bits).otherwise(bits)
+    out = out.withColumn("__b", F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(a < 2.0**-1022, small).when(a == float("inf"), F.lit(0x7FF << 52)).otherwise(normal))
+    return out.withColumn(name, F.when(v < 0, -F.col("__b")).otherwise(F.col("__b"))).drop("__a", "__g", "__p", "__s", "__b")
 
 
 def _kept(bins: DataFrame, by: str, ranks: Column | None) -> DataFrame:
@@ -47,7 +47,8 @@ def selected(rows: DataFrame, by: str, value: str, ranks: Column) -> DataFrame:
     """(by, j, value): of the values of each group that aren't NULL, those at the ranks (from 1), an array of bigint made of
     n, their number; j is a rank's place in it. A rank beyond the group gives no row."""
     spark = rows.sparkSession
-    own = rows.filter(F.col(value).isNotNull()).select(F.col(by), (F.col(value).cast("double") + F.lit(0.0)).alias("v")).withColumn("k", order_key(F.col("v")))
+    own = rows.filter(F.col(value).isNotNull()).select(F.col(by), (F.col(value).cast("double") + F.lit(0.0)).alias("v"))
+    own = keyed(own, "v", "k")
     kept = None
     for i, width in enumerate(DIGITS):
         shift = sum(DIGITS[i + 1 :])

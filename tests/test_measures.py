@@ -22,7 +22,7 @@ def odd_doubles(n=2000):
 
 def test_keys_are_the_bits_of_doubles(spark):
     values = odd_doubles()
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(select.order_key(F.col("v"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").transform(lambda d: select.keyed(d, "v", "k")).select("k").collect()]
     bits = [struct.unpack("<q", struct.pack("<d", abs(v)))[0] for v in values]
     assert got == [-b if v < 0 else b for v, b in zip(values, bits)]
 
