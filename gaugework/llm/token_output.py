@@ -22,6 +22,7 @@ columns are unused.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from array import array
@@ -270,6 +271,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, length: in
     """Batches: doc_id, text, and for file order the file and the row. A shard for the task, or for each file it reads."""
     from pyspark import TaskContext
 
+    # a task has one core: the library's threads for each worker take memory of their own and no work off it
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     enc, part = encoder(path, cache_bytes), TaskContext.get().partitionId()
     out: list[tuple[str, int, str, int]] = []
     writer, place = None, ("", 0)
