@@ -16,8 +16,9 @@ def outcome(value: Column, status: str = "scored", validity: str = "valid", code
     return F.struct(value.cast("double").alias("value"), F.lit(status).alias("status"), F.lit(validity).alias("validity"), code.cast("string").alias("code"))
 
 
-def unmeasured(code: str, status: str = "non_evaluable") -> Column:
-    return outcome(F.lit(None), status, "invalid" if status == "error" else "not_measured", code)
+def unmeasured(code: str, status: str = "non_evaluable", validity: str | None = None) -> Column:
+    """Without a validity: a score that cannot be made does not apply, a wrong one is invalid, a blocked one not measured."""
+    return outcome(F.lit(None), status, validity or {"non_evaluable": "not_applicable", "error": "invalid"}.get(status, "not_measured"), code)
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -108,9 +109,19 @@ def word_count_bounds(text: Column, low: int | None = None, high: int | None = N
     return F.when(text.isNull(), unmeasured("word_count_bounds.field_absent")).otherwise(made)
 
 
+def shape_of_counts(made: Column, members: Column, aggregate: Column | None = None, sequence: Column | None = None) -> Column:
+    """The share of a unit's members that made an output, from counts alone. aggregate: the unit is more than a call;
+    sequence: its output is a list, one a member. Where they are not given they hold; NULL says that they don't."""
+    holds = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
+    rungs = {"not_aggregate": ~holds(aggregate), "no_members": F.coalesce(members, F.lit(0)) == 0, "output_not_sequence": ~holds(sequence), "output_all_null": F.coalesce(made, F.lit(0)) == 0}
+    ladder = F
+    for code, at in rungs.items():
+        ladder = ladder.when(at, unmeasured(f"trajectory_shape.{code}"))
+    return ladder.otherwise(outcome(made / members))
+
+
 def trajectory_shape(outputs: Column, members: Column) -> Column:
-    made = F.size(F.filter(outputs, lambda x: x.isNotNull()))
-    return F.when(F.coalesce(members, F.lit(0)) == 0, unmeasured("trajectory_shape.no_members")).when(made == 0, unmeasured("trajectory_shape.output_all_null")).otherwise(outcome(made / members))
+    return shape_of_counts(F.size(F.filter(outputs, lambda x: x.isNotNull())), members)
 
 
 def judge_score(status: Column, value: Column, required: bool = True, low: float = 0.0, high: float = 1.0) -> Column:
@@ -118,7 +129,7 @@ def judge_score(status: Column, value: Column, required: bool = True, low: float
     absent = unmeasured("judge.evidence_missing", "blocked") if required else unmeasured("judge.evidence_absent")
     lost = status.isin("missing", "timeout", "provider_error")
     blocked = outcome(F.lit(None), "blocked", "not_measured", F.concat(F.lit("judge."), status))
-    return F.when(status.isNull(), absent).when(lost, blocked).when((status != "ok") | value.isNull(), unmeasured("judge.unparseable", "error")).when(~value.between(low, high), unmeasured("judge.value_out_of_range", "error")).otherwise(outcome(value))
+    return F.when(status.isNull(), absent).when(lost, blocked).when((status != "ok") | value.isNull(), unmeasured("judge.unparseable", "error", "not_measured")).when(~value.between(low, high), unmeasured("judge.value_out_of_range", "error", "not_measured")).otherwise(outcome(value))
 
 
 def answer_nonempty(payload: Column) -> Column:

@@ -136,9 +136,9 @@ ORACLE = {
     "subject_numbers": "SELECT doc_id, 's' || (row_number() OVER (ORDER BY coalesce(lang, ''), doc_id) - 1) AS subject_id FROM documents",
     "run_fingerprint": _PRINTS,
     "fingerprint_compare": "SELECT unnest(['dataset', 'metric', 'authority', 'example', 'config']) AS dimension, unnest([(SELECT count(*) > 0 FROM documents WHERE doc_id = 5), (SELECT count(*) > 0 FROM lineitem WHERE l_orderkey = 1 AND l_linenumber = 1), true, false, true]) AS changed, 'not_comparable' AS state",
-    "exact_match_objects": """SELECT event_id, CASE WHEN code IS NULL THEN (k % 7 = k * k % 7)::INT::DOUBLE END AS value, CASE WHEN code IS NULL THEN 'scored' ELSE 'non_evaluable' END AS status, CASE WHEN code IS NULL THEN 'valid' ELSE 'not_measured' END AS validity, code FROM (
+    "exact_match_objects": """SELECT event_id, CASE WHEN code IS NULL THEN (k % 7 = k * k % 7)::INT::DOUBLE END AS value, CASE WHEN code IS NULL THEN 'scored' ELSE 'non_evaluable' END AS status, CASE WHEN code IS NULL THEN 'valid' ELSE 'not_applicable' END AS validity, code FROM (
       SELECT event_id, event_id AS k, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'exact_match.no_output' WHEN event_id % 17 = 0 THEN 'exact_match.no_reference' END AS code FROM events)""",
-    "enum_objects": """SELECT event_id, CASE WHEN absent THEN NULL ELSE hit::INT::DOUBLE END AS value, CASE WHEN absent THEN 'non_evaluable' ELSE 'scored' END AS status, CASE WHEN absent THEN 'not_measured' ELSE 'valid' END AS validity, CASE WHEN absent THEN 'enum_membership.field_absent' WHEN NOT hit THEN 'enum_membership.not_allowed' END AS code
+    "enum_objects": """SELECT event_id, CASE WHEN absent THEN NULL ELSE hit::INT::DOUBLE END AS value, CASE WHEN absent THEN 'non_evaluable' ELSE 'scored' END AS status, CASE WHEN absent THEN 'not_applicable' ELSE 'valid' END AS validity, CASE WHEN absent THEN 'enum_membership.field_absent' WHEN NOT hit THEN 'enum_membership.not_allowed' END AS code
       FROM (SELECT event_id, event_id % 7 = 0 OR event_id % 11 = 0 AS absent, event_id % 6 IN (0, 1, 3, 4) AS hit FROM events)""",
     "authority_missing": f"""SELECT o_orderkey, CASE WHEN {_AUTH} IN (1, 2, 3, 5) THEN 'informational' ELSE 'gating' END AS level, {_AUTH} IN (0, 6, 7) AS can_gate, {_AUTH} = 4 AS blocked,
       CASE {_AUTH} WHEN 1 THEN 'metric_status=missing' WHEN 2 THEN 'threshold_proposed' WHEN 3 THEN 'dataset_proposed' WHEN 4 THEN 'policy_missing' WHEN 5 THEN 'judge_fake_non_authoritative' ELSE '' END AS reasons FROM orders""",

@@ -8,6 +8,7 @@ from gaugework.functions.words import SPACE, folded
 from gaugework.operators import scorers as S
 from gaugework.operators import scoring
 from gaugework.operators.scan import numbered
+from gaugework.operators.trajectories import headers
 
 
 _LOW = "abcdefghijklmnopqrstuvwxyz"
@@ -93,9 +94,10 @@ def unit_grouping(spark, sf):
 
 
 def score_trajectory_shape(spark, sf):
-    u = units(spark, sf)
-    s = S.trajectory_shape(F.transform("calls", lambda x: x["output"]), F.size("calls"))
-    return _scored(u, "conv_id", s).withColumn("value", F.round("value", 9))
+    """From counts: a conversation's calls never meet in one row."""
+    c = load(spark, sf, "conversations")
+    h = headers(c.select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("ordinal"), F.when(F.col("role") == "assistant", F.col("text")).alias("output"), F.lit(True).alias("egress_ok")))
+    return _scored(h.withColumnRenamed("trace_id", "conv_id"), "conv_id", S.shape_of_counts(F.col("made"), F.col("members"))).withColumn("value", F.round("value", 9))
 
 
 def _judged(spark, sf):
@@ -149,21 +151,21 @@ ORACLE = {
     "score_numeric_bounds": _FLAG.format(k="event_id", ok="(props->>'$.k')::DOUBLE BETWEEN 10 AND 60", code="'numeric_bounds.out_of_bounds'", t="events"),
     "score_enum_membership": _FLAG.format(k="event_id", ok="event_type IN ('click', 'view', 'purchase')", code="'enum_membership.not_allowed'", t="events"),
     "score_field_presence": "SELECT event_id, ((json_exists(props, '$.k'))::INT + (json_exists(props, '$.absent'))::INT) / 2.0::DOUBLE AS value, 'scored' AS status, 'valid' AS validity, CASE WHEN NOT (json_exists(props, '$.k') AND json_exists(props, '$.absent')) THEN 'field_presence.missing_fields' END AS code FROM events",
-    "score_structural_shape": "SELECT event_id, CASE k WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END AS value, CASE k WHEN 3 THEN 'non_evaluable' ELSE 'scored' END AS status, CASE k WHEN 3 THEN 'not_measured' ELSE 'valid' END AS validity, CASE k WHEN 3 THEN 'structural_shape.no_output' END AS code FROM (SELECT event_id, event_id % 4 AS k FROM events)",
-    "score_exact_match": "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN (toxic = quality)::INT::DOUBLE END AS value, CASE WHEN l.doc_id IS NULL THEN 'non_evaluable' ELSE 'scored' END AS status, CASE WHEN l.doc_id IS NULL THEN 'not_measured' ELSE 'valid' END AS validity, CASE WHEN l.doc_id IS NULL THEN 'exact_match.no_output' END AS code FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "score_structural_shape": "SELECT event_id, CASE k WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END AS value, CASE k WHEN 3 THEN 'non_evaluable' ELSE 'scored' END AS status, CASE k WHEN 3 THEN 'not_applicable' ELSE 'valid' END AS validity, CASE k WHEN 3 THEN 'structural_shape.no_output' END AS code FROM (SELECT event_id, event_id % 4 AS k FROM events)",
+    "score_exact_match": "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN (toxic = quality)::INT::DOUBLE END AS value, CASE WHEN l.doc_id IS NULL THEN 'non_evaluable' ELSE 'scored' END AS status, CASE WHEN l.doc_id IS NULL THEN 'not_applicable' ELSE 'valid' END AS validity, CASE WHEN l.doc_id IS NULL THEN 'exact_match.no_output' END AS code FROM documents d LEFT JOIN labels l USING (doc_id)",
     "score_set_overlap": f"SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) AS value, 'scored' AS status, 'valid' AS validity, NULL::VARCHAR AS code FROM (SELECT doc_id, list_distinct({_w('text')}) AS a, list_distinct({_w('reference')}) AS b FROM {_PAIR})",
     "leakage_filter": f"SELECT doc_id, array_to_string({_w('lower(text)')}, ' ') IN (SELECT array_to_string({_w('lower(text)')}, ' ') FROM benchmark) AS leaks FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, ' ' || replace(translate(text, '{_LOW}', '{_LOW.upper()}'), ' ', chr(9) || ' ') FROM benchmark)",
     "score_matrix": f"""WITH e AS (SELECT d.doc_id::VARCHAR AS example_id, text, lang, source, quality, toxic, len({_w('text')}) AS n FROM documents d LEFT JOIN labels USING (doc_id)),
 r AS (SELECT example_id, 'length' AS metric, (n BETWEEN 20 AND 800)::INT::DOUBLE AS value, CASE WHEN n NOT BETWEEN 20 AND 800 THEN 'word_count_bounds.out_of_bounds' END AS code FROM e WHERE lang IN ('en', 'de')
   UNION ALL SELECT example_id, 'filled', (length(text) > 0)::INT::DOUBLE, NULL FROM e UNION ALL SELECT example_id, 'bound', 1.0::DOUBLE, NULL FROM e WHERE source IN ('src1', 'src2')
   UNION ALL SELECT example_id, 'agrees', CASE WHEN quality IS NOT NULL THEN (toxic = quality)::INT::DOUBLE END, CASE WHEN quality IS NULL THEN 'exact_match.no_output' END FROM e WHERE lang = 'fr')
-SELECT example_id, metric, value, CASE WHEN value IS NULL THEN 'non_evaluable' ELSE 'scored' END AS status, CASE WHEN value IS NULL THEN 'not_measured' ELSE 'valid' END AS validity, code FROM r
+SELECT example_id, metric, value, CASE WHEN value IS NULL THEN 'non_evaluable' ELSE 'scored' END AS status, CASE WHEN value IS NULL THEN 'not_applicable' ELSE 'valid' END AS validity, code FROM r
 UNION ALL SELECT '__route_integrity__', m, NULL, 'error', 'not_measured', 'route_incomplete' FROM (VALUES ('length'), ('filled'), ('agrees'), ('bound'), ('ghost')) t(m)
 UNION ALL SELECT '__selector_no_match__', 'ghost', NULL, 'non_evaluable', 'not_applicable', 'selector.no_match'""",
     "unit_grouping": "SELECT conv_id, count(*) AS members, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id",
-    "score_trajectory_shape": "SELECT conv_id, CASE WHEN a > 0 THEN round(a / n::DOUBLE, 9) END AS value, CASE WHEN a > 0 THEN 'scored' ELSE 'non_evaluable' END AS status, CASE WHEN a > 0 THEN 'valid' ELSE 'not_measured' END AS validity, CASE WHEN a = 0 THEN 'trajectory_shape.output_all_null' END AS code FROM (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'assistant' AND text IS NOT NULL) AS a FROM conversations GROUP BY conv_id)",
+    "score_trajectory_shape": "SELECT conv_id, CASE WHEN a > 0 THEN round(a / n::DOUBLE, 9) END AS value, CASE WHEN a > 0 THEN 'scored' ELSE 'non_evaluable' END AS status, CASE WHEN a > 0 THEN 'valid' ELSE 'not_applicable' END AS validity, CASE WHEN a = 0 THEN 'trajectory_shape.output_all_null' END AS code FROM (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'assistant' AND text IS NOT NULL) AS a FROM conversations GROUP BY conv_id)",
     "score_judge": """SELECT event_id, CASE WHEN event_type IN ('purchase', 'click') AND value / 400 BETWEEN 0 AND 1 THEN round(value / 400, 9) END AS value,
       CASE WHEN event_type IN ('signup', 'error') THEN 'blocked' WHEN event_type = 'view' OR value / 400 > 1 THEN 'error' ELSE 'scored' END AS status,
-      CASE WHEN event_type IN ('signup', 'error') THEN 'not_measured' WHEN event_type = 'view' OR value / 400 > 1 THEN 'invalid' ELSE 'valid' END AS validity,
+      CASE WHEN event_type IN ('signup', 'error', 'view') OR value / 400 > 1 THEN 'not_measured' ELSE 'valid' END AS validity,
       CASE WHEN event_type = 'signup' THEN 'judge.evidence_missing' WHEN event_type = 'error' THEN 'judge.timeout' WHEN event_type = 'view' THEN 'judge.unparseable' WHEN value / 400 > 1 THEN 'judge.value_out_of_range' END AS code FROM events""",
 }
