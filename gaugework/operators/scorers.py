@@ -7,6 +7,7 @@ from json import dumps
 
 from pyspark.sql import Column, functions as F
 
+from gaugework.functions.pytext import python_text
 from gaugework.functions.values import canonical, member
 from gaugework.functions.words import tokens, words
 
@@ -40,6 +41,11 @@ def exact_match(output: Column, reference: Column, json: bool = False) -> Column
     return F.when(output.isNull(), unmeasured("exact_match.no_output")).when(reference.isNull(), unmeasured("exact_match.no_reference")).otherwise(flag(output == reference))
 
 
+def set_overlap_json(output: Column, reference: Column) -> Column:
+    """Of JSON values of any kind, each as its text: the words of what Python's str() gives. JSON nulls are no values."""
+    return once(F.struct(python_text(output).alias("o"), python_text(reference).alias("r")), lambda x: set_overlap(x["o"], x["r"]))
+
+
 def set_overlap(output: Column, reference: Column) -> Column:
     sizes = once(F.struct(tokens(output).alias("a"), tokens(reference).alias("b")), lambda x: F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), F.size(F.array_intersect(x["a"], x["b"])).alias("both")))
     value = once(sizes, lambda x: F.when(x["a"] + x["b"] == 0, F.lit(1.0)).otherwise(x["both"] / (x["a"] + x["b"] - x["both"])))

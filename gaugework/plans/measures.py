@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import aggregate as A, compare, decide as D, digests, joins, judge as J, plan, scorers as S, select
 from gaugework.operators.scan import numbered
-from gaugework.plans.scorers import load
+from gaugework.plans.scorers import _w, load
+from gaugework.sources import jsonl
 
 
 def quartiles(spark, sf):
@@ -108,7 +109,27 @@ def source_counts(spark, sf):
     return count(o, "orders").union(count(kept, "kept")).union(count(dropped, "dropped"))
 
 
-QUERIES = {f.__name__: f for f in (quartiles, run_budget, subject_numbers, run_fingerprint, fingerprint_compare, exact_match_objects, enum_objects, authority_missing, answer_nonempty, clusters_in_order, source_counts)}
+
+def set_overlap_objects(spark, sf):
+    """Records whose outputs and references are objects, lists, texts, numbers, booleans and nulls in turn."""
+    e = load(spark, sf, "events").withColumns({"k": F.get_json_object("props", "$.k"), "i": F.col("event_id") % 7})
+    k, kind, fill = F.col("k"), F.col("event_type"), F.format_string
+    pairs = [
+        (fill('{"k":%s, "kind": "%s", "at" : [1.50, null, true, {"who": "it\'s me"}]}', k, kind), fill('{"k": %s,"kind": "view", "at": [1.5, null, false, {"who": "it\'s you"}]}', k)),
+        (fill('{"kind": "%s", "k": %s}', kind, k), fill('{"k": %s, "kind": "%s"}', k, kind)),
+        (fill('["%s", 1e2, [], {}]', kind), F.lit('["click", 100.0, [], {}]')),
+        (fill('"say  %s now"', kind), F.lit('"say click\\tnow"')),
+        (k, fill('"%s"', k)),
+        (F.when(k.cast("int") % 2 == 0, "true").otherwise("false"), F.lit('"True"')),
+        (F.lit("null"), k),
+    ]
+    pick = lambda side: F.element_at(F.array(*[p[side] for p in pairs]), (F.col("i") + 1).cast("int"))
+    raw = e.select("event_id", F.concat(F.lit('{"input": 1, "output": '), pick(0), F.lit(', "reference": '), pick(1), F.lit("}")).alias("raw"))
+    doc = jsonl.parsed(raw)
+    out, ref = (jsonl.member_text(F.col("raw"), F.col("doc"), c) for c in ("output", "reference"))
+    return doc.select("event_id", F.inline(F.array(S.set_overlap_json(out, ref)))).withColumn("value", F.round("value", 9))
+
+QUERIES = {f.__name__: f for f in (quartiles, run_budget, subject_numbers, run_fingerprint, fingerprint_compare, exact_match_objects, enum_objects, set_overlap_objects, authority_missing, answer_nonempty, clusters_in_order, source_counts)}
 
 
 def _limb_digest(rows: str, text: str) -> str:
@@ -138,6 +159,13 @@ ORACLE = {
     "fingerprint_compare": "SELECT unnest(['dataset', 'metric', 'authority', 'example', 'config']) AS dimension, unnest([(SELECT count(*) > 0 FROM documents WHERE doc_id = 5), (SELECT count(*) > 0 FROM lineitem WHERE l_orderkey = 1 AND l_linenumber = 1), true, false, true]) AS changed, 'not_comparable' AS state",
     "exact_match_objects": """SELECT event_id, CASE WHEN code IS NULL THEN (k % 7 = k * k % 7)::INT::DOUBLE END AS value, CASE WHEN code IS NULL THEN 'scored' ELSE 'non_evaluable' END AS status, CASE WHEN code IS NULL THEN 'valid' ELSE 'not_applicable' END AS validity, code FROM (
       SELECT event_id, event_id AS k, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'exact_match.no_output' WHEN event_id % 17 = 0 THEN 'exact_match.no_reference' END AS code FROM events)""",
+    "set_overlap_objects": f"""WITH t AS (SELECT event_id, event_id % 7 AS i, props->>'$.k' AS k, event_type AS e FROM events), v AS (SELECT event_id, i,
+      CASE i WHEN 0 THEN '{{''k'': ' || k || ', ''kind'': ''' || e || ''', ''at'': [1.5, None, True, {{''who'': "it''s me"}}]}}' WHEN 1 THEN '{{''kind'': ''' || e || ''', ''k'': ' || k || '}}' WHEN 2 THEN '[''' || e || ''', 100.0, [], {{}}]'
+        WHEN 3 THEN 'say  ' || e || ' now' WHEN 4 THEN k WHEN 5 THEN CASE WHEN k::INT % 2 = 0 THEN 'True' ELSE 'False' END END AS o,
+      CASE i WHEN 0 THEN '{{''k'': ' || k || ', ''kind'': ''view'', ''at'': [1.5, None, False, {{''who'': "it''s you"}}]}}' WHEN 1 THEN '{{''k'': ' || k || ', ''kind'': ''' || e || '''}}' WHEN 2 THEN '[''click'', 100.0, [], {{}}]'
+        WHEN 3 THEN 'say click' || chr(9) || 'now' WHEN 5 THEN 'True' ELSE k END AS r FROM t), w AS (SELECT event_id, i, list_distinct({_w('o')}) AS a, list_distinct({_w('r')}) AS b FROM v)
+      SELECT event_id, CASE WHEN i < 6 THEN round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) END AS value, CASE WHEN i < 6 THEN 'scored' ELSE 'non_evaluable' END AS status,
+      CASE WHEN i < 6 THEN 'valid' ELSE 'not_applicable' END AS validity, CASE WHEN i = 6 THEN 'set_overlap.no_output' END AS code FROM w""",
     "enum_objects": """SELECT event_id, CASE WHEN absent THEN NULL ELSE hit::INT::DOUBLE END AS value, CASE WHEN absent THEN 'non_evaluable' ELSE 'scored' END AS status, CASE WHEN absent THEN 'not_applicable' ELSE 'valid' END AS validity, CASE WHEN absent THEN 'enum_membership.field_absent' WHEN NOT hit THEN 'enum_membership.not_allowed' END AS code
       FROM (SELECT event_id, event_id % 7 = 0 OR event_id % 11 = 0 AS absent, event_id % 6 IN (0, 1, 3, 4) AS hit FROM events)""",
     "authority_missing": f"""SELECT o_orderkey, CASE WHEN {_AUTH} IN (1, 2, 3, 5) THEN 'informational' ELSE 'gating' END AS level, {_AUTH} IN (0, 6, 7) AS can_gate, {_AUTH} = 4 AS blocked,

@@ -39,6 +39,12 @@ def field(doc: Column, name: str) -> Column:
     return F.try_variant_get(doc, f"$['{name}']", "variant")
 
 
+def member_text(raw: Column, doc: Column, name: str) -> Column:
+    """The JSON text of a member, with the keys of its objects in the record's order, which a VARIANT does not keep."""
+    value = field(doc, name)
+    return F.when(kind(value).isin("object", "array"), F.get_json_object(raw, f"$.{name}")).otherwise(F.to_json(value))
+
+
 def kind(doc: Column) -> Column:
     """object, array, string, integer, boolean, null or number; SQL NULL for an absent member."""
     of = F.schema_of_variant(doc)
