@@ -29,6 +29,6 @@ def chunked(calls: DataFrame, size: int = CHUNK) -> DataFrame:
     """(trace_id, chunk, start, members, inputs, outputs): calls start to start + size of the trace, in their order."""
     own = numbered(calls.select("trace_id", "unit_id", "ordinal", "input", "output"), ("ordinal", "unit_id"), "place", ("trace_id",))
     chunk = F.floor(F.col("place") / size).cast("bigint").alias("chunk")
-    a = own.groupBy("trace_id", chunk).agg(F.array_sort(F.collect_list(F.struct("place", "unit_id", "input", "output"))).alias("calls"))
+    a = own.groupBy("trace_id", chunk).agg(F.sort_array(F.collect_list(F.struct("place", "unit_id", "input", "output"))).alias("calls"))
     each = lambda c: F.transform("calls", lambda x: x[c])
     return a.select("trace_id", "chunk", (F.col("chunk") * size).alias("start"), each("unit_id").alias("members"), each("input").alias("inputs"), each("output").alias("outputs"))

@@ -103,3 +103,22 @@ def test_verdict_lists_are_in_the_order_of_metrics(spark):
 def test_names_of_tools_are_no_patterns(spark):
     got = spark.createDataFrame([("An Agent",), ("a.b",), ("axb",), (None,)], "w string").select(references.is_tool(F.col("w"), ("agent", "a.b"))).collect()
     assert [r[0] for r in got] == [True, True, False, None]
+
+
+@pytest.mark.parametrize("values", [list(range(5000)), [None, *range(3)] * 1200])
+def test_a_range_is_found_by_halving(spark, values):
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "o long, i long")
+    got = scan.ranged(df, ("o", "i"), 16)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "filter(" not in plan and plan.count("aggregate(") == 1  # no bound after the other for every row
+    rows = sorted(got.collect(), key=lambda r: (r.o is not None, r.o or 0, r.i))
+    ranges = [r[scan._RANGE] for r in rows]
+    assert ranges == sorted(ranges) and set(ranges) == set(range(16))
+    assert max(map(ranges.count, range(16))) < 4 * len(rows) / 16
+
+
+def test_numbers_are_joined_where_their_window_lies(spark):
+    df = spark.createDataFrame([(g, i) for i, g in enumerate(["a", None] * 4000)], "g string, o long")
+    plan = scan.numbered(df, ("o",), "n", ("g",), 8)._jdf.queryExecution().executedPlan().toString()
+    wide, narrow = plan.count("Exchange hashpartitioning"), plan.count("HashAggregate")
+    assert narrow and wide <= 4  # the rows once, the sums three times
