@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from gaugework.functions.words import folded
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def close(a: Column, b: Column, relative: float = 1e-9, absolute: float = 1e-12) -> Column:
     """Equal within a tolerance; NULL is close to NULL alone."""
     near = F.abs(a - b) <= F.greatest(F.lit(relative) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
@@ -25,11 +32,13 @@ _WHOLE = r'("(?:[^"\\]++|\\.)*+")|(-?\d+)\.0+(?![0-9eE])'
 def canonical(value: Column) -> Column:
     """JSON text of a VARIANT with sorted keys, in which equal values of JSON are equal texts; numbers of one value too
     (1, 1.0 and 1e0 at the top, 1 and 1.0 inside). SQL NULL for an absent member, 'null' for a JSON null."""
-    kind = F.schema_of_variant(value)
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    plain = F.try_variant_get(value, "$", "double")
-    whole = F.when(F.abs(plain) < 2.0**53, F.when(plain == F.floor(plain), plain.cast("bigint").cast("string")).otherwise(plain.cast("string"))).otherwise(F.to_json(value))
-    return F.when(value.isNull(), None).when(number, whole).otherwise(F.regexp_replace(F.to_json(value), _WHOLE, "$1$2"))
+
+    def text(v: Column) -> Column:
+        number = once(F.schema_of_variant(v), lambda k: k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL"))
+        shown_ = lambda d: F.when(F.abs(d) < 2.0**53, F.when(d == F.floor(d), d.cast("bigint").cast("string")).otherwise(d.cast("string"))).otherwise(F.to_json(v))
+        return F.when(v.isNull(), None).when(number, once(F.try_variant_get(v, "$", "double"), shown_)).otherwise(F.regexp_replace(F.to_json(v), _WHOLE, "$1$2"))
+
+    return once(value, text)
 
 
 def folded_json(value: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from gaugework.functions.values import once
 from gaugework.functions.words import stripped
 
 #: Fixed value: where a text is cut into lines.
@@ -47,9 +48,12 @@ def member_text(raw: Column, doc: Column, name: str) -> Column:
 
 def kind(doc: Column) -> Column:
     """object, array, string, integer, boolean, null or number; SQL NULL for an absent member."""
-    of = F.schema_of_variant(doc)
-    whole = of.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") & ~doc.cast("string").rlike("[.eE]")
-    return F.when(doc.isNull(), None).when(of.startswith("OBJECT"), "object").when(of.startswith("ARRAY"), "array").when(of == "STRING", "string").when(of == "BOOLEAN", "boolean").when(of == "VOID", "null").when(whole, "integer").otherwise("number")
+
+    def named(of: Column) -> Column:
+        whole = of.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") & ~doc.cast("string").rlike("[.eE]")
+        return F.when(of.isNull(), None).when(of.startswith("OBJECT"), "object").when(of.startswith("ARRAY"), "array").when(of == "STRING", "string").when(of == "BOOLEAN", "boolean").when(of == "VOID", "null").when(whole, "integer").otherwise("number")
+
+    return once(F.schema_of_variant(doc), named)
 
 
 def _present(doc: Column, name: str) -> Column:
