@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugework.functions.values import once
 from gaugework.functions.words import stripped
 from gaugework.sources.jsonl import _object_or_absent, field, kind, parsed
 
@@ -25,13 +26,13 @@ PAGES = 100
 def first_present(attributes: Column, keys: tuple[str, ...]) -> Column:
     """NULL both where no key is present and where the first present one is null. attributes: a map of VARIANTs."""
     first = F.coalesce(*[F.try_element_at(attributes, F.lit(k)) for k in keys])
-    return F.when(F.schema_of_variant(first) != "VOID", first)
+    return once(first, lambda v: F.when(~F.is_variant_null(v), v))
 
 
 def text_id(v: Column) -> Column:
     """The stripped text of a string that isn't blank; NULL for anything else."""
-    t = F.when(kind(v) == "string", stripped(F.try_variant_get(v, "$", "string")))
-    return F.when(t != "", t)
+    text = lambda v: F.when(kind(v) == "string", stripped(F.try_variant_get(v, "$", "string")))
+    return once(once(v, text), lambda t: F.when(t != "", t))
 
 
 def trace_id(span: Column) -> Column:
@@ -41,9 +42,9 @@ def trace_id(span: Column) -> Column:
 
 def structured(value: Column, mime: Column) -> Column:
     """A string that is marked as JSON or looks like an object or array, as what it holds; others as they are."""
-    text = F.when(kind(value) == "string", F.try_variant_get(value, "$", "string"))
-    looks = F.ltrim(text).rlike(r"^[{\[]") | F.coalesce(F.lower(F.try_variant_get(mime, "$", "string")).contains("json"), F.lit(False))
-    return F.when(looks, F.coalesce(F.try_parse_json(text), value)).otherwise(value)
+    marked = F.coalesce(F.lower(F.try_variant_get(mime, "$", "string")).contains("json"), F.lit(False))
+    held = lambda text: F.when(F.ltrim(text).rlike(r"^[{\[]") | marked, F.coalesce(F.try_parse_json(text), value)).otherwise(value)
+    return once(F.when(kind(value) == "string", F.try_variant_get(value, "$", "string")), held)
 
 
 def mapped(spans: DataFrame, parse_json: bool = False, parser_keys: tuple[str, ...] = PARSER, invalid_json: Column | None = None) -> DataFrame:
@@ -79,14 +80,13 @@ def open_convention(numbered: DataFrame, name: str, parser_keys: tuple[str, ...]
 
 def items(payload: Column, key: str) -> Column:
     """The members of a list, or NULL where the payload has none."""
-    v = field(payload, key)
-    return F.when(kind(v) == "array", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(payload, f"$['{key}']", "array<variant>")
 
 
 def _exploded(recordings: DataFrame, key: str, malformed: str) -> tuple[DataFrame, DataFrame]:
     """(rows with the item and its place, recordings that have no such list as one diagnostic each)."""
-    own = recordings.select("recording", F.try_parse_json("raw").alias("doc"))
-    own = own.withColumn("list", F.when(kind(F.col("doc")) == "object", items(F.col("doc"), key)))
+    # by a generator, so that filters do not parse it again
+    own = recordings.select("recording", F.inline(F.array(F.struct(items(F.try_parse_json("raw"), key).alias("list")))))
     rows = own.filter("list IS NOT NULL").select("recording", F.posexplode("list").alias("ordinal", "item"))
     return rows, own.filter("list IS NULL").select("recording", F.lit(malformed).alias("code"))
 
@@ -105,7 +105,7 @@ def observation_metadata(span: Column) -> Column:
 
 def _span(trace: Column, ident: Column, attributes: dict[str, Column], start: Column, end: Column, metadata: dict[str, Column]) -> Column:
     """An open-convention span of known fields alone; NULL members are left out."""
-    member = lambda name, v: F.when(v.isNotNull() & (kind(v) != "null"), F.concat(F.lit(f'"{name}":'), F.to_json(v)))
+    member = lambda name, v: once(v, lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), F.concat(F.lit(f'"{name}":'), F.to_json(x))))
     obj = lambda parts: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
     ctx = obj([member("trace_id", trace), member("span_id", ident)])
     at = obj([member(k, v) for k, v in attributes.items()])

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
-from gaugework.sources import jsonl
+from gaugework.functions import values
+from gaugework.sources import jsonl, spans
 
 BAD = ['{bad', "[1]", '{"output":1}', '{"input":1,"id":true}', '{"input":1,"id":"  "}', '{"input":1,"context":[]}', '{"input":NaN}', '{"input":1,"id":1.5}', '{"input":1,"id":null}']
 
@@ -44,3 +46,26 @@ def test_annotations_fail_whole(spark):
 def test_empty_read(spark):
     r = jsonl.dataset_manifest(jsonl.dataset(frame(spark, []), "d")).first()
     assert (r.records_seen, r.completeness) == (0, "empty")
+
+
+def evaluated(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_a_kind_and_a_canonical_text_read_the_schema_once(spark):
+    df = spark.createDataFrame([("1",), ("1.0",), ('{"a": 1.0}',), ("null",), (None,), ("[]",), ('"x"',), ("1.5",)], "raw string").select("raw", F.inline(F.array(F.struct(F.try_parse_json("raw").alias("v")))))
+    kinds, texts = df.select("raw", jsonl.kind(F.col("v")).alias("k")), df.select("raw", values.canonical(F.col("v")).alias("k"))
+    assert evaluated(kinds, "schema_of_variant") + evaluated(kinds, "schemaOfVariant") == 1
+    assert evaluated(texts, "schema_of_variant") + evaluated(texts, "schemaOfVariant") == 1
+    assert [r.k for r in kinds.collect()] == ["integer", "integer", "object", "null", None, "array", "string", "number"]
+    assert [r.k for r in texts.collect()] == ["1", "1", '{"a":1}', "null", None, "[]", '"x"', "1.5"]
+
+
+@pytest.mark.parametrize("read, key", [(spans.runs, "runs"), (spans.nested_observations, "data"), (spans.rebuilt_spans, "spans")])
+def test_a_recording_is_parsed_once(spark, read, key):
+    raws = [f'{{"{key}": [5, "x"]}}', f'{{"{key}": 1}}', f'{{"{key}": null}}', f'[{{"{key}": []}}]', f'{{"{key}": []}}', "null", "{bad", None]
+    rows = spark.createDataFrame(list(enumerate(raws)), "recording long, raw string")
+    _, bad = read(rows)
+    assert sorted(r.recording for r in bad.collect() if r.recording) == [1, 2, 3, 5, 6, 7]
+    lists, missing = spans._exploded(rows, key, "bad")
+    assert [evaluated(d, "parse_json") + evaluated(d, "parseJson") for d in (lists, missing)] == [1, 1]
