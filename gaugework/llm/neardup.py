@@ -35,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gaugework.llm.common import OWN, Scratch, claim, salted_join, small, written
+from gaugework.llm.common import BROADCAST_ROWS, OWN, Scratch, claim, salted_join, small, written
 
 SHINGLE, SIMILARITY, BANDS = 5, 0.8, 24
-#: Bands whose members meet their leaders in each of the first rounds.
-STEPS = ((0, 1), (1, 4), (4, BANDS))
+#: Bands whose members meet their leaders in the first two rounds.
+STEPS = ((0, 2), (2, BANDS))
 #: The first window of members that seekers meet, and how it grows.
 WINDOW, GROWTH = 4, 4
 #: Minima a sketch holds, by least number of shingles. Texts near the limit are sketched on both sides of it.
@@ -47,6 +47,8 @@ MINIMA = ((0, 2), (10, 5))
 #: Words of 64 bits in a text's bitmap.
 BITMAP = 8
 _BITS = [f"q{j}" for j in range(BITMAP)]
+#: Bytes of the words of texts that are broadcast to be tested, and rows of seekers (under 256 bytes) that are.
+BROADCAST_BYTES, SEEKERS = 8_000_000, 50_000
 #: Texts whose sketch a task remembers, so that their copies need none.
 REMEMBERED = 20_000
 
@@ -157,35 +159,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "d"])
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, c): c is the least member of v's component, itself not listed. links: a, b. Alternates large and small stars,
-    each one partial aggregation and one join, until the edges stay the same; nothing is gathered on the driver."""
-    edges = scratch.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        now = scratch.written(star, "edges")
-        same = now.count() == edges.count() and now.join(edges, ["u", "v"], "left_anti").isEmpty()
-        scratch.drop(edges)
-        edges = now
-        if same:
-            return edges.toDF("v", "c")
+def _few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def _named(df: DataFrame, key: str, names: DataFrame, few: bool) -> DataFrame:
+    """df with column key replaced by c where names (v, c) lists it as v. few: names may be broadcast."""
+    names = names.select(F.col("v").alias(key), F.col("c").alias(OWN + "c"))
+    return df.join(F.broadcast(names) if few else names, key, "left").withColumn(key, F.coalesce(OWN + "c", key)).drop(OWN + "c")
+
+
+def merged(links: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame | None:
+    """(v, c): c is the least member of v's component, itself not listed. labels: such a table, or None; links: a, b, further
+    links between the components' least members, so that what is known is not dealt out again. In each round every name
+    with a lesser neighbour goes to its least one, names on the way to another go to the way's end, and the links are
+    renamed; those within a component go. A round shuffles the links left once, as partial minima, and nothing is gathered
+    on the driver."""
+    edges = scratch.written(links.filter("a != b"), "edges")
+    first = labels
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("v"), F.col("b").alias("c")).union(edges.select("b", "a"))
+        to = scratch.written(both.groupBy("v").agg(F.min("c").alias("c")).filter("c < v"), "names")
+        few = _few(to)
+        while True:
+            on = scratch.written(_named(to.select("v", "c", F.col("c").alias("was")), "c", to, few).select("v", "c", (F.col("c") != F.col("was")).alias("moved")), "names")
+            scratch.drop(to)
+            to = on
+            if on.filter("moved").isEmpty():
+                break
+        names = to.select("v", "c")
+        now = scratch.written(names if labels is None else _named(labels, "c", names, few).select("v", "c").unionByName(names), "labels")
+        left = scratch.written(_named(_named(edges, "a", names, few), "b", names, few).filter("a != b").select("a", "b"), "edges")
+        scratch.drop(to, edges, *([] if labels is first else [labels]))
+        labels, edges = now, left
+    scratch.drop(edges)
+    return labels
 
 
 class _Linker:
     """Tests candidate pairs, keeps the classes they make and the pairs that failed."""
 
     def __init__(self, words: DataFrame, scratch: Scratch) -> None:
-        self.words, self.scratch, self.labels, self.failed = words, scratch, None, None
+        self.words, self.scratch, self.labels, self.failed, self.few = words, scratch, None, None, True
 
     def class_of(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """df with the class of the text in column key; a text without links is its own."""
-        if self.labels is None:
-            return df.withColumn(name, F.col(key))
-        return df.join(small(self.labels.select(F.col("v").alias(key), F.col("c").alias(name))), key, "left").withColumn(name, F.coalesce(name, key))
+        df = df.withColumn(name, F.col(key))
+        return df if self.labels is None else _named(df, name, self.labels, self.few)
 
     def test(self, pairs: DataFrame) -> None:
         """pairs: a, b, of texts in different classes. Rows of one a follow each other, so that its shingles are made once."""
@@ -193,19 +213,24 @@ class _Linker:
         if self.failed is not None:
             pairs = pairs.join(small(self.failed), ["a", "b"], "left_anti")
         pairs = self.scratch.written(pairs, "pairs")
-        used = pairs.select(F.col("a").alias("tk")).union(pairs.select("b")).distinct()
-        words = self.words.join(small(used), "tk", "left_semi")
-        both = pairs.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a").select("a", "b", "wa", "wb")
+        n = pairs.count()
+        if not n:
+            return self.scratch.drop(pairs)
+        used = pairs.select(F.col("a").alias("tk")).union(pairs.select("b"))
+        few = 2 * n <= BROADCAST_ROWS
+        words = self.words.join(F.broadcast(used) if few else small(used.distinct()), "tk", "left_semi")
+        if few and words.agg(F.sum(F.octet_length("w"))).first()[0] <= BROADCAST_BYTES:
+            words = F.broadcast(words)
+        both = pairs.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a").select("a", "b", "wa", "wb").sortWithinPartitions("a")
         tested = self.scratch.written(both.mapInArrow(_verify, "a binary, b binary, d double"), "tested")
-        self.scratch.drop(pairs)
         limit = 1 - SIMILARITY + 1e-12
-        good, bad = tested.filter(F.col("d") <= limit).select("a", "b"), tested.filter(F.col("d") > limit).select("a", "b")
+        good, bad = tested.filter(F.col("d") <= limit), tested.filter(F.col("d") > limit).select("a", "b")
+        links = self.class_of(self.class_of(good, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         old = [t for t in (self.failed, self.labels) if t is not None]
-        if not good.isEmpty():
-            links = good if self.labels is None else good.union(self.labels.toDF("a", "b"))
-            self.labels = components(links, self.scratch)
+        self.labels = merged(links, self.labels, self.scratch)
+        self.few = self.labels is None or _few(self.labels)
         self.failed = self.scratch.written(bad if self.failed is None else self.failed.union(bad), "failed")
-        self.scratch.drop(tested, *[t for t in old if t is not self.labels])
+        self.scratch.drop(pairs, tested, *[t for t in old if t is not self.labels])
 
 
 def _pair(a: str, b: str) -> list:
@@ -286,12 +311,15 @@ def classes(docs: DataFrame) -> DataFrame:
             named = link.class_of(link.class_of(left, "tk", "c"), "main", "cm")
             named = scratch.written(named.withColumn("seeks", F.col("c") != F.col("cm")), "named")
             seekers = named.filter("seeks").select("key", *[F.col(x).alias("s_" + x) for x in ("tk", "n", "top", "c", *_BITS)])
-            if seekers.isEmpty():
+            on = scratch.written(seekers.select("key").distinct(), "on")
+            if on.isEmpty():
                 break
-            goals = named.filter((place >= lo) & (place < hi)).join(small(seekers.select("key").distinct()), "key", "left_semi")
+            on = small(on)
+            goals = named.filter((place >= lo) & (place < hi)).join(on, "key", "left_semi")
+            if _few(seekers, SEEKERS):
+                seekers = F.broadcast(seekers)
             link.test(goals.join(seekers, "key").filter("c != s_c").filter(_fits("n", "s_n", _shared("s_"))).select(*_pair("s_tk", "tk")))
-            on = named.filter("seeks").select("key").distinct()
-            after = scratch.written(named.select("key", "tk", "n", "top", "size", "main", *_BITS).filter(F.col("size") > hi).join(small(on), "key", "left_semi"), "mixed")
+            after = scratch.written(named.select("key", "tk", "n", "top", "size", "main", *_BITS).filter(F.col("size") > hi).join(on, "key", "left_semi"), "mixed")
             scratch.drop(left, named)
             left, lo, hi = after, hi, hi + (hi - lo) * GROWTH
         return written(link.class_of(reps.select("tk", "doc_id"), "tk", "root"), "classes")

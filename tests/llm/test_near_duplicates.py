@@ -99,6 +99,46 @@ def test_strangers_in_a_large_group_of_copies(spark):
     assert all(want[i] == want[got[i]] for i in got)
 
 
+def test_classes_of_further_links_deal_out_only_what_is_new(spark):
+    """A large class, chains of classes and pairs that fail, found in three steps of links."""
+    from gaugework.llm.common import Scratch
+
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in range(60)]
+    same, other = " ".join(base), " ".join(f"o{x}" for x in range(60))
+    keys = [bytes(rng.integers(0, 256, 16, dtype=np.uint8)) for _ in range(400)]
+    rows = [(k, neardup.word_hashes(f"{other if i % 10 == 9 else same} {'e' * (i % 3)}").tobytes()) for i, k in enumerate(keys)]
+    pick = lambda few: [tuple(sorted((keys[i], keys[j]))) for i, j in few if i != j]
+    steps = [pick((min(range(200), key=lambda i: keys[i]), j) for j in range(200)), pick((i, i + 1) for i in range(200, 399)), pick(rng.integers(0, 400, (150, 2)).tolist())]
+    like = {k: i % 10 == 9 for i, k in enumerate(keys)}
+    place = {k: i for i, k in enumerate(keys)}
+    sc, held = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sc.setJobGroup("merged", "merged")
+        with Scratch(spark) as scratch:
+            link, every = neardup._Linker(scratch.written(spark.createDataFrame(rows, "tk binary, w binary"), "words"), scratch), []
+            for few in steps:
+                every += [(place[a], place[b]) for a, b in few if like[a] == like[b]]
+                link.test(spark.createDataFrame(few, "a binary, b binary"))
+                want = components(400, every)
+                got = {bytes(r.v): bytes(r.c) for r in link.labels.collect()}
+                assert len(got) == link.labels.count()
+                least = {}
+                for i, c in enumerate(want):
+                    least[c] = min(least.get(c, keys[i]), keys[i])
+                assert got == {keys[i]: least[c] for i, c in enumerate(want) if least[c] != keys[i]}
+        status = sc.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("merged") for s in status.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+        assert tasks < 2000, tasks
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("kind, ids", [("string", ["b", "a", None, "c"]), ("long", [2, 1, None, 3])])
 def test_ids_of_any_type_nulls_and_clashing_columns(spark, kind, ids):
     text = "one two three four five six seven eight nine ten"
