@@ -104,14 +104,11 @@ def observation_metadata(span: Column) -> Column:
 
 
 def _span(trace: Column, ident: Column, attributes: dict[str, Column], start: Column, end: Column, metadata: dict[str, Column]) -> Column:
-    """An open-convention span of known fields alone; NULL members are left out."""
-    member = lambda name, v: once(v, lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), F.concat(F.lit(f'"{name}":'), F.to_json(x))))
-    obj = lambda parts: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
-    ctx = obj([member("trace_id", trace), member("span_id", ident)])
-    at = obj([member(k, v) for k, v in attributes.items()])
-    times = [F.when(kind(v) == "string", member(k, v)) for k, v in (("start_time", start), ("end_time", end))]
-    meta = obj([member(k, v) for k, v in metadata.items()])
-    return F.try_parse_json(obj([F.concat(F.lit('"context":'), ctx), member("span_id", ident), F.concat(F.lit('"attributes":'), at), *times, F.concat(F.lit('"_metadata":'), meta)]))
+    """An open-convention span of known fields alone; NULL members are left out. Values go in as they are, not by their text."""
+    there = lambda _, v: v.isNotNull() & ~F.is_variant_null(v)
+    obj = lambda parts: F.to_variant_object(F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]), there))
+    times = {k: _text(v) for k, v in (("start_time", start), ("end_time", end))}
+    return obj({"context": obj({"trace_id": trace, "span_id": ident}), "span_id": ident, "attributes": obj(attributes), **times, "_metadata": obj(metadata)})
 
 
 def _text(v: Column) -> Column:
@@ -129,7 +126,9 @@ def nested_observations(recordings: DataFrame, name: str = "langfuse") -> tuple[
     code = f"{name}_malformed_response"
     rows, bad = _exploded(recordings, "data", code)
     t = F.col("item")
-    rows = rows.withColumn("full", F.coalesce(F.filter(items(t, "observations"), lambda o: kind(o) == "object"), F.array().cast("array<variant>")))
+    full = F.coalesce(F.filter(items(t, "observations"), lambda o: kind(o) == "object"), F.array().cast("array<variant>"))
+    # by a generator, so that a trace's observations are listed once
+    rows = rows.select("*", F.inline(F.array(F.struct(full.alias("full")))))
     own = F.size("full") == 0
     rows = rows.withColumn("obs", F.explode(F.when(own, F.array(F.lit(None).cast("variant"))).otherwise(F.col("full"))))
     broken = F.coalesce(kind(t) != "object", F.lit(True)) | (F.size("full") == 0) & F.coalesce(kind(field(t, "output")), F.lit("null")).isin("null")

@@ -69,3 +69,11 @@ def test_a_recording_is_parsed_once(spark, read, key):
     assert sorted(r.recording for r in bad.collect() if r.recording) == [1, 2, 3, 5, 6, 7]
     lists, missing = spans._exploded(rows, key, "bad")
     assert [evaluated(d, "parse_json") + evaluated(d, "parseJson") for d in (lists, missing)] == [1, 1]
+
+
+def test_a_providers_span_holds_values_not_their_text(spark):
+    raws = ['{"data": [{"id": "t", "name": "f", "sessionId": null, "observations": [{"id": "o", "output": {"a": [1, null, 12e2]}, "input": null, "usage": {"n": 3}, "startTime": "s", "endTime": 5}, 7]}]}', '{"data": [{"id": "u", "output": "whole", "timestamp": "x"}]}']
+    units, _ = spans.nested_observations(spark.createDataFrame(list(enumerate(raws)), "recording long, raw string"))
+    got = units.select("trace_id", "unit_id", *[F.to_json(c) for c in ("output", "input", "metadata", "timing")]).collect()
+    assert sorted(map(tuple, got)) == [("t", "o", '{"a":[1,null,1200.0]}', None, '{"trace_name":"f","usage":{"n":3}}', '{"start_time":"s"}'), ("u", "u", '"whole"', None, "{}", '{"start_time":"x"}')]
+    assert (evaluated(units, "StructsToJson"), evaluated(units, "observations")) == (0, 1)
